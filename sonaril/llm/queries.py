@@ -21,8 +21,20 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonaril.llm.langid import identify
+
+    return identify(read(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonaril.llm.packing import pack
+
+    return pack(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_fingerprints, op6_topk_search)}
+    return {f.__name__: f for f in (op5_fingerprints, op6_topk_search, op9_language_id, op10_packing)}
 
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
