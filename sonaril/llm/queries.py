@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from sonaril.llm.common import read
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonaril.llm.minhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sonaril.llm.fingerprints import edited_fingerprints
 
@@ -34,7 +40,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_fingerprints, op6_topk_search, op9_language_id, op10_packing)}
+    return {f.__name__: f for f in (op3_minhash_dedup, op5_fingerprints, op6_topk_search, op9_language_id, op10_packing)}
 
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
