@@ -27,6 +27,12 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonaril.llm.suffix_dedup import digest
+
+    return digest(read(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sonaril.llm.langid import identify
 
@@ -40,7 +46,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash_dedup, op5_fingerprints, op6_topk_search, op9_language_id, op10_packing)}
+    return {f.__name__: f for f in (op3_minhash_dedup, op5_fingerprints, op6_topk_search, op8_suffix_dedup, op9_language_id, op10_packing)}
 
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
