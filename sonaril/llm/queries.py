@@ -15,6 +15,12 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_maxent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonaril.llm.maxent import score
+
+    return score(read(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sonaril.llm.fingerprints import edited_fingerprints
 
@@ -46,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash_dedup, op5_fingerprints, op6_topk_search, op8_suffix_dedup, op9_language_id, op10_packing)}
+    return {f.__name__: f for f in (op3_minhash_dedup, op4_maxent_scoring, op5_fingerprints, op6_topk_search, op8_suffix_dedup, op9_language_id, op10_packing)}
 
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
