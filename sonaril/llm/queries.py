@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from sonaril.llm.common import read
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonaril.llm.piece_viterbi import digest
+
+    return digest(read(spark, sf_dir, "documents"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonaril.llm.chat_hmm import format_chats
+
+    return format_chats(read(spark, sf_dir, "conversations"))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sonaril.llm.minhash import near_duplicates
 
@@ -58,7 +70,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash_dedup, op4_maxent_scoring, op5_fingerprints, op6_topk_search, op7_html_extraction, op8_suffix_dedup, op9_language_id, op10_packing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_minhash_dedup, op4_maxent_scoring, op5_fingerprints, op6_topk_search, op7_html_extraction, op8_suffix_dedup, op9_language_id, op10_packing)}
 
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
