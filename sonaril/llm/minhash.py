@@ -7,12 +7,14 @@ unit as a Poisson process; a text throws the darts of its own region up to the t
 coordinate with the probability of their weighted Jaccard likeness, and the work is one hash per
 unit plus the darts, not K per shingle.
 
-Bands of ``ROWS`` coordinates give bucket keys. Texts with equal multisets are one node. Within
-buckets, candidates are compared exactly (weighted Jaccard of the shingle multisets) in rounds: first
-each node with the smallest node of its buckets, then nodes outside their bucket's largest component
-with ever larger shares of the members of other components, until no bucket has an uncompared pair
-of different components. So no candidate link that could join classes is skipped, and a group of
-copies costs one comparison each. Links of 0.8 or more make classes (connected components).
+Bands of ``ROWS`` coordinates give bucket keys. Texts with equal multisets are one node. Each node is
+first compared exactly (weighted Jaccard of the shingle multisets) with the most central node of its
+buckets, so a group of copies costs one comparison each. The nodes of buckets that still hold several
+components are then compared wherever two of them could reach the threshold: such nodes share one of
+their rarest units, so nodes of different components meet by those, first with central ones again,
+at last all that are still apart. No link that could join two
+classes is left out, and texts that share a common passage don't meet. Links of 0.8 or more make
+classes (connected components).
 
 Edges: a text without words is no near-duplicate of anything and is its own class, named by its
 doc_id; a text of one to four words is one shingle; equal texts always share a class; null ids are
@@ -34,7 +36,8 @@ from sonaril.llm.components import connected_components
 K, ROWS, WIDTH = 128, 4, 5
 DARTS = 1000
 THRESHOLD = 0.8
-GROUP = 4  # members of a bucket that a further round compares a node with at first
+SLOTS = 1 << 20
+ROUNDS = 2
 
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD1B54A32D192ED03, 0xAEF17502108EF2D9))
 
@@ -192,6 +195,42 @@ def _links(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
     return map_arrow(two.select("a", "b", "ca", "cb"), kernel, "a long, b long")
 
 
+def _prefixes(loose: DataFrame, threshold: float) -> DataFrame:
+    """(token, pos, nid, n): the rarest units of each node, enough that two nodes of the threshold share one.
+
+    Nodes of n units with likeness t share t * n of them or more, so of the n - ceil(t * n) + 1 first units
+    in any common order at least one. The order is by how often a unit's slot occurs in a fixed table of
+    ``SLOTS`` counts (rare first), so passages that many texts share come last.
+    """
+    spark = loose.sparkSession
+
+    def count(b):
+        for i in range(0, b.num_rows, 256):
+            cells = np.frombuffer(b"".join(b.column(0).slice(i, 256).to_pylist()), np.uint64)
+            slot, n = np.unique(mix(cells) % np.uint64(SLOTS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int64))], names=["slot", "n"])
+
+    counts = map_arrow(loose.select("cells"), count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
+    often = np.zeros(SLOTS, np.int64)
+    often[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(often)
+
+    def first(b):
+        for i in range(b.num_rows):
+            c = np.frombuffer(b.column(1)[i].as_py(), np.uint64)
+            take = len(c) - math.ceil(threshold * len(c) - 1e-9) + 1
+            p = c[np.lexsort((c, shared.value[(mix(c) % np.uint64(SLOTS)).astype(np.int64)]))[:take]]
+            yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(np.arange(len(p))), pa.array(np.full(len(p), b.column(0)[i].as_py())), pa.array(np.full(len(p), len(c)))], names=["token", "pos", "nid", "n"])
+
+    return map_arrow(loose.select("nid", "cells"), first, "token long, pos long, nid long, n long")
+
+
+def _reach(n: str, pos: str, n2: str, pos2: str, threshold: float):
+    """Whether two nodes whose first shared unit is at these places can share enough: only what follows can be shared."""
+    need = F.ceil((F.col(n) + F.col(n2)) * (threshold / (1 + threshold)) - 1e-9)
+    return (F.least(n, n2) >= threshold * F.greatest(n, n2) - 1e-9) & (F.col(n) - F.col(pos) >= need) & (F.col(n2) - F.col(pos2) >= need)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, class_size) of every row."""
     tmp = Scratch(docs.sparkSession, "minhash")
@@ -199,37 +238,48 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     some = signed.filter("units > 0")
     nodes = tmp.table(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).withColumn("nid", F.monotonically_increasing_id()), "nodes")
     keys = nodes.select("nid", F.explode("bands").alias("h"))
-    shared = keys.groupBy("h").agg(F.count("*").alias("n"), F.min("nid").alias("hub")).filter("n > 1")
-    members = tmp.table(keys.join(shared, "h").select("h", "nid", "n", "hub"), "members")
-    first = members.filter("nid <> hub").groupBy("nid").agg(F.min("hub").alias("a")).select("a", F.col("nid").alias("b"))
-    wanted = members.select("nid").distinct().join(nodes, "nid").select("nid", F.col("rep").alias("rep_id"), "k1", "k2")
+    shared = keys.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    members = tmp.table(keys.join(shared, "h").select("h", "nid", "n"), "members")
+    # the node that meets most others stands in the middle of its group: every node is first compared with the most central one it meets
+    weight = members.groupBy("nid").agg(F.sum("n").alias("w"))
+    hubs = members.join(weight, "nid").groupBy("h").agg(F.max(F.struct("w", (-F.col("nid")).alias("neg"))).alias("top"))
+    best = members.join(hubs, "h").groupBy("nid").agg(F.max("top").alias("top"))
+    first = tmp.table(best.select((-F.col("top.neg")).alias("hub"), "nid").filter("hub <> nid").select(F.least("hub", "nid").alias("a"), F.greatest("hub", "nid").alias("b")).distinct(), "pairs0")
+    wanted = weight.join(nodes, "nid").select("nid", F.col("rep").alias("rep_id"), "k1", "k2")
     cells = tmp.table(_cells_of(docs, wanted), "cells")
     if cells.groupBy("nid").count().filter("count > 1").limit(1).count():  # only where rows are repeated
         cells = tmp.table(cells.dropDuplicates(["nid"]), "cells_once")
     links = tmp.table(_links(first, cells, threshold), "links0")
-    tried = tmp.table(first, "tried0")
-    spots = members.select("h", "nid", F.ceil(F.col("n") / GROUP).alias("groups")).withColumn("g", F.pmod(F.xxhash64("nid"), F.col("groups")))
-    lo, step = 0, 1
     comps = connected_components(links, tmp, "cc0")
-    while True:
-        named = spots.join(comps.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-        sizes = named.groupBy("h", "comp").agg(F.count("*").alias("c"))
-        mixed = sizes.groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.count("*").alias("comps")).filter("comps > 1").select("h", "big")
-        here = named.join(mixed, "h")
-        out = here.filter((F.col("comp") != F.col("big")) & (F.col("groups") > lo)).select("h", "nid", "comp", F.explode(F.sequence(F.lit(lo).cast("long"), F.least(F.col("groups"), F.lit(lo + step)) - 1)).alias("g"))
-        other = here.select("h", "g", F.col("nid").alias("nid2"), F.col("comp").alias("comp2"))
-        pairs = out.join(other, ["h", "g"]).filter("comp <> comp2").select(F.least("nid", "nid2").alias("a"), F.greatest("nid", "nid2").alias("b")).distinct()
-        pairs = tmp.table(pairs.join(tried, ["a", "b"], "left_anti"), f"pairs{lo}")
-        left = pairs.limit(1).count()
-        if left:
-            found = tmp.table(_links(pairs, cells, threshold), f"links{lo + 1}")
-            tried = tried.unionByName(pairs)
-            if found.limit(1).count():
-                links = links.unionByName(found)
-                comps = connected_components(links, tmp, f"cc{lo + 1}")
-        lo, step = lo + step, step * 2
-        if not left and not here.filter((F.col("comp") != F.col("big")) & (F.col("groups") > lo)).limit(1).count():
-            break
+    # buckets that still hold several components: their nodes are compared wherever a link could join two of them
+    named = members.join(comps.withColumnRenamed("node", "nid"), "nid", "left").select("h", "nid", F.coalesce("comp", "nid").alias("comp"))
+    mixed = named.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
+    loose = tmp.table(named.join(mixed, "h", "left_semi").select("nid").distinct().join(cells, "nid"), "loose")
+    every = tmp.table(_prefixes(loose, threshold), "every_token")
+    met = every.join(every.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "token")
+    tokens = tmp.table(met.join(met.groupBy("nid").agg(F.sum("m").alias("w")), "nid").select("token", "pos", "nid", "n", "w"), "tokens")
+    tried = first
+    for step in range(1, ROUNDS + 2):
+        here = tokens.join(comps.withColumnRenamed("node", "nid"), "nid", "left").select("token", "pos", "nid", "n", "w", F.coalesce("comp", "nid").alias("comp"))
+        split = here.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("w", (-F.col("nid")).alias("neg"), "comp", "n", "pos")).alias("top")).filter("lo <> hi").select("token", "top")
+        if step <= ROUNDS:  # once more each with a central node, of another component: one comparison per node
+            met = here.join(split, "token").filter((F.col("comp") != F.col("top.comp")) & _reach("n", "pos", "top.n", "top.pos", threshold))
+            hub = -F.col("top.neg")
+            cand = met.select(F.least(hub, "nid").alias("a"), F.greatest(hub, "nid").alias("b"), "nid", F.col("top.w").alias("w")).distinct().join(tried, ["a", "b"], "left_anti")
+            pairs = cand.groupBy("nid").agg(F.max(F.struct("w", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        else:  # and at last all that are left
+            sizes = here.groupBy("token", "comp").agg(F.count("*").alias("c"))
+            big = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.count("*").alias("comps")).filter("comps > 1").select("token", "big")
+            rest = here.join(big, "token")
+            other = rest.select("token", F.col("nid").alias("nid2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
+            met = rest.filter("comp <> big").join(other, "token").filter((F.col("comp") != F.col("comp2")) & _reach("n", "pos", "n2", "pos2", threshold))
+            pairs = met.select(F.least("nid", "nid2").alias("a"), F.greatest("nid", "nid2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = tmp.table(pairs, f"pairs{step}")
+        found = tmp.table(_links(pairs, cells, threshold), f"links{step}")
+        tried = tried.unionByName(pairs)
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            comps = connected_components(links, tmp, f"cc{step}")
     comp = F.coalesce("comp", "nid")
     placed = nodes.select("nid", "k1", "k2", "rep").join(comps.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", comp)
     names = placed.groupBy("comp").agg(F.min("rep").alias("class_id"))
