@@ -18,16 +18,17 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonaril.llm.common import crc_text
 
-SAMPLE, LANGS, UNITS = 1500, 64, 400_000
+SAMPLE, LANGS, UNITS = 1500, 64, 240_000
 ORDERS = (5, 4, 3, 2, 1)
 _WORD = re.compile(r"[^\W\d_]+")
-_MEMO = 300_000
+_MEMO = 200_000
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -63,19 +64,18 @@ def _count_units(batches):
 class Model:
     """Languages, priors, and log frequencies of words and n-grams; at most ``UNITS`` entries."""
 
-    def __init__(self, langs: list[str], prior: list[float], units: list[tuple[str, int, str, int]]):
+    def __init__(self, langs: list[str], prior: list[float], units: pd.DataFrame | None = None):
+        """units: (lang, kind, unit, n)."""
         self.langs, self.prior = langs, np.log(np.array(prior)) if langs else np.zeros(0)
-        at = {x: i for i, x in enumerate(langs)}
-        self.rows: list[dict[str, int]] = [{} for _ in range(6)]
-        counts: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for lang, kind, unit, n in units:
-            r = self.rows[kind].setdefault(unit, len(self.rows[kind]))
-            if r == len(counts[kind]):
-                counts[kind].append(np.zeros(len(langs)))
-            counts[kind][r][at[lang]] = n
-        self.tables = []
-        for c in counts:
-            m = np.array(c) if c else np.zeros((0, len(langs)))
+        self.rows: list[dict[str, int]] = []
+        self.tables: list[np.ndarray] = []
+        for kind in range(6):
+            own = units[units["kind"] == kind] if units is not None else None
+            row, names = pd.factorize(own["unit"], sort=True) if own is not None else (np.zeros(0, int), [])
+            m = np.zeros((len(names), len(langs)))
+            if len(names):
+                m[row, np.searchsorted(np.array(langs), own["lang"].to_numpy(dtype=str))] = own["n"]
+            self.rows.append({x: i for i, x in enumerate(names)})
             self.tables.append(np.log((m + 0.5) / (m.sum(0) + 0.5 * len(m) + 1.0)))
 
 
@@ -124,7 +124,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, langs: int = LANGS, units: in
     rows = labelled.filter(F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     per = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()  # at most ``langs`` rows
     if not per:
-        return Model([], [], [])
+        return Model([], [])
     names = sorted(r["lang"] for r in per)
     seen = {r["lang"]: r["count"] for r in per}
     pick = Window.partitionBy("lang").orderBy(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id")
@@ -134,9 +134,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, langs: int = LANGS, units: in
     counts = taken.select("lang", "text").mapInArrow(_count_units, "lang string, kind int, unit string, n long").groupBy("lang", "kind", "unit").agg(F.sum("n").alias("n"))
     share = max(1, units // (6 * len(names)))
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "unit"))).filter(F.col("r") <= share)
-    got = [(r["lang"], r["kind"], r["unit"], r["n"]) for r in top.collect()]  # at most ``units`` rows
+    got = top.select("lang", "kind", "unit", "n").toArrow().to_pandas()  # at most ``units`` rows
     total = sum(seen.values())
-    return Model(names, [seen[x] / total for x in names], sorted(got))
+    return Model(names, [seen[x] / total for x in names], got)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

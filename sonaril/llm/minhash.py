@@ -36,7 +36,7 @@ from sonaril.llm.components import connected_components
 K, ROWS, WIDTH = 128, 4, 5
 DARTS = 1000
 THRESHOLD = 0.8
-SLOTS = 1 << 20
+SLOTS = 1 << 18
 ROUNDS = 2
 
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD1B54A32D192ED03, 0xAEF17502108EF2D9))
@@ -210,9 +210,10 @@ def _prefixes(loose: DataFrame, threshold: float) -> DataFrame:
             slot, n = np.unique(mix(cells) % np.uint64(SLOTS), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int64))], names=["slot", "n"])
 
-    counts = map_arrow(loose.select("cells"), count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
+    counts = map_arrow(loose.select("cells"), count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
     often = np.zeros(SLOTS, np.int64)
-    often[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    often[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    del counts
     shared = spark.sparkContext.broadcast(often)
 
     def first(b):
