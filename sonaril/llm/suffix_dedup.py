@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from sonaril.llm.common import Scratch, map_arrow, mix, prefix_hash, shuffle_partitions, span_hash, text_chunks
 
 LENGTH, GRAM = 400, 64
-HOT = 1000
-BUNDLE = 1 << 20
+HOT = 400
+BUNDLE = 1 << 18
 _C = np.uint64(0x94D049BB133111EB)
 
 
@@ -98,10 +98,13 @@ class Bundle:
         rank[sa] = group
         size = np.bincount(group, minlength=n)
         todo = np.flatnonzero(size[group] > 1)
-        depth = 7
+        depth, wide = 7, n < 1 << 21
         while len(todo):
             pos = sa[todo]
-            pair = rank[pos] * n + rank[pos + depth]
+            if wide:  # three ranks in one key: the depth triples
+                pair = (rank[pos] << 42) | (rank[pos + depth] << 21) | rank[np.minimum(pos + 2 * depth, n - 1)]
+            else:
+                pair = rank[pos] * n + rank[pos + depth]
             order = np.argsort(pair)
             pos, pair = pos[order], pair[order]
             sa[todo] = pos
@@ -110,7 +113,7 @@ class Bundle:
             rank[pos] = todo[idx][np.cumsum(head) - 1]
             count = np.diff(np.append(idx, len(todo)))
             todo = todo[np.repeat(count > 1, count)]
-            depth *= 2
+            depth *= 3 if wide else 2
         return sa
 
     def common_prefixes(self, sa: np.ndarray) -> np.ndarray:
@@ -203,7 +206,8 @@ def _cut_pieces(found: DataFrame, length: int) -> DataFrame:
     return found.select("text", "k1", "k2", "anchors").mapInArrow(run, "k1 long, k2 long, start long, anchor long, p1 long, p2 long, body binary")
 
 
-_SHARD = "p1 long, p2 long, spans array<int>, hot boolean, f1 long, f2 long, salt int, off int"
+_SHARD = "p1 long, p2 long, spans array<int>, part int, strings binary"
+_STRING = np.dtype([("f1", "<i8"), ("f2", "<i8"), ("p1", "<i8"), ("p2", "<i8"), ("off", "<i4"), ("marked", "?")])
 
 
 def _spans(flags: np.ndarray) -> list[int]:
@@ -212,36 +216,41 @@ def _spans(flags: np.ndarray) -> list[int]:
     return np.stack((np.flatnonzero(d == 1), np.flatnonzero(d == -1)), 1).ravel().tolist()
 
 
-def _shard(batches, length: int):
+def _shard(batches, length: int, parts: int):
     """Rows sorted by (anchor, salt, p1, p2): bundles of whole anchors, or of whole salts of a hot one."""
     held: list[tuple] = []
     size, last = 0, None
 
     def emit():
         b, sa, cls, marked = repeated_starts([h[4] for h in held], length)
-        out: list[list] = [[] for _ in range(8)]
+        out: list[list] = [[] for _ in range(5)]
         done = set()
-        for i, (_, salt, p1, p2, body, _) in enumerate(held):
+        for i, (_, _, p1, p2, body, _) in enumerate(held):
             if (p1, p2) in done:
                 continue
             done.add((p1, p2))
             flags = marked[b.first[i] : b.first[i] + len(body) - length + 1]
             if flags.any():
-                for c, v in zip(out, (p1, p2, _spans(flags), False, None, None, salt, None), strict=True):
+                for c, v in zip(out, (p1, p2, _spans(flags), None, None), strict=True):
                     c.append(v)
-        if any(h[5] for h in held):  # each class of equal strings of a hot anchor, once
+        hot = np.array([h[5] for h in held])
+        if hot.any():  # each class of equal strings of a hot anchor once, sorted, in packs by hash
             piece = np.searchsorted(b.first, sa, side="right") - 1
-            ok = (b.left[sa] >= length) & np.array([h[5] for h in held])[piece]
-            at = np.flatnonzero(ok)
+            at = np.flatnonzero((b.left[sa] >= length) & hot[piece])
             _, one = np.unique(cls[at], return_index=True)
-            pos = sa[at[one]]
-            f1 = span_hash(prefix_hash(b.text), pos, pos + length).view(np.int64)
-            f2 = mix(span_hash(prefix_hash(b.text ^ np.uint8(0x5A)), pos, pos + length) ^ _C).view(np.int64)
-            for p, x, y in zip(pos.tolist(), f1.tolist(), f2.tolist(), strict=True):
-                i = int(np.searchsorted(b.first, p, side="right")) - 1
-                for c, v in zip(out, (held[i][2], held[i][3], None, True, x, y, held[i][1], p - int(b.first[i])), strict=True):
+            at = at[one]
+            pos = sa[at]
+            x = np.zeros(len(pos), _STRING)
+            x["f1"] = span_hash(prefix_hash(b.text), pos, pos + length).view(np.int64)
+            x["f2"] = mix(span_hash(prefix_hash(b.text ^ np.uint8(0x5A)), pos, pos + length) ^ _C).view(np.int64)
+            x["p1"], x["p2"] = (np.array([h[k] for h in held], np.int64)[piece[at]] for k in (2, 3))
+            x["off"], x["marked"] = pos - b.first[piece[at]], marked[pos]
+            x.sort(order=("f1", "f2"))
+            to = x["f1"] % parts
+            for d in np.unique(to):
+                for c, v in zip(out, (None, None, None, int(d), x[to == d].tobytes()), strict=True):
                     c.append(v)
-        types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[f.split()[0] for f in _SHARD.split(", ")])
 
     copies: tuple = ()
@@ -262,19 +271,20 @@ def _shard(batches, length: int):
 
 
 def _merge_shards(frames):
-    """Strings (f1, f2) of hot anchors that more than one shard has: (p1, p2, off) of each of them."""
+    """(p1, p2, off) of the strings of hot anchors that another shard has, too, and that their own didn't mark."""
     import pandas as pd
 
-    got = [f for f in frames if len(f)]
-    if not got:
+    packs = [np.frombuffer(x, _STRING) for f in frames for x in f["strings"]]
+    if not packs:
         return
-    rows = pd.concat(got)
-    keys = np.empty(len(rows), [("a", "<i8"), ("b", "<i8")])
-    keys["a"], keys["b"] = rows["f1"], rows["f2"]
-    # binary search of each shard's strings in the merged, sorted strings of all
-    every = np.sort(keys, order=("a", "b"))
-    hits = np.searchsorted(every, keys, side="right") - np.searchsorted(every, keys, side="left") > 1
-    yield rows.loc[hits, ["p1", "p2", "off"]]
+    keys = [x[["f1", "f2"]].astype([("f1", "<i8"), ("f2", "<i8")]) for x in packs]
+    every = np.sort(np.concatenate(keys), order=("f1", "f2"))
+    for x, k in zip(packs, keys, strict=True):
+        # binary search of a shard's strings in the merged ones of all
+        more = np.searchsorted(every, k, side="right") - np.searchsorted(every, k, side="left") > 1
+        hit = x[more & ~x["marked"]]
+        if len(hit):
+            yield pd.DataFrame({"p1": hit["p1"], "p2": hit["p2"], "off": hit["off"]})
 
 
 def repeated_spans(docs: DataFrame, tmp: Scratch, length: int = LENGTH) -> DataFrame:
@@ -290,10 +300,10 @@ def repeated_spans(docs: DataFrame, tmp: Scratch, length: int = LENGTH) -> DataF
     bodies = pieces.filter("body IS NOT NULL").select("anchor", "p1", "p2", "body")
     hot = bodies.groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor", F.ceil(F.col("count") / HOT).alias("salts"))
     salted = bodies.join(hot, "anchor", "left").select("anchor", F.coalesce(F.pmod(F.xxhash64("p1"), F.col("salts")), F.lit(0)).cast("int").alias("salt"), "p1", "p2", "body", F.col("salts").isNotNull().alias("hot"))
-    shards = tmp.table(salted.repartition(p, "anchor", "salt").sortWithinPartitions("anchor", "salt", "p1", "p2").mapInArrow(lambda it: _shard(it, length), _SHARD), "shards")
-    across = shards.filter("hot").select("p1", "p2", "off", "f1", "f2").repartition(p, "f1").mapInPandas(_merge_shards, "p1 long, p2 long, off int")
+    shards = tmp.table(salted.repartition(p, "anchor", "salt").sortWithinPartitions("anchor", "salt", "p1", "p2").mapInArrow(lambda it: _shard(it, length, p), _SHARD), "shards")
+    across = shards.filter("part IS NOT NULL").select("part", "strings").repartition(p, "part").mapInPandas(_merge_shards, "p1 long, p2 long, off int")
     more = across.groupBy("p1", "p2").agg(F.flatten(F.collect_set(F.array(F.col("off"), F.col("off") + 1))).alias("spans"))
-    spans = shards.filter("NOT hot").select("p1", "p2", "spans").unionByName(more)
+    spans = shards.filter("part IS NULL").select("p1", "p2", "spans").unionByName(more)
     starts = pieces.select("k1", "k2", "start", "p1", "p2").join(spans, ["p1", "p2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "spans")).alias("starts"))
     return found.select("k1", "k2", "text").join(starts, ["k1", "k2"])
 
@@ -327,17 +337,18 @@ def _cut_texts(hit: DataFrame, length: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with text without its repeated strings (cut characters go whole), and n_removed bytes."""
+    """``docs`` with text without its repeated strings (cut characters go whole), and n_removed bytes (replacing such a column)."""
     tmp = Scratch(docs.sparkSession, "suffix")
     cut = tmp.table(_cut_texts(repeated_spans(docs, tmp, length), length), "cut").dropDuplicates(["k1", "k2"])
-    keyed = docs.withColumn("k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("k2", F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = docs.drop("n_removed").withColumn("_k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_k2", F.xxhash64(F.coalesce("text", F.lit(""))))
 
     def decode(b):
-        kept = [None if x is None else x.decode("utf-8", "ignore") for x in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), *b.columns[1:]], names=["kept_text", *b.schema.names[1:]])
+        kept = [x.decode("utf-8", "ignore") for x in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), *b.columns[1:]], names=["_kept", "_k1", "_k2", "_removed"])
 
-    short = map_arrow(cut.select("kept", "k1", "k2", "n_removed"), decode, "kept_text string, k1 long, k2 long, n_removed long")
-    return keyed.join(short, ["k1", "k2"], "left").withColumn("text", F.coalesce("kept_text", "text")).select(*docs.columns, F.coalesce("n_removed", F.lit(0)).alias("n_removed"))
+    short = map_arrow(cut.select("kept", "k1", "k2", "n_removed"), decode, "_kept string, _k1 long, _k2 long, _removed long")
+    both = keyed.join(short, ["_k1", "_k2"], "left").withColumn("text", F.coalesce("_kept", "text"))
+    return both.select(*[c for c in docs.columns if c != "n_removed"], F.coalesce("_removed", F.lit(0)).cast("long").alias("n_removed"))
 
 
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
