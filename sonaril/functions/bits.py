@@ -16,9 +16,9 @@ def byte_at(b: Column | str, i: int | Column) -> Column:
 
 
 def byte_array(b: Column | str) -> Column:
-    """All bytes as an array of unsigned integers."""
-    b = col(b)
-    return F.when(F.octet_length(b) > 0, F.transform(F.sequence(F.lit(1), F.octet_length(b)), lambda i: F.conv(F.hex(F.substring(b, i, F.lit(1))), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
+    """All bytes as an array of unsigned integers; the binary is evaluated once, whatever expression it is."""
+    pairs = F.regexp_extract_all(F.hex(col(b)), F.lit("(..)"), F.lit(1))
+    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))
 
 
 def unsigned_be(b: Column | str, i: int | Column, n: int) -> Column:
