@@ -298,8 +298,8 @@ def test_pieces(docs, none):
     m = piece_viterbi.model()
     for t in [*(w for t in corpus()[:6] for w in t.split()[:40]), "a  b", "hello\n\nworld", "日本語 🙂", "   "]:
         mine = np.frombuffer(m.encode(t), "<u4").tolist()
-        best = uni.nbest_encode_as_ids(t, 2)  # two segmentations may score the same
-        assert mine == best[0] or mine == best[1] and sum(map(uni.get_score, mine)) == sum(map(uni.get_score, best[0]))
+        best = uni.nbest_encode_as_ids(t, 2)  # several segmentations may score the same
+        assert mine == best[0] or sum(map(uni.get_score, mine)) == sum(map(uni.get_score, best[0]))
         assert m.decode(m.encode(t)) == t
     for t in corpus()[:30]:
         marked = "▁" + t.replace(" ", "▁")
