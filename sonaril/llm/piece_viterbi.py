@@ -9,8 +9,8 @@ meet, no later character can change what lies before, and those ids are committe
 White space always starts a piece (checked on the model), so what is committed for a word between
 such boundaries is the same wherever it stands; every worker keeps the ids of words it has seen.
 
-The shared model file is of the merge kind; its merges are not replayed. Ids equal those of the
-SentencePiece library with the same pieces and scores as a unigram model.
+The shared model file is of the merge kind; its merges are not replayed. Ids equal the SentencePiece
+library's best segmentation (its n-best search) with the same pieces and scores as a unigram model.
 
 Edges: null and empty texts have no ids; the marker U+2581 in a text decodes to a space, as in the
 library; repeated rows are encoded as rows of their own.
@@ -19,7 +19,7 @@ library; repeated rows are encoded as rows of their own.
 from __future__ import annotations
 
 import re
-import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -143,7 +143,7 @@ class PieceModel:
         units = _UNITS.findall(marked)
         memo = self.memo
         for u in set(units).difference(memo):
-            memo[u] = np.array(self._word(u) if len(u) <= _LONG else list(self.stream(u)), "<u4").tobytes()
+            memo[u] = array("I", self._word(u) if len(u) <= _LONG else self.stream(u)).tobytes()
         out = b"".join(map(memo.__getitem__, units))
         if len(memo) > _MEMO:
             memo.clear()
