@@ -601,3 +601,49 @@ def ac3_scalars(spark, sf):
 def power_law_gain(spark, sf):
     s = signals.sig(spark, sf)
     return s.select("stream_id", "n", clamp16(F.pow((F.abs("s") % 8207).cast("double"), F.lit(4.0 / 3.0)) * F.pow(F.lit(2.0), (F.col("n") % 40 - 60) / 4.0)).alias("s"))
+
+
+# --------------------------------------------------------------------------- containers and codebooks
+@query("SELECT CAST(doc_id AS VARCHAR) AS stream_id, CAST(0 AS BIGINT) AS packet_no, md5(text) AS payload FROM documents WHERE text IS NOT NULL UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, md5(coalesce(lang, '')) FROM documents WHERE text IS NOT NULL")
+def ogg_demux(spark, sf):
+    """Documents as two-packet files, laced over pages and taken apart again."""
+    from sonaril.sources import demux, mux
+
+    d = signals.table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.encode("text", "utf-8").alias("a"), F.encode(F.coalesce("lang", F.lit("")), "utf-8").alias("b"))
+    return demux.ogg_packets(mux.ogg_files(d, "doc_id", ["a", "b"])).select("stream_id", "packet_no", F.md5("payload").alias("payload"))
+
+
+@query(f"WITH {SIG} SELECT stream_id, n, s FROM sig")
+def wav_roundtrip(spark, sf):
+    """Streams to WAV bytes and back, in files of 4096 samples."""
+    import pyarrow as pa
+
+    from sonaril.sources.wav import parse_wav, wav_bytes
+
+    s = framing.tumbling(signals.sig(spark, sf), 4096).select("stream_id", "frame_no", "samples")
+
+    def run(batches):
+        for b in batches:
+            back = [parse_wav(wav_bytes(x, 1, 8000))[2] for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(back, pa.list_(pa.int32()))], names=["stream_id", "frame_no", "samples"])
+
+    back = s.mapInArrow(run, "stream_id string, frame_no long, samples array<int>")
+    return back.select("stream_id", "frame_no", F.posexplode("samples").alias("i", "s")).select("stream_id", (F.col("frame_no") * 4096 + F.col("i")).alias("n"), "s")
+
+
+@query("WITH p AS (SELECT p_partkey AS entry, unnest(range(4)) AS d FROM part), v AS (SELECT entry, d, (entry // CAST(pow(6, d) AS BIGINT)) % 6 * 0.25 - 0.5 AS x FROM p) SELECT entry, CAST(d AS INTEGER) AS d, CAST(x AS DOUBLE) AS plain, CAST(sum(x) OVER (PARTITION BY entry ORDER BY d) AS DOUBLE) AS summed FROM v")
+def vq_lattice(spark, sf):
+    """Vector codebook values of a lattice: mixed-radix digits of the entry, and their running sums."""
+    p = signals.table(spark, sf, "part").select(F.col("p_partkey").alias("entry"))
+    digits = F.transform(F.array(*[F.lit(6**d) for d in range(4)]), lambda r: (F.floor(F.col("entry") / r) % 6) * F.lit(0.25) - 0.5)
+    v = p.select("entry", digits.alias("v"))
+    sums = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.aggregate(F.slice("v", F.lit(1), i), F.lit(0.0), lambda a, x: a + x))
+    return v.select("entry", F.posexplode(F.arrays_zip(F.col("v").alias("plain"), sums.alias("summed"))).alias("d", "z")).select("entry", "d", "z.plain", "z.summed")
+
+
+@query("WITH g AS (SELECT event_id // 16 AS block, event_id % 16 AS i, (event_id * 37) % 125 AS v FROM events), d AS (SELECT block, i * 3 + unnest([0, 1, 2]) AS k, unnest([v // 25, v % 25 // 5, v % 5]) - 2 AS d FROM g) SELECT block, CAST(k AS BIGINT) AS k, CAST(12 + sum(d) OVER (PARTITION BY block ORDER BY k) AS BIGINT) AS exponent FROM d")
+def ac3_exponents(spark, sf):
+    """Grouped base-5 differentials to exponents."""
+    e = signals.table(spark, sf, "events").select(F.floor(F.col("event_id") / 16).alias("frame"), (F.col("event_id") % 16).alias("i"), fixed.ungroup5((F.col("event_id") * 37) % 125).alias("g"))
+    d = e.select("frame", "i", F.posexplode("g").alias("j", "d")).select("frame", (F.col("i") * 3 + F.col("j")).alias("band"), F.col("d").cast("long").alias("d"))
+    return predict.delta_chain(d, 12, 2).select(F.col("frame").alias("block"), F.col("band").alias("k"), F.col("v").alias("exponent"))

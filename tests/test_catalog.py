@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from sonaril.plans import catalog
@@ -22,7 +23,7 @@ def duck():
 
 def rows(df):
     def cell(v):
-        if v is None or isinstance(v, float) and math.isnan(v):
+        if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
             return None
         v = v.item() if hasattr(v, "item") else v
         return round(float(v), 9) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else v
