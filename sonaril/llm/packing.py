@@ -1,7 +1,7 @@
 """Packing along a space-filling curve.
 
-Every document's hashed bag of words is projected to ``DIMS`` numbers (each word's hash gives the
-signs and sizes), scaled to the unit sphere and turned into a Hilbert key. Documents are sorted by
+Every document's hashed bag of ids is projected to ``DIMS`` numbers (each id's hash gives its signs
+and sizes), scaled to the unit sphere and turned into a Hilbert key. Documents are sorted by
 that key, so neighbours on the curve are alike; their ids are laid end to end along the curve and
 cut every ``length`` ids. The last, partial sequence is cut at powers of two, so nothing is padded.
 
@@ -17,17 +17,18 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonaril.llm.common import Scratch, crc_text, doc_slices, map_arrow, shuffle_partitions, text_chunks, word_hashes
+from sonaril.llm.common import Scratch, crc_text, map_arrow, mix, shuffle_partitions, text_chunks
 
 DIMS, BITS = 4, 12
 LENGTH, END_ID = 4096, 2
-_CACHE = 700_000
+_CACHE = 900_000
 
 
 # --------------------------------------------------------------------------- Hilbert keys
@@ -59,24 +60,58 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Hilbert key of every text's projected word vector."""
-    h, doc = word_hashes(data, offs)
-    at = doc_slices(doc, len(offs) - 1)
-    v = np.zeros((len(offs) - 1, DIMS))
-    for d in range(DIMS):
-        s = np.concatenate(([0], np.cumsum(((h >> np.uint64(16 * d)) & np.uint64(0xFFFF)).astype(np.int64) - 32768)))
-        v[:, d] = s[at[1:]] - s[at[:-1]]
+def curve_keys(ids: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Hilbert key of every document's summed id vectors; ``at``: n + 1 offsets into the ids, no document empty."""
+    v = np.add.reduceat(table[ids], at[:-1], axis=0)
     norm = np.linalg.norm(v, axis=1, keepdims=True)
     unit = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
     return hilbert(np.minimum(((unit + 1) * (1 << (BITS - 1))).astype(np.int64), (1 << BITS) - 1))
 
 
+def projection(vocab: int) -> np.ndarray:
+    """Each id's hashed vector in ``DIMS`` dimensions."""
+    h = mix(np.arange(1, vocab + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.stack([((h >> np.uint64(16 * d)) & np.uint64(0xFFFF)).astype(np.float64) - 32767.5 for d in range(DIMS)], 1)
+
+
 # --------------------------------------------------------------------------- ids
 #: White space that text.split() takes but the tokenizer's pattern may not; such texts go through the tokenizer whole.
+_ODD_ASCII = tuple(map(chr, range(0x1C, 0x20)))
 _ODD_SPACE = re.compile("[%s]" % "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF])))
 
 
+def _byte_chars() -> list[str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for 256 and up, in order."""
+    out, more = [], 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b:
+            out.append(chr(b))
+        else:
+            out.append(chr(more))
+            more += 1
+    return out
+
+
+_BYTE_CHARS = _byte_chars()
+
+
+class _Words(dict):
+    """Ids of the words seen; a new one is normalised, cut by the tokenizer's pattern and kept."""
+
+    def __init__(self, owner):
+        self.owner = owner
+
+    def __missing__(self, u: str) -> bytes:
+        o = self.owner
+        # character by character, as the tokenizer's file has it: no form of a letter depends on its place
+        ps = o.pattern.findall(u.lower() if u.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", u)]))
+        for p in ps:
+            if p not in o.parts:
+                o.parts[p] = o._part(p)
+        self[u] = ids = o.parts[ps[0]] if len(ps) == 1 else b"".join([o.parts[p] for p in ps])
+        return ids
+
+
 class WordIds:
     """Ids of texts by a word-level BPE tokenizer: white space always ends a word, so each word's ids are kept."""
 
@@ -90,30 +125,26 @@ class WordIds:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tok = Tokenizer.from_file(path)
-        self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
+        self.dtype, self.code = (np.uint16, "H") if self.tok.get_vocab_size() <= 1 << 16 else (np.uint32, "I")
         # the tokenizer's own word pattern (a fixed value of its file)
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.units: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.table = projection(max(self.tok.get_vocab_size(), 1 << 16))
+        self.units, self.parts = _Words(self), {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
+    def _part(self, p: str) -> bytes:
+        """Ids of one word by the tokenizer's model alone; its alphabet has a printable character for every byte."""
+        if not (p.isascii() and p.isprintable()):
+            p = "".join([_BYTE_CHARS[b] for b in p.encode()])
+        return array(self.code, [t.id for t in self.tok.model.tokenize(p)]).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as bytes of ``dtype``."""
-        whole = [i for i, t in enumerate(texts) if "<|" in t or _ODD_SPACE.search(t)]
-        split = [t.split() for t in texts]
-        for i in whole:
-            split[i] = []
-        new = set().union(*split) - self.units.keys()
-        if new:
-            pieces = {u: self.pattern.findall(unicodedata.normalize("NFC", u).lower()) for u in new}
-            fresh = list(set().union(*pieces.values()) - self.parts.keys())
-            self.parts.update(zip(fresh, self._raw(fresh), strict=True))
-            parts = self.parts
-            self.units.update((u, b"".join([parts[p] for p in ps])) for u, ps in pieces.items())
+        whole = [i for i, t in enumerate(texts) if "<|" in t or (any(c in t for c in _ODD_ASCII) if t.isascii() else _ODD_SPACE.search(t))]
         get = self.units.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
+        out = [b"".join(map(get, t.split())) for t in texts]
         for i, b in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
             out[i] = b
         for held in (self.units, self.parts):
@@ -154,26 +185,30 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGT
     p = shuffle_partitions(spark)
     low = (crc_text(docs["doc_id"]) % 32768).alias("low")
 
-    def sort_keys(part, data, offs):
-        return (curve_keys(data, offs) << np.int64(15)) | np.asarray(part.column(part.schema.get_field_index("low")), np.int64)
+    def encoded(b):
+        """Slices of a batch with their documents' ids (end id last) and sort keys."""
+        ids = word_ids(tokenizer_path)
+        end = np.array([end_id], ids.dtype).tobytes()
+        for part, _, _ in text_chunks(b):
+            enc = [e + end for e in ids.encode([t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()])]
+            n = np.array([len(e) for e in enc], np.int64) // ids.dtype().itemsize
+            at = np.concatenate(([0], np.cumsum(n)))
+            keys = curve_keys(np.frombuffer(b"".join(enc), ids.dtype), at, ids.table)
+            yield part, enc, n, (keys << np.int64(15)) | np.asarray(part.column(part.schema.get_field_index("low")), np.int64)
 
     def key_kernel(b):
-        for part, data, offs in text_chunks(b):
-            yield pa.RecordBatch.from_arrays([pa.array(sort_keys(part, data, offs))], names=["key"])
+        for _, _, _, key in encoded(b):
+            yield pa.RecordBatch.from_arrays([pa.array(key)], names=["key"])
 
-    # bounds of the range partitions from a tenth of the keys, as a range shuffle takes them from a sample; they shift work, not results
-    sample = map_arrow(docs.sample(0.1, 7).select("text", low), key_kernel, "key long")
+    # bounds of the range partitions from a sample of the keys, as a range shuffle takes them; they shift work, not results
+    sample = map_arrow(docs.sample(0.01, 7).select("text", low), key_kernel, "key long")
     cuts = sample.agg(F.percentile_approx("key", [i / p for i in range(1, p)] or [0.5], 20 * p)).first()[0]
     bounds = np.array(sorted(set(cuts or [])), np.int64)
 
     def ids_kernel(b):
-        ids = word_ids(tokenizer_path)
-        end = np.array([end_id], ids.dtype).tobytes()
-        size = ids.dtype().itemsize
-        for part, data, offs in text_chunks(b):
-            key = sort_keys(part, data, offs)
-            enc = [e + end for e in ids.encode([t or "" for t in part.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key), pa.array(np.searchsorted(bounds, key, side="right").astype(np.int32)), pa.array([len(e) // size for e in enc], pa.int64()), pa.array([size] * len(enc), pa.int32()), pa.array(enc, pa.binary())], names=["doc_id", "key", "part", "doc_tokens", "size", "ids"])
+        size = word_ids(tokenizer_path).dtype().itemsize
+        for part, enc, n, key in encoded(b):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key), pa.array(np.searchsorted(bounds, key, side="right").astype(np.int32)), pa.array(n), pa.array([size] * len(enc), pa.int32()), pa.array(enc, pa.binary())], names=["doc_id", "key", "part", "doc_tokens", "size", "ids"])
 
     rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", low), ids_kernel, "doc_id long, key long, part int, doc_tokens long, size int, ids binary")
 
