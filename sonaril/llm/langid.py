@@ -139,20 +139,20 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, langs: int = LANGS, units: in
     return Model(names, [seen[x] / total for x in names], got)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and its posterior in columns of these names (which replace such columns)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("lang_pred", "score"))
-    docs = docs.drop("lang_pred", "score")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in names)
+    docs = docs.drop(*names)
     at = docs.columns.index(text_col)
 
     def run(batches):
         scorer = _Scorer(shared.value)
         for b in batches:
             got = [scorer.predict(t) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*b.schema.names, *names])
 
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(docs: DataFrame, mod: int = 3, rest: int = 1):
@@ -169,7 +169,7 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Pipeline stage: documents with a language of posterior ``least`` or more stay."""
     model = fit(docs)
-    kept = predict(docs, model)
-    return kept.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    kept = predict(docs, model, names=("_found", "_posterior"))
+    return kept.filter((F.col("_found") != "und") & (F.col("_posterior") >= least)).select(*docs.columns)
 
 
