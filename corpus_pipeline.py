@@ -27,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated 400-byte strings (op 8) go from the texts; documents of which nothing is left go."""
-    cut = remove_repeats(docs)
+    """Repeated strings (op 8) of more than 50 words go from the texts; documents of which nothing is left go."""
+    cut = remove_repeats(docs, 2 * WORDS - 1, WORDS)
     touched = F.col("n_removed") > 0
     left = cut.withColumn("n_chars", F.when(touched, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return left.filter(~touched | (F.col("text") != "")).select(*docs.columns)
@@ -39,6 +39,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
+#: Passages of more than 50 words go where they repeat; so many words have 101 bytes at least.
+WORDS = 51
+
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_strings", repeated_strings), ("packing", packing)]
 
 #: No stage can be expressed in SQL; tests hold each stage against a brute-force version.

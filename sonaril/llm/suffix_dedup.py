@@ -45,8 +45,9 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(bwd[: n - w + 1], fwd[w - 1 : n])
 
 
-def runs(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+def runs(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int | None = None):
     """Runs of starts with one anchor: document, first start within it, number of starts, anchor hash."""
+    gram = gram or (GRAM if length >= 4 * GRAM else min(GRAM, max(length // 2, 1)))
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none, np.zeros(0, np.uint64)
@@ -308,18 +309,24 @@ def repeated_spans(docs: DataFrame, tmp: Scratch, length: int = LENGTH) -> DataF
     return found.select("k1", "k2", "text").join(starts, ["k1", "k2"])
 
 
-def _covered(n: int, starts: list[dict], length: int) -> tuple[np.ndarray, int]:
-    """Mask of the bytes under any repeated string, and the number of maximal runs."""
+def _covered(raw: np.ndarray, starts: list[dict], length: int, words: int = 0) -> tuple[np.ndarray, int]:
+    """Mask of the bytes under any repeated string, without maximal runs of fewer than ``words`` words, and the number of runs."""
+    n = len(raw)
     d = np.zeros(n + 1, np.int64)
     for s in starts:
         at = np.array(s["spans"], np.int64).reshape(-1, 2) + s["start"]
         np.add.at(d, at[:, 0], 1)
         np.add.at(d, np.minimum(at[:, 1] - 1 + length, n), -1)
     mask = np.cumsum(d[:-1]) > 0
+    if words:
+        at = _spans(mask)
+        for i, j in zip(at[::2], at[1::2], strict=True):
+            if len(raw[i:j].tobytes().decode("utf-8", "ignore").split()) < words:
+                mask[i:j] = False
     return mask, int((np.diff(np.concatenate(([0], mask.astype(np.int8)))) == 1).sum())
 
 
-def _cut_texts(hit: DataFrame, length: int) -> DataFrame:
+def _cut_texts(hit: DataFrame, length: int, words: int = 0) -> DataFrame:
     """(k1, k2, n_removed, n_spans, kept): what stays of each document."""
 
     def kernel(b):
@@ -327,7 +334,7 @@ def _cut_texts(hit: DataFrame, length: int) -> DataFrame:
             removed, n_spans, kept = [], [], []
             for text, starts in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 raw = np.frombuffer(text.encode(), np.uint8)
-                mask, k = _covered(len(raw), starts, length)
+                mask, k = _covered(raw, starts, length, words)
                 removed.append(int(mask.sum()))
                 n_spans.append(k)
                 kept.append(raw[~mask].tobytes())
@@ -336,10 +343,13 @@ def _cut_texts(hit: DataFrame, length: int) -> DataFrame:
     return map_arrow(hit.select("k1", "k2", "text", "starts"), kernel, "k1 long, k2 long, n_removed long, n_spans long, kept binary")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with text without its repeated strings (cut characters go whole), and n_removed bytes (replacing such a column)."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
+    """``docs`` with text without its repeated strings (cut characters go whole), and n_removed bytes (replacing such a column).
+
+    With ``words``, what stands under repeated strings without a gap goes only if it has so many words.
+    """
     tmp = Scratch(docs.sparkSession, "suffix")
-    cut = tmp.table(_cut_texts(repeated_spans(docs, tmp, length), length), "cut").dropDuplicates(["k1", "k2"])
+    cut = tmp.table(_cut_texts(repeated_spans(docs, tmp, length), length, words), "cut").dropDuplicates(["k1", "k2"])
     keyed = docs.drop("n_removed").withColumn("_k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_k2", F.xxhash64(F.coalesce("text", F.lit(""))))
 
     def decode(b):
