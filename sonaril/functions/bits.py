@@ -92,10 +92,17 @@ def unfold_zigzag(u: Column | str) -> Column:
 
 
 def coded_number(b: Column | str) -> Column:
-    """Value of a one- to three-byte coded number at the start of a binary; null where none starts."""
-    c = [byte_at(b, i) for i in range(3)]
-    tail = lambda x: x.bitwiseAND(0xC0) == 0x80
-    return F.when(c[0] < 0x80, c[0]).when((c[0].bitwiseAND(0xE0) == 0xC0) & tail(c[1]), c[0].bitwiseAND(0x1F) * 64 + c[1].bitwiseAND(0x3F)).when((c[0].bitwiseAND(0xF0) == 0xE0) & tail(c[1]) & tail(c[2]), c[0].bitwiseAND(0x0F) * 4096 + c[1].bitwiseAND(0x3F) * 64 + c[2].bitwiseAND(0x3F))
+    """Value (long) of a one- to seven-byte coded number at the start of a binary; null where none starts."""
+    c = [byte_at(b, i).cast("long") for i in range(7)]
+    out = F.when(c[0] < 0x80, c[0])
+    for n in range(2, 8):  # n leading ones, a zero, and n - 1 bytes of six bits each
+        starts = c[0].bitwiseAND(0xFF << 7 - n & 0xFF) == (0xFF << 8 - n & 0xFF)
+        value = c[0].bitwiseAND((1 << 7 - n) - 1)
+        for x in c[1:n]:
+            starts = starts & (x.bitwiseAND(0xC0) == 0x80)
+            value = value * 64 + x.bitwiseAND(0x3F)
+        out = out.when(starts, value)
+    return out
 
 
 def crc_table(width: int, poly: int) -> list[int]:

@@ -436,7 +436,7 @@ def zigzag_rice_unfold(spark, sf):
 
 @query(f"WITH {HEADS} SELECT doc_id, CAST(CASE WHEN b0 < 128 THEN b0 WHEN b0 & 224 = 192 AND b1 & 192 = 128 THEN (b0 & 31) * 64 + (b1 & 63) WHEN b0 & 240 = 224 AND b1 & 192 = 128 AND b2 & 192 = 128 THEN (b0 & 15) * 4096 + (b1 & 63) * 64 + (b2 & 63) END AS INTEGER) AS value FROM head")
 def coded_number(spark, sf):
-    return raw(spark, sf).select("doc_id", bits.coded_number("b").alias("value"))
+    return raw(spark, sf).select("doc_id", bits.coded_number("b").cast("int").alias("value"))  # a character has 21 bits at most
 
 
 @query(f"WITH {WORD} SELECT doc_id, CAST(length(bin(w)) AS INTEGER) AS ilog, CASE WHEN w >> 31 = 1 THEN -(w & 2097151) ELSE w & 2097151 END * pow(2.0, ((w >> 21) & 1023) - 788) AS f FROM w")

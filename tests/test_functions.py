@@ -82,3 +82,20 @@ def test_sniff_and_headers(spark):
     assert h.sample_rate == 44100 and h.bitrate == 128000 and h.frame_length == 417 and h.channels == 2
     t = spark.createDataFrame([(0, 0, 128000, 2, 44100)], "i int, j int, b int, c int, r int").select(headers.layer2_table("b", "c", "r", F.lit(False))).first()[0]
     assert t == 0
+
+
+def coded(v):
+    """Bytes of a coded number, by the rule: the fewest bytes that hold it."""
+    if v < 0x80:
+        return bytes([v])
+    n = next(n for n in range(2, 8) if v < 1 << (5 * n + 1))
+    return bytes([0xFF << 8 - n & 0xFF | v >> 6 * (n - 1), *(0x80 | v >> 6 * k & 0x3F for k in reversed(range(n - 1)))])
+
+
+def test_coded_numbers_of_every_length(spark):
+    vs = [0, 127, *(x for n in range(2, 8) for x in ((1 << 5 * n + 1) - 1, 1 << 5 * n + 1))][:-1] + [65535, 65536, 123456789, 9876543210]
+    assert [coded(v) for v in (127, 0x1F600)] == [b"\x7f", "\U0001f600".encode()] and max(vs) == 2**36 - 1 and len(coded(max(vs))) == 7
+    bad = [b"", b"\x80", b"\xff" + b"\x80" * 6, *(coded(v)[:-1] for v in vs if v > 127), *(coded(v)[:-1] + b"\x00" for v in vs if v > 127)]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate([coded(v) + b"\xbf" for v in vs] + bad)], "i int, b binary")
+    got = [r.v for r in df.select("i", bits.coded_number("b").alias("v")).orderBy("i").collect()]
+    assert got == vs + [None] * len(bad)
