@@ -613,6 +613,18 @@ def ogg_demux(spark, sf):
     return demux.ogg_packets(mux.ogg_files(d, "doc_id", ["a", "b"])).select("stream_id", "packet_no", F.md5("payload").alias("payload"))
 
 
+@query("WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE md5(text) END AS a, CASE WHEN doc_id % 2 = 0 THEN coalesce(lang, '') ELSE md5(coalesce(lang, '')) END AS b FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, unnest([0, 1, 2]) AS sample, unnest([a, b, a]) AS x FROM d) SELECT CAST(doc_id AS VARCHAR) AS stream_id, CAST(sample AS BIGINT) AS sample, CAST(octet_length(encode(x)) AS BIGINT) AS size, md5(x) AS payload FROM p")
+def mp4_demux(spark, sf):
+    """Documents as three-sample files in chunks of two; those of odd ids have samples of one size."""
+    from sonaril.sources import demux, mux
+
+    d = signals.table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    part = lambda c: F.encode(F.when(F.col("doc_id") % 2 == 0, F.col(c)).otherwise(F.md5(F.encode(c, "utf-8"))), "utf-8")
+    files = mux.mp4_files(d.select("doc_id", part("text").alias("a"), part("lang").alias("b")), "doc_id", ["a", "b", "a"])
+    cut = demux.mp4_samples(files).join(files, "stream_id")
+    return cut.select("stream_id", "sample", "size", F.md5(F.substring("content", (F.col("offset") + 1).cast("int"), F.col("size").cast("int"))).alias("payload"))
+
+
 @query(f"WITH {SIG} SELECT stream_id, n, s FROM sig")
 def wav_roundtrip(spark, sf):
     """Streams to WAV bytes and back, in files of 4096 samples."""

@@ -108,7 +108,7 @@ def box_table(df: DataFrame) -> DataFrame:
 
 
 def _u32_items(df: DataFrame, boxes: DataFrame, suffix: str, skip: int, width: int) -> DataFrame:
-    """(stream_id, i, w binary): the ``width``-byte entries of a counted table box, exploded by position."""
+    """(stream_id, i, head binary, w binary): the ``width``-byte entries of a counted table box, exploded by position, and the box's ``skip`` bytes before them."""
     b = boxes.filter(F.col("path").endswith(suffix)).groupBy("stream_id").agg(F.min_by(F.struct("start", "stop"), "seq").alias("r"))
     t = df.join(b, "stream_id").select("stream_id", F.substring("content", F.col("r.start").cast("int") + 1, (F.col("r.stop") - F.col("r.start")).cast("int")).alias("t"))
     from sonaril.functions.bits import unsigned_be
@@ -117,7 +117,7 @@ def _u32_items(df: DataFrame, boxes: DataFrame, suffix: str, skip: int, width: i
     some = t.withColumn("n", n).filter("n > 0")
     rows = some.select("stream_id", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     at = (F.col("i") * width + skip + 1).cast("int")
-    return rows.select("stream_id", "i", F.substring("t", at, F.lit(width)).alias("w"))
+    return rows.select("stream_id", "i", F.substring("t", 1, skip).alias("head"), F.substring("t", at, F.lit(width)).alias("w"))
 
 
 def mp4_samples(df: DataFrame) -> DataFrame:
@@ -132,7 +132,9 @@ def mp4_samples(df: DataFrame) -> DataFrame:
     wide = _u32_items(df, boxes, "/stbl/co64", 8, 8).select("stream_id", (F.col("i") + 1).alias("chunk"), unsigned_be("w", 0, 8).alias("base"))
     chunks = chunks.unionByName(wide)
     runs = _u32_items(df, boxes, "/stbl/stsc", 8, 12).select("stream_id", word("w").alias("first_chunk"), word("w", 4).cast("int").alias("per_chunk"))
-    sizes = _u32_items(df, boxes, "/stbl/stsz", 12, 4).select("stream_id", F.col("i").alias("sample"), word("w").alias("size"))
+    # a size in the header that isn't zero holds for every sample, and no entries follow
+    size = F.when(word("head", 4) != 0, word("head", 4)).otherwise(word("w"))
+    sizes = _u32_items(df, boxes, "/stbl/stsz", 12, 4).select("stream_id", F.col("i").alias("sample"), size.alias("size"))
     placed = chunk_samples(chunks, runs).filter("per_chunk > 0")
     each = placed.select("stream_id", "base", "chunk", F.explode(F.expr("sequence(first_sample, first_sample + per_chunk - 1)")).alias("sample"), "first_sample")
     summed = running_sum(sizes, ["stream_id"], "sample", "size", "before", exclusive=True)

@@ -37,6 +37,16 @@ def test_mp4_samples(spark):
         assert [(r.offset, r.size) for r in got] == [(1000, 10), (1010, 20), (2000, 30), (2030, 40), (3000, 50)]
 
 
+def test_mp4_samples_of_one_size(spark):
+    stsz, stsc = box(b"stsz", struct.pack(">III", 0, 7, 5)), box(b"stsc", struct.pack(">II", 0, 2) + struct.pack(">IIIIII", 1, 2, 1, 3, 1, 1))
+    stco = box(b"stco", struct.pack(">IIIII", 0, 3, 1000, 2000, 3000))
+    for tables in (stsz + stsc + stco, stco + stsc + stsz):  # entries of another box, or nothing, after the header
+        moov = box(b"moov", box(b"trak", box(b"mdia", box(b"minf", box(b"stbl", tables)))))
+        df = spark.createDataFrame([("f", bytearray(moov))], "stream_id string, content binary")
+        got = demux.mp4_samples(df).orderBy("sample").collect()
+        assert [(r.offset, r.size) for r in got] == [(1000, 7), (1007, 7), (2000, 7), (2007, 7), (3000, 7)]
+
+
 def test_frame_walks():
     mp3 = b"ID3\x04\0\0\0\0\0\x04tags" + b"\xff" + (b"\xff\xfb\x90\x00" + b"\0" * 413) * 2 + b"TAG" + b"\0" * 125
     assert list(demux.mpeg_frames(mp3)) == [(15, 417), (432, 417)]
