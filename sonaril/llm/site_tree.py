@@ -5,8 +5,9 @@ every element down to it; equal siblings are one node), with the number of pages
 styles it occurs in (the sequence of its children) and the contents seen under it. A node's importance
 is, as in the site style tree, the entropy of its styles over its pages (presentation) blended with the
 entropy of its contents, both scaled to 0..1 by the number of pages: what looks and reads alike on
-every page of a site is decoration. A page keeps the branch of its article and loses every branch
-whose kind of element or whose importance on its host says that it isn't part of it.
+every page of a site is decoration. Equal pages of a host count once, and nodes on fewer than
+``LEAST_PAGES`` different pages are not judged. A page keeps the branch of its article and loses every
+branch whose kind of element or whose importance on its host says that it isn't part of it.
 
 Element kinds that never hold main text (menus, headers, footers, asides, forms, scripts, ...) and the
 class and id words for adverts, notices and comments are presentation features, too: they have
@@ -23,6 +24,7 @@ elements are closed as browsers do for the common cases; repeated rows are pages
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from html.parser import HTMLParser
@@ -173,8 +175,30 @@ def page_features(root: Node) -> dict[int, tuple[int, int]]:
     return out
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(host, key, z): of each host's pages with the same html, one, compressed."""
+
+    def run(batches):
+        seen: set[tuple[str, bytes]] = set()
+        for b in batches:
+            at, hosts, keys = [], [], []
+            for i, (url, html) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                host, key = host_of(url), hashlib.md5((html or "").encode()).digest()
+                if (host, key) not in seen:
+                    seen.add((host, key))
+                    at.append(i)
+                    hosts.append(host)
+                    keys.append(key)
+            if len(seen) > 300_000:  # later copies are sent again
+                seen.clear()
+            z = [zlib.compress((b.column(1)[i].as_py() or "").encode(), 1) for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.binary()), pa.array(z, pa.binary())], names=["host", "key", "z"])
+
+    return pages.select("url", "html").mapInArrow(run, "host string, key binary, z binary").dropDuplicates(["host", "key"])
+
+
 def count_features(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, feature, n) per task; kind 0: styles, 1: contents."""
+    """(host, path, kind, feature, n) per task, from each host's different pages; kind 0: styles, 1: contents."""
 
     def run(batches):
         held: dict[tuple, int] = {}
@@ -184,9 +208,8 @@ def count_features(pages: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2, 3)), pa.array(list(held.values()), pa.int64())], names=["host", "path", "kind", "feature", "n"])
 
         for b in batches:
-            for url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                host = host_of(url)
-                for path, (style, content) in page_features(parse(html)).items():
+            for host, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for path, (style, content) in page_features(parse(zlib.decompress(z).decode())).items():
                     for k in ((host, path, 0, style), (host, path, 1, content)):
                         held[k] = held.get(k, 0) + 1
             if len(held) > 300_000:
@@ -195,7 +218,7 @@ def count_features(pages: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return pages.select("url", "html").mapInArrow(run, "host string, path long, kind long, feature long, n long")
+    return distinct_pages(pages).select("host", "z").mapInArrow(run, "host string, path long, kind long, feature long, n long")
 
 
 def unimportant(pages: DataFrame) -> DataFrame:

@@ -28,6 +28,20 @@ def test_site_tree_removes_what_all_pages_share(spark):
     assert site_tree.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    strip = "<div class='strip2x'><p>Same words on every page</p></div>"
+    html = [page(f"{strip}<div class='story'><p>Own text {i} {i * i}</p></div>") for i in range(30)]
+    marked = [page(f"<article><p>Head {i}</p><div class='story'><p>Own text {i} {i * i}</p></div></article>") for i in range(30)]
+    rows = [(1000 * k + i, f"http://{h}.example/{i}", pages[max(i - 999, 0)]) for k, (h, pages) in enumerate((("h", html), ("m", marked))) for i in range(1029)]
+    rows += [(5000 + i, f"http://only.example/{i}", html[7]) for i in range(1000)]
+    got = {r.page_id: r.text for r in site_tree.main_texts(spark.createDataFrame([(i + 10000 * k, u, h) for k, (i, u, h) in enumerate(rows)], "page_id long, url string, html string").repartition(5)).collect()}
+    assert len(got) == len(rows)
+    for k, (i, u, _) in enumerate(rows):
+        t, n = got[i + 10000 * k], 7 if "only" in u else max(int(u.rpartition("/")[2]) - 999, 0)
+        own = f"Own text {n} {n * n}"
+        assert t == (own if "//h." in u else f"Head {n} {own}" if "//m." in u else f"Same words on every page {own}")
+
+
 def test_entropy_of_grouped_counts():
     assert site_tree.log_entropy([5]) == 0 and abs(site_tree.log_entropy([1] * 8) - 1) < 1e-12
 
