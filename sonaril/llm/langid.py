@@ -4,9 +4,10 @@ A known word scores its log frequency in each language. A word unseen in trainin
 log frequency of its known character n-grams of the greatest length that has any (5 down to 1,
 word ends marked). A text's language has the highest sum plus log prior; the score is its posterior.
 
-The classifier is fitted on a bounded sample of labelled rows: ``SAMPLE`` rows of each of the
-``LANGS`` most frequent languages, those with the smallest hashes of their ids, and it keeps
-``UNITS`` entries in all. Priors count all labelled rows.
+The classifier learns every language that a row is labelled with, from a bounded sample: ``SAMPLE`` rows
+of each language, those with the smallest hashes of their ids. It keeps ``UNITS`` entries in all for up
+to ``LANGS`` languages; of more, each keeps as many as one of ``LANGS``, so the model grows with their
+number (and only the entries are stored, not a table of units by languages). Priors count all labelled rows.
 
 Edges: ``und`` with score 0 for a null text or one without a letter, and for every text where no
 labelled row exists; null or empty labels teach nothing; a null id counts as the empty text in the hash.
@@ -62,20 +63,31 @@ def _count_units(batches):
 
 
 class Model:
-    """Languages, priors, and log frequencies of words and n-grams; at most ``UNITS`` entries."""
+    """Languages, priors, and log frequencies of words and n-grams: tables for up to ``LANGS`` languages, else entries by unit."""
 
     def __init__(self, langs: list[str], prior: list[float], units: pd.DataFrame | None = None):
         """units: (lang, kind, unit, n)."""
         self.langs, self.prior = langs, np.log(np.array(prior)) if langs else np.zeros(0)
         self.rows: list[dict[str, int]] = []
         self.tables: list[np.ndarray] = []
+        #: of more languages, by kind: log frequencies of a unit that a language lacks, and what its entries add
+        self.base: list[np.ndarray] = []
+        self.more: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.wide = len(langs) > LANGS
         for kind in range(6):
             own = units[units["kind"] == kind] if units is not None else None
             row, names = pd.factorize(own["unit"], sort=True) if own is not None else (np.zeros(0, int), [])
+            lang = np.searchsorted(np.array(langs), own["lang"].to_numpy(dtype=str)) if len(names) else np.zeros(0, int)
+            self.rows.append({x: i for i, x in enumerate(names)})
+            if self.wide:
+                n = own["n"].to_numpy(np.float64)
+                order = np.argsort(row, kind="stable")
+                self.base.append(np.log(0.5 / (np.bincount(lang, n, len(langs)) + 0.5 * len(names) + 1.0)))
+                self.more.append((np.searchsorted(row[order], np.arange(len(names) + 1)), lang[order], np.log((n[order] + 0.5) / 0.5)))
+                continue
             m = np.zeros((len(names), len(langs)))
             if len(names):
-                m[row, np.searchsorted(np.array(langs), own["lang"].to_numpy(dtype=str))] = own["n"]
-            self.rows.append({x: i for i, x in enumerate(names)})
+                m[row, lang] = own["n"]
             self.tables.append(np.log((m + 0.5) / (m.sum(0) + 0.5 * len(m) + 1.0)))
 
 
@@ -109,32 +121,72 @@ class _Scorer(dict):
             if room > len(self.vec) - self.known:
                 self.vec = np.concatenate((self.vec[: self.known], np.zeros((room + 1, self.vec.shape[1]))))
 
+    def total(self, ws: list[str]) -> np.ndarray:
+        self.trim(len(ws))
+        return self.vec[np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))].sum(0)
+
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.model.langs or not any(map(str.isalpha, text)):
             return "und", 0.0
         ws = _WORD.findall(text.lower())
-        self.trim(len(ws))
-        total = self.vec[np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))].sum(0) + self.model.prior
+        total = self.total(ws) + self.model.prior
         best = int(total.argmax())
         return self.model.langs[best], float(1.0 / np.exp(total - total[best]).sum())
 
 
+class _WideScorer(_Scorer):
+    """word -> (kind, languages, what they add); for more than ``LANGS`` languages."""
+
+    def __init__(self, model: Model):
+        self.model = model
+
+    def __missing__(self, word: str) -> tuple[int, np.ndarray, np.ndarray]:
+        m = self.model
+        found: tuple = (-1, np.zeros(0, np.int64), np.zeros(0))
+        for kind in (0, *ORDERS):
+            units = _grams(word, kind) if kind else [word]
+            got = [m.rows[kind][u] for u in units if u in m.rows[kind]]
+            if got:
+                at, lang, add = m.more[kind]
+                parts = [slice(at[i], at[i + 1]) for i in got]
+                found = (kind, np.concatenate([lang[p] for p in parts]), np.concatenate([add[p] for p in parts]) / len(got))
+                break
+        if len(self) > _MEMO:
+            self.clear()
+        self[word] = found
+        return found
+
+    def total(self, ws: list[str]) -> np.ndarray:
+        out = np.zeros(len(self.model.langs))
+        for i in range(0, len(ws), 4096):
+            found = [self[w] for w in ws[i : i + 4096]]
+            for kind, base in enumerate(self.model.base):
+                out += base * sum(f[0] == kind for f in found)
+            out += np.bincount(np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found]), len(out))
+        return out
+
+
+def scorer(model: Model) -> _Scorer:
+    return (_WideScorer if model.wide else _Scorer)(model)
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE, langs: int = LANGS, units: int = UNITS) -> Model:
     """Learn from (doc_id, text, lang) rows; nothing else of them is read."""
     rows = labelled.filter(F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    per = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()  # at most ``langs`` rows
+    per = rows.groupBy("lang").count().collect()  # a row a language
     if not per:
         return Model([], [])
     names = sorted(r["lang"] for r in per)
     seen = {r["lang"]: r["count"] for r in per}
     pick = Window.partitionBy("lang").orderBy(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id")
-    ids = rows.select("doc_id", "lang").filter(F.col("lang").isin(names)).withColumn("r", F.row_number().over(pick)).filter(F.col("r") <= sample)
-    # at most sample * langs ids, so their broadcast is bounded; an id that many rows repeat is cut again
-    taken = rows.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "text"))).filter(F.col("r") <= sample)
+    ids = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(pick)).filter(F.col("r") <= sample)
+    chosen = ids.select("doc_id", "lang").distinct()
+    # up to sample * langs ids are broadcast, more are joined by shuffle; an id that many rows repeat is cut again
+    taken = rows.join(F.broadcast(chosen) if len(names) <= langs else chosen, ["doc_id", "lang"]).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "text"))).filter(F.col("r") <= sample)
     counts = taken.select("lang", "text").mapInArrow(_count_units, "lang string, kind int, unit string, n long").groupBy("lang", "kind", "unit").agg(F.sum("n").alias("n"))
-    share = max(1, units // (6 * len(names)))
+    share = max(1, units // (6 * min(len(names), langs)))
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "unit"))).filter(F.col("r") <= share)
-    got = top.select("lang", "kind", "unit", "n").toArrow().to_pandas()  # at most ``units`` rows
+    got = top.select("lang", "kind", "unit", "n").toArrow().to_pandas()  # at most ``units`` rows for ``langs`` languages, and in proportion for more
     total = sum(seen.values())
     return Model(names, [seen[x] / total for x in names], got)
 
@@ -147,9 +199,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
     at = docs.columns.index(text_col)
 
     def run(batches):
-        scorer = _Scorer(shared.value)
+        score = scorer(shared.value)
         for b in batches:
-            got = [scorer.predict(t) for t in b.column(at).to_pylist()]
+            got = [score.predict(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*b.schema.names, *names])
 
     return docs.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")

@@ -326,3 +326,24 @@ def test_stream_commits_early():
 
 def test_no_repeated_extra_columns(docs):
     assert docs.select(F.count("*")).first()[0] == len(corpus()) + 3
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    rng = random.Random(5)
+    own = {f"l{k:02}": words(rng, 40).split() for k in range(70)}
+    rows = [(100 * k + i, " ".join(rng.choices(ws, k=30)), lang) for k, (lang, ws) in enumerate(own.items()) for i in range(1 if k > 60 else 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model.wide and model.langs == sorted(own)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, model).select("doc_id", "lang_pred").collect()}
+    assert got == {i: lang for i, _, lang in rows}
+    # entries by unit give what tables give
+    monkeypatch.setattr(langid, "LANGS", 100)
+    table = langid.fit(df, langs=64)
+    a, b = langid.scorer(model), langid.scorer(table)
+    assert not table.wide
+    for t in [t for _, t, _ in rows[::9]] + ["", "zzq qzz", own["l01"][0][:3] + "x " + own["l69"][1]]:
+        (x, p), (y, q) = a.predict(t), b.predict(t)
+        assert x == y and abs(p - q) < 1e-9
+        ws = t.split()
+        assert np.allclose(a.total(ws), b.total(ws))
