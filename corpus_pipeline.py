@@ -13,7 +13,7 @@ from sonaril.llm.common import Scratch, read
 from sonaril.llm.langid import keep_identified
 from sonaril.llm.minhash import keep_one
 from sonaril.llm.packing import pack
-from sonaril.llm.suffix_dedup import remove_repeats
+from sonaril.llm.suffix_dedup import WORDS, remove_repeats
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +27,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated strings (op 8) of more than 50 words go from the texts; documents of which nothing is left go."""
-    cut = remove_repeats(docs, 2 * WORDS - 1, WORDS)
+    """Repeated strings (op 8) of 51 words go from the texts; documents of which nothing is left go."""
+    cut = remove_repeats(docs, WORDS)
     touched = F.col("n_removed") > 0
-    left = cut.withColumn("n_chars", F.when(touched, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return left.filter(~touched | (F.col("text") != "")).select(*docs.columns)
+    left = cut.filter(~touched | (F.trim("text") != ""))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(touched, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +41,6 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-#: Passages of more than 50 words go where they repeat; so many words have 101 bytes at least.
-WORDS = 51
-
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_strings", repeated_strings), ("packing", packing)]
 
 #: No stage can be expressed in SQL; tests hold each stage against a brute-force version.

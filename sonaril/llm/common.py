@@ -184,3 +184,15 @@ def map_arrow(df: DataFrame, kernel, schema: str) -> DataFrame:
                 yield from kernel(b)
 
     return df.mapInArrow(run, schema)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that ``df`` doesn't have yet (names are compared as Spark does, without case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

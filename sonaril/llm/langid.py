@@ -5,9 +5,13 @@ log frequency of its known character n-grams of the greatest length that has any
 word ends marked). A text's language has the highest sum plus log prior; the score is its posterior.
 
 The classifier learns every language that a row is labelled with, from a bounded sample: ``SAMPLE`` rows
-of each language, those with the smallest hashes of their ids. It keeps ``UNITS`` entries in all for up
-to ``LANGS`` languages; of more, each keeps as many as one of ``LANGS``, so the model grows with their
-number (and only the entries are stored, not a table of units by languages). Priors count all labelled rows.
+of each language, those with the smallest hashes of id and text; rows whose hash is far from the smallest
+are filtered where they are read, so that no task ranks a language's rows. All words and n-grams of
+the sample are kept (only those a language has, not a table of units by languages), so the model
+grows with the number of languages. Priors count all labelled rows.
+
+Words are scored in bulk: units are found by their 64-bit hashes in sorted arrays, and each worker keeps
+the rows of the words it has met, up to a fixed room.
 
 Edges: ``und`` with score 0 for a null text or one without a letter, and for every text where no
 labelled row exists; null or empty labels teach nothing; a null id counts as the empty text in the hash.
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -24,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonaril.llm.common import crc_text
+from sonaril.llm.common import crc_text, free_names, prefix_hash, shuffle_partitions, span_hash
 
-SAMPLE, LANGS, UNITS = 1500, 64, 240_000
+SAMPLE = 1500
 ORDERS = (5, 4, 3, 2, 1)
 _WORD = re.compile(r"[^\W\d_]+")
 _MEMO = 200_000
+#: doubles that a worker keeps of words met; words that are summed at once
+ROOM, GROUP = 1 << 23, 1 << 15
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -62,131 +69,163 @@ def _count_units(batches):
         yield out()
 
 
+def _code_points(units: list[str], mark: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix hashes of all units laid end to end (between marks), and each unit's first and last-plus-one place."""
+    text = mark + (mark + mark).join(units) + mark
+    size = np.fromiter(map(len, units), np.int64, len(units)) + 2 * len(mark)
+    end = np.cumsum(size)
+    return prefix_hash(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)), end - size, end
+
+
+class Units(NamedTuple):
+    """Units of one kind: sorted hashes; from where to where a unit's entries stand; each entry's language and what it adds to
+    ``base``, the languages' log frequency of a unit that they lack."""
+
+    hashes: np.ndarray
+    at: np.ndarray
+    lang: np.ndarray
+    add: np.ndarray
+    base: np.ndarray
+
+    @staticmethod
+    def of(units: list[str], lang: np.ndarray, n: np.ndarray, langs: int) -> Units:
+        s, first, end = _code_points(units)
+        hashes, row = np.unique(span_hash(s, first, end), return_inverse=True)
+        order = np.argsort(row, kind="stable")
+        base = np.log(0.5 / (np.bincount(lang, n, langs) + 0.5 * len(hashes) + 1.0))
+        return Units(hashes, np.searchsorted(row[order], np.arange(len(hashes) + 1)).astype(np.int32), lang[order].astype(np.int32), np.log((n[order] + 0.5) / 0.5).astype(np.float32), base)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each hash, and whether it is there."""
+        if not len(self.hashes):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return i, self.hashes[i] == h
+
+    def score(self, unit: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
+        """Mean log frequency in each language of each word's units (indices ``unit`` of words ``word``)."""
+        langs, count = len(self.base), self.at[unit + 1] - self.at[unit]
+        e = np.repeat(self.at[unit] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        to = np.repeat(word, count) * langs + self.lang[e]
+        more = np.bincount(to, self.add[e], words * langs).reshape(words, langs)
+        return self.base + more / np.maximum(np.bincount(word, minlength=words), 1)[:, None]
+
+
 class Model:
-    """Languages, priors, and log frequencies of words and n-grams: tables for up to ``LANGS`` languages, else entries by unit."""
+    """Languages, priors, and the units of each kind."""
 
     def __init__(self, langs: list[str], prior: list[float], units: pd.DataFrame | None = None):
         """units: (lang, kind, unit, n)."""
         self.langs, self.prior = langs, np.log(np.array(prior)) if langs else np.zeros(0)
-        self.rows: list[dict[str, int]] = []
-        self.tables: list[np.ndarray] = []
-        #: of more languages, by kind: log frequencies of a unit that a language lacks, and what its entries add
-        self.base: list[np.ndarray] = []
-        self.more: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.wide = len(langs) > LANGS
+        self.kinds: list[Units] = []
         for kind in range(6):
-            own = units[units["kind"] == kind] if units is not None else None
-            row, names = pd.factorize(own["unit"], sort=True) if own is not None else (np.zeros(0, int), [])
-            lang = np.searchsorted(np.array(langs), own["lang"].to_numpy(dtype=str)) if len(names) else np.zeros(0, int)
-            self.rows.append({x: i for i, x in enumerate(names)})
-            if self.wide:
-                n = own["n"].to_numpy(np.float64)
-                order = np.argsort(row, kind="stable")
-                self.base.append(np.log(0.5 / (np.bincount(lang, n, len(langs)) + 0.5 * len(names) + 1.0)))
-                self.more.append((np.searchsorted(row[order], np.arange(len(names) + 1)), lang[order], np.log((n[order] + 0.5) / 0.5)))
-                continue
-            m = np.zeros((len(names), len(langs)))
-            if len(names):
-                m[row, lang] = own["n"]
-            self.tables.append(np.log((m + 0.5) / (m.sum(0) + 0.5 * len(m) + 1.0)))
-
-
-class _Scorer(dict):
-    """word -> row of ``vec``; unseen words get rows of their own, dropped together when there are too many."""
-
-    def __init__(self, model: Model):
-        self.model, self.known = model, len(model.tables[0])
-        self.vec = np.zeros((self.known + _MEMO, len(model.langs)))
-        self.vec[: self.known] = model.tables[0]
-        self.update(model.rows[0])
-        self.used = self.known
-
-    def __missing__(self, word: str) -> int:
-        m, v = self.model, np.zeros(len(self.model.langs))
+            own = units[units["kind"] == kind] if units is not None else pd.DataFrame({"unit": [], "lang": [], "n": []})
+            lang = np.searchsorted(np.array(langs), own["lang"].to_numpy(dtype=str)) if len(own) else np.zeros(0, np.int64)
+            self.kinds.append(Units.of(own["unit"].tolist(), lang, own["n"].to_numpy(np.float64), len(langs)))
+
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """Scores of words in each language: the word's, else those of its longest known n-grams, else zero."""
+        out = np.zeros((len(words), len(self.langs)))
+        s, first, end = _code_points(words)
+        i, hit = self.kinds[0].find(span_hash(s, first, end))
+        some = np.flatnonzero(hit)
+        if len(some):
+            out[some] = self.kinds[0].score(i[some], np.arange(len(some)), len(some))
+        todo = np.flatnonzero(~hit)
+        if len(todo):
+            s, first, end = _code_points([words[k] for k in todo.tolist()], "_")
         for n in ORDERS:
-            got = [m.rows[n][g] for g in _grams(word, n) if g in m.rows[n]]
-            if got:
-                v = m.tables[n][got].mean(0)
+            if not len(todo):
                 break
-        self.vec[self.used] = v
-        self[word] = self.used
-        self.used += 1
-        return self.used - 1
-
-    def trim(self, room: int) -> None:
-        if self.used + room > len(self.vec):
-            self.clear()
-            self.update(self.model.rows[0])
-            self.used = self.known
-            if room > len(self.vec) - self.known:
-                self.vec = np.concatenate((self.vec[: self.known], np.zeros((room + 1, self.vec.shape[1]))))
-
-    def total(self, ws: list[str]) -> np.ndarray:
-        self.trim(len(ws))
-        return self.vec[np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))].sum(0)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.model.langs or not any(map(str.isalpha, text)):
-            return "und", 0.0
-        ws = _WORD.findall(text.lower())
-        total = self.total(ws) + self.model.prior
-        best = int(total.argmax())
-        return self.model.langs[best], float(1.0 / np.exp(total - total[best]).sum())
-
-
-class _WideScorer(_Scorer):
-    """word -> (kind, languages, what they add); for more than ``LANGS`` languages."""
-
-    def __init__(self, model: Model):
-        self.model = model
-
-    def __missing__(self, word: str) -> tuple[int, np.ndarray, np.ndarray]:
-        m = self.model
-        found: tuple = (-1, np.zeros(0, np.int64), np.zeros(0))
-        for kind in (0, *ORDERS):
-            units = _grams(word, kind) if kind else [word]
-            got = [m.rows[kind][u] for u in units if u in m.rows[kind]]
-            if got:
-                at, lang, add = m.more[kind]
-                parts = [slice(at[i], at[i + 1]) for i in got]
-                found = (kind, np.concatenate([lang[p] for p in parts]), np.concatenate([add[p] for p in parts]) / len(got))
-                break
-        if len(self) > _MEMO:
-            self.clear()
-        self[word] = found
-        return found
-
-    def total(self, ws: list[str]) -> np.ndarray:
-        out = np.zeros(len(self.model.langs))
-        for i in range(0, len(ws), 4096):
-            found = [self[w] for w in ws[i : i + 4096]]
-            for kind, base in enumerate(self.model.base):
-                out += base * sum(f[0] == kind for f in found)
-            out += np.bincount(np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found]), len(out))
+            starts = np.maximum(end - first - n + 1, 0)
+            word = np.repeat(np.arange(len(todo)), starts)
+            at = np.arange(len(word)) - np.repeat(np.cumsum(starts) - starts, starts) + first[word]
+            i, hit = self.kinds[n].find(span_hash(s, at, at + n))
+            got, place = np.unique(word[hit], return_inverse=True)
+            if len(got):
+                out[todo[got]] = self.kinds[n].score(i[hit], place, len(got))
+                left = np.ones(len(todo), bool)
+                left[got] = False
+                todo, first, end = todo[left], first[left], end[left]
         return out
 
 
-def scorer(model: Model) -> _Scorer:
-    return (_WideScorer if model.wide else _Scorer)(model)
+class Scorer:
+    """Keeps the rows of words met; all are dropped together when there are too many."""
 
+    def __init__(self, model: Model):
+        self.model = model
+        self.cap = min(_MEMO, max(1 << 12, ROOM // max(1, len(model.langs))))
+        self.rows: dict[str, int] = {}
+        self.vec = np.zeros((self.cap, len(model.langs)))
+
+    def sums(self, ws: list[str], at: np.ndarray) -> np.ndarray:
+        """Sums of the words' scores between offsets ``at``."""
+        new = set(ws).difference(self.rows)
+        if len(self.rows) + len(new) > self.cap:
+            self.rows.clear()
+            new = set(ws)
+        if new:
+            fresh, used = list(new), len(self.rows)
+            if used + len(fresh) > len(self.vec):
+                self.vec = np.concatenate((self.vec[:used], np.zeros((len(fresh), self.vec.shape[1]))))
+            for k in range(0, len(fresh), 1 << 12):
+                self.vec[used + k : used + k + (1 << 12)][: len(fresh) - k] = self.model.vectors(fresh[k : k + (1 << 12)])
+            self.rows.update(zip(fresh, range(used, used + len(fresh)), strict=True))
+        idx = np.fromiter(map(self.rows.__getitem__, ws), np.int64, len(ws))
+        out = np.zeros((len(at) - 1, self.vec.shape[1]))
+        full = np.flatnonzero(np.diff(at))
+        if len(full):
+            out[full] = np.add.reduceat(self.vec[idx], at[:-1][full], axis=0)
+        return out
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, langs: int = LANGS, units: int = UNITS) -> Model:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and posterior of each text."""
+        m = self.model
+        total = np.zeros((len(texts), len(m.langs))) + m.prior
+        ws: list[str] = []
+        ends, owners = [0], []
+
+        def flush():
+            nonlocal ws, ends, owners
+            np.add.at(total, owners, self.sums(ws, np.array(ends)))
+            ws, ends, owners = [], [0], []
+
+        some = np.array([bool(t) and bool(m.langs) and any(map(str.isalpha, t)) for t in texts], bool)
+        for i in np.flatnonzero(some).tolist():
+            found = _WORD.findall(texts[i].lower())
+            for k in range(0, len(found), GROUP):
+                ws += found[k : k + GROUP]
+                ends.append(len(ws))
+                owners.append(i)
+                if len(ws) >= GROUP:
+                    flush()
+        if owners:
+            flush()
+        if not m.langs:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        best = total.argmax(1)
+        score = 1.0 / np.exp(total - total[np.arange(len(texts)), best][:, None]).sum(1)
+        return [m.langs[b] if s else "und" for b, s in zip(best.tolist(), some.tolist(), strict=True)], np.where(some, score, 0.0)
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from (doc_id, text, lang) rows; nothing else of them is read."""
+    spark = labelled.sparkSession
     rows = labelled.filter(F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     per = rows.groupBy("lang").count().collect()  # a row a language
     if not per:
         return Model([], [])
     names = sorted(r["lang"] for r in per)
     seen = {r["lang"]: r["count"] for r in per}
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(pick)).filter(F.col("r") <= sample)
-    chosen = ids.select("doc_id", "lang").distinct()
-    # up to sample * langs ids are broadcast, more are joined by shuffle; an id that many rows repeat is cut again
-    taken = rows.join(F.broadcast(chosen) if len(names) <= langs else chosen, ["doc_id", "lang"]).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "text"))).filter(F.col("r") <= sample)
-    counts = taken.select("lang", "text").mapInArrow(_count_units, "lang string, kind int, unit string, n long").groupBy("lang", "kind", "unit").agg(F.sum("n").alias("n"))
-    share = max(1, units // (6 * min(len(names), langs)))
-    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "unit"))).filter(F.col("r") <= share)
-    got = top.select("lang", "kind", "unit", "n").toArrow().to_pandas()  # at most ``units`` rows for ``langs`` languages, and in proportion for more
+    # of each language the rows with hashes below a bound that about half as many more as the sample reach; of those, the smallest
+    bound = spark.createDataFrame([(x, float(min(1.0, (1.5 * sample + 100) / n))) for x, n in seen.items()], "lang string, share double")
+    key = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 11)
+    near = rows.withColumn("key", key).join(F.broadcast(bound), "lang").filter(F.col("key") <= F.col("share") * F.lit(float(1 << 53)))
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id", "text")))
+    taken = ranked.filter(F.col("r") <= sample).repartition(shuffle_partitions(spark), "lang", "r").select("lang", "text")
+    counts = taken.mapInArrow(_count_units, "lang string, kind int, unit string, n long").groupBy("lang", "kind", "unit").agg(F.sum("n").alias("n"))
+    got = counts.toArrow().to_pandas()  # the units of ``sample`` rows a language
     total = sum(seen.values())
     return Model(names, [seen[x] / total for x in names], got)
 
@@ -199,10 +238,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
     at = docs.columns.index(text_col)
 
     def run(batches):
-        score = scorer(shared.value)
+        score = Scorer(shared.value)
         for b in batches:
-            got = [score.predict(t) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*b.schema.names, *names])
+            langs, posterior = score.predict(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(posterior, pa.float64())], names=[*b.schema.names, *names])
 
     return docs.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
@@ -220,8 +259,6 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Pipeline stage: documents with a language of posterior ``least`` or more stay."""
-    model = fit(docs)
-    kept = predict(docs, model, names=("_found", "_posterior"))
-    return kept.filter((F.col("_found") != "und") & (F.col("_posterior") >= least)).select(*docs.columns)
-
-
+    found, posterior = free_names(docs, "found", "posterior")
+    kept = predict(docs, fit(docs), names=(found, posterior))
+    return kept.filter((F.col(found) != "und") & (F.col(posterior) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -34,12 +34,12 @@ def test_pipeline(spark, tmp_path):
 def test_repeated_passages_just_over_fifty_words_go(spark, tmp_path):
     rng = random.Random(11)
     w = words(rng, 5000).split()
-    long, tiny, short = " ".join(w[:51]), " ".join("abcdefghijklmnopqrstuvwxy"[i * i % 23] for i in range(51)), " ".join(w[60:100])
+    long, tiny, short = " ".join(w[:51]), " ".join("abcdefghijklmnopqrstuvwxy"[i * i % 23] for i in range(51)), " ".join(w[60:110])
     assert len(long) < 400 and len(tiny) == 101 and len(short) > 101
     rows = []
     for k, x in enumerate((long, tiny, short)):
         rows += [(10 * k + i, f"{words(rng, 120)} {i} {x} {i} {words(rng, 120)}", "en", "s", 1) for i in range(2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.repeated_strings(spark, docs, str(tmp_path)).collect()}
-    assert all(long not in got[i] and f" {i}{i} " in got[i] for i in (0, 1))
+    assert all(long not in got[i] and f" {i}  {i} " in got[i] for i in (0, 1))
     assert all(tiny not in got[10 + i] for i in (0, 1)) and all(got[i] == t for i, t, *_ in rows if i >= 20)

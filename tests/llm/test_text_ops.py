@@ -117,26 +117,59 @@ def brute_repeats(texts, length):
     return out
 
 
+def brute_passages(texts, length):
+    """Number and bytes of the maximal runs of words under strings of ``length`` words that start twice or more."""
+    cut = re.compile(rb"[^\x20\x09-\x0D]+")
+    each = [[(m.start(), m.end(), m.group()) for m in cut.finditer(t.encode())] for t in texts]
+    strings = [[tuple(w for _, _, w in ws[i : i + length]) for i in range(len(ws) - length + 1)] for ws in each]
+    seen = collections.Counter(x for xs in strings for x in xs)
+    out = []
+    for ws, xs in zip(each, strings, strict=True):
+        under = [False] * (len(ws) + 1)
+        for i, x in enumerate(xs):
+            if seen[x] > 1:
+                under[i : i + length] = [True] * length
+        first = [i for i in range(len(ws)) if under[i] and (not i or not under[i - 1])]
+        last = [i for i in range(len(ws)) if under[i] and not under[i + 1]]
+        out.append((len(first), sum(ws[b][1] - ws[a][0] for a, b in zip(first, last, strict=True))))
+    return out
+
+
 @pytest.mark.parametrize("hot", [400, 3])
 def test_repeated_strings(docs, none, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rows = listed(docs)
-    want = sorted((str(d), *x) for (d, _), x in zip(rows, brute_repeats([t for _, t in rows], 400), strict=True))
-    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digest(docs).collect())
-    assert got == want
+    texts = [t for _, t in rows]
+    want = sorted((str(d), *x, *y) for (d, _), x, y in zip(rows, brute_repeats(texts, 400), brute_passages(texts, 51), strict=True))
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passages, r.passage_bytes) for r in suffix_dedup.digest(docs).collect())
+    assert got == want and sum(x[-1] for x in want) > 0
     if hot == 400:
         assert suffix_dedup.digest(none).count() == 0
         cut = suffix_dedup.remove_repeats(docs)
         assert cut.columns == [*docs.columns, "n_removed"] and cut.count() == len(rows)
 
 
-def test_suffix_arrays():
+def test_repeated_strings_whatever_the_chunks(docs, none, monkeypatch):
+    """Short strings, in many small chunks and bundles."""
+    rows = listed(docs)
+    texts = [t for _, t in rows]
+    for unit, brute in ((suffix_dedup.Unit("byte", 40, 8), None), (suffix_dedup.Unit("word", 7, 3), brute_passages(texts, 7))):
+        cut = suffix_dedup.remove_repeats(docs, unit).collect()
+        if brute is None:
+            want = sorted((str(d), x[1]) for (d, _), x in zip(rows, brute_repeats(texts, 40), strict=True))
+        else:
+            want = sorted((str(d), x[1]) for (d, _), x in zip(rows, brute, strict=True))
+        assert sorted((str(r.doc_id), r.n_removed) for r in cut) == want
+
+
+@pytest.mark.parametrize("unit", [suffix_dedup.BYTES, suffix_dedup.WORDS])
+def test_suffix_arrays(unit):
     rng = random.Random(1)
     for trial in range(40):
-        alphabet = rng.choice([b"ab", b"abc\0", bytes(range(6))])
-        ps = [bytes(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(rng.randrange(1, 8))]
+        alphabet = rng.choice([2, 4, 6, 200])
+        ps = [[rng.randrange(alphabet) for _ in range(rng.randrange(60))] for _ in range(rng.randrange(1, 8))]
         ps += ps[:1] * (trial % 3)
-        b = suffix_dedup.Bundle(ps)
+        b = suffix_dedup.Bundle([np.array(p, unit.dtype).tobytes() for p in ps], unit.dtype)
         sa = b.suffix_array()
         symbols = [s for j, p in enumerate(ps) for s in [*(x + 1000 for x in p), j]]
         order = sorted(range(len(symbols)), key=lambda i: symbols[i:])
@@ -328,22 +361,57 @@ def test_no_repeated_extra_columns(docs):
     assert docs.select(F.count("*")).first()[0] == len(corpus()) + 3
 
 
-def test_every_language_is_learned(spark, monkeypatch):
+def brute_language(rows, text, langs):
+    """Word-first backoff said plainly: tables of counts, one word after the other."""
+    counts = [collections.defaultdict(collections.Counter) for _ in range(6)]
+    for _, t, lang in rows:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            counts[0][w][lang] += 1
+            for n in range(1, 6):
+                for i in range(len(w) + 3 - n):
+                    counts[n][f"_{w}_"[i : i + n]][lang] += 1
+    sums = [{x: sum(c[x] for c in k.values()) for x in langs} for k in counts]
+    log = lambda kind, unit, x: math.log((counts[kind][unit][x] + 0.5) / (sums[kind][x] + 0.5 * len(counts[kind]) + 1))
+    total = {x: math.log(sum(r[2] == x for r in rows) / len(rows)) for x in langs}
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        if w in counts[0]:
+            used = [(0, w)]
+        else:
+            used = []
+            for n in range(5, 0, -1):
+                used = used or [(n, g) for g in (f"_{w}_"[i : i + n] for i in range(len(w) + 3 - n)) if g in counts[n]]
+        for x in langs:
+            total[x] += sum(log(k, u, x) for k, u in used) / max(len(used), 1)
+    best = max(langs, key=lambda x: (total[x], [-ord(c) for c in x]))
+    return best, 1 / sum(math.exp(v - total[best]) for v in total.values())
+
+
+@pytest.mark.parametrize("room", [langid.ROOM, 1])
+def test_every_language_is_learned(spark, monkeypatch, room):
+    monkeypatch.setattr(langid, "ROOM", room)
     rng = random.Random(5)
     own = {f"l{k:02}": words(rng, 40).split() for k in range(70)}
     rows = [(100 * k + i, " ".join(rng.choices(ws, k=30)), lang) for k, (lang, ws) in enumerate(own.items()) for i in range(1 if k > 60 else 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(df)
-    assert model.wide and model.langs == sorted(own)
-    got = {r.doc_id: r.lang_pred for r in langid.predict(df, model).select("doc_id", "lang_pred").collect()}
-    assert got == {i: lang for i, _, lang in rows}
-    # entries by unit give what tables give
-    monkeypatch.setattr(langid, "LANGS", 100)
-    table = langid.fit(df, langs=64)
-    a, b = langid.scorer(model), langid.scorer(table)
-    assert not table.wide
-    for t in [t for _, t, _ in rows[::9]] + ["", "zzq qzz", own["l01"][0][:3] + "x " + own["l69"][1]]:
-        (x, p), (y, q) = a.predict(t), b.predict(t)
-        assert x == y and abs(p - q) < 1e-9
-        ws = t.split()
-        assert np.allclose(a.total(ws), b.total(ws))
+    assert model.langs == sorted(own)
+    odd = ["zzq qzz", own["l01"][0][:3] + "x " + own["l69"][1], "Straße ÜBER 日本語", "q", own["l05"][3].upper() * 30]
+    every = df.union(spark.createDataFrame([(9000 + i, t, None) for i, t in enumerate(odd)], df.schema))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(every, model).collect()}
+    assert all(got[i][0] == lang for i, _, lang in rows)
+    for i, t in [(i, t) for i, t, _ in rows[::9]] + [(9000 + i, t) for i, t in enumerate(odd)]:
+        lang, score = brute_language(rows, t, model.langs)
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-4
+
+
+def test_languages_on_hard_rows(spark):
+    """Repeated rows, clashing names, null ids, one very long text."""
+    rows = [(i % 5, "the house and the garden", "en", "x", 1.0) for i in range(40)] + [(None, "das haus und der garten", "de", "x", 1.0)] * 40
+    rows += [(99, "der garten und das haus " * 60_000, None, "x", 1.0), (98, "¹² ½", None, "x", 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    got = langid.predict(df, langid.fit(df))
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    seen = {(r.doc_id, r.lang_pred) for r in got.collect()}
+    assert seen == {*((i, "en") for i in range(5)), (None, "de"), (99, "de"), (98, "und")}
+    clash = df.withColumnRenamed("lang_pred", "FOUND").withColumnRenamed("score", "posterior")
+    assert langid.keep_identified(clash).count() == 81 and langid.keep_identified(clash).columns == clash.columns
