@@ -38,6 +38,20 @@ def bit_field(word: Column | str, low: int, n: int) -> Column:
     return F.shiftrightunsigned(col(word).cast("long"), low).bitwiseAND(F.lit((1 << n) - 1))
 
 
+def bits_at(b: Column | str, at: int, n: int) -> Column:
+    """``n`` <= 16 bits of a binary from a bit position on, most significant first; null past the end."""
+    end = 8 * (-(-(at + n) // 8))
+    word = F.lit(0).cast("long")
+    for k in range(at // 8, end // 8):
+        word = word * 256 + byte_at(b, k)
+    return bit_field(word, end - at - n, n).cast("int")
+
+
+def unary(word: Column | str, width: int) -> Column:
+    """Zeros before the first one of a word of ``width`` bits."""
+    return F.lit(width) - ilog(word)
+
+
 def sign_extend(x: Column | str, n: int) -> Column:
     x = col(x)
     return F.when(x >= (1 << (n - 1)), x - (1 << n)).otherwise(x)

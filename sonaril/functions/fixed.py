@@ -50,6 +50,88 @@ def smmul(a: Column | str, b: Column | str) -> Column:
     return F.shiftright(_long(a) * _long(b), 32)
 
 
+def smlaww(a: Column | str, b: Column | str, c: Column | str) -> Column:
+    return _long(a) + smulww(b, c)
+
+
+def smlabb(a: Column | str, b: Column | str, c: Column | str) -> Column:
+    return _long(a) + smulbb(b, c)
+
+
+def saturate16(x: Column | str) -> Column:
+    return F.greatest(F.lit(-32768).cast("long"), F.least(F.lit(32767).cast("long"), _long(x)))
+
+
+def add_sat32(a: Column | str, b: Column | str) -> Column:
+    return saturate32(_long(a) + _long(b))
+
+
+def sub_sat32(a: Column | str, b: Column | str) -> Column:
+    return saturate32(_long(a) - _long(b))
+
+
+def _shift(name: str, x: Column, n: Column | int) -> Column:
+    """shiftleft or shiftright by a column's number of bits."""
+    return F.call_function(name, _long(x), (F.lit(n) if isinstance(n, int) else n).cast("int"))
+
+
+def lshift_sat32(a: Column | str, n: Column | int) -> Column:
+    """Left shift after clipping to what stays within 32 bits."""
+    lo, hi = _shift("shiftright", F.lit(-(1 << 31)), n), _shift("shiftright", F.lit((1 << 31) - 1), n)
+    return _shift("shiftleft", F.greatest(lo, F.least(hi, _long(a))), n)
+
+
+def _quotient(a: Column, b: Column) -> Column:
+    """Integer quotient towards zero."""
+    return F.signum(a.cast("double")).cast("long") * F.signum(b.cast("double")).cast("long") * F.floor(F.abs(a) / F.abs(b)).cast("long")
+
+
+def _reciprocal(b: Column) -> tuple[Column, Column, Column]:
+    """Headroom of a 32-bit value, the value without it, and the first guess of its reciprocal."""
+    head = clz32(F.abs(b)) - 1
+    norm = _shift("shiftleft", b, head)
+    return head, norm, _quotient(F.lit(((1 << 31) - 1) >> 2).cast("long"), F.shiftright(norm, 16))
+
+
+def _scaled(result: Column, n: Column) -> Column:
+    """Right shift by n bits, saturated left shift where n is negative, 0 beyond 31."""
+    return F.when(n < 0, lshift_sat32(result, F.greatest(-n, F.lit(0)))).when(n < 32, _shift("shiftright", result, F.greatest(F.lit(0), F.least(n, F.lit(31))))).otherwise(0)
+
+
+def inverse32(b: Column | str, q: int) -> Column:
+    """Approximate 2**q / b of a 32-bit value that isn't 0: a guess and one correction."""
+    head, norm, guess = _reciprocal(_long(b))
+    error = ((1 << 29) - smulwb(norm, guess)) * 8
+    return _scaled(smlaww(guess * 65536, error, guess), 61 - head - q)
+
+
+def divide32(a: Column | str, b: Column | str, q: int) -> Column:
+    """Approximate a * 2**q / b: a guess by the reciprocal and one correction with the rest."""
+    a, b = _long(a), _long(b)
+    head_a = clz32(F.abs(a)) - 1
+    norm_a = _shift("shiftleft", a, head_a)
+    head_b, norm_b, guess = _reciprocal(b)
+    first = smulwb(norm_a, guess)
+    rest = wrap32(norm_a - wrap32(smmul(norm_b, first) * 8))
+    return _scaled(smlawb(first, rest, guess), 29 + head_a - head_b - q)
+
+
+def log2lin(x: Column | str) -> Column:
+    """2**(x / 128) by a parabola between powers of two; 0 below 0, the largest value from 3967 on."""
+    x = _long(x)
+    power = _shift("shiftleft", F.lit(1), F.shiftright(F.greatest(x, F.lit(0)), 7))
+    part = x.bitwiseAND(F.lit(127))
+    curve = smlawb(part, smulbb(part, 128 - part), F.lit(-174))
+    small, large = power + F.shiftright(power * curve, 7), power + F.shiftright(power, 7) * curve
+    return F.when(x < 0, 0).when(x >= 3967, (1 << 31) - 1).when(x < 2048, wrap32(small)).otherwise(wrap32(large)).cast("long")
+
+
+def symmetric_dequant(code: Column | str, levels: Column | str | int) -> Column:
+    """(2m - (L - 1)) / L in units of 2**-24, towards zero."""
+    levels = _long(levels)
+    return _quotient((_long(code) * 2 - (levels - 1)) * (1 << 23), levels)
+
+
 def round_shift(a: Column | str, n: int) -> Column:
     a = _long(a)
     return F.shiftright(a, 1) + a.bitwiseAND(F.lit(1)) if n == 1 else F.shiftright(F.shiftright(a, n - 1) + 1, 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sonaril.functions.bits import bit_field, byte_at
+from sonaril.functions.bits import bit_field, bits_at, byte_at, sign_extend, unsigned_be, unsigned_le
 from sonaril.functions.pcm import col
 
 # Bit rates in bit/s by index (0 and 15 are not allowed), and sample rates.
@@ -57,6 +57,46 @@ def side_info_size(version: Column | str, channels: Column | str) -> Column:
     return F.when(v == "mpeg1", F.when(c == 1, 17).otherwise(32)).otherwise(F.when(c == 1, 9).otherwise(17))
 
 
+def _side_layout(b: Column | str, mpeg1: bool, channels: int) -> Column:
+    """Granules of one layout: every field stands at a fixed bit."""
+    at = 0
+
+    def take(n: int) -> Column:
+        nonlocal at
+        at += n
+        return bits_at(b, at - n, n)
+
+    back = take(9 if mpeg1 else 8)
+    take((5 if channels == 1 else 3) if mpeg1 else channels)  # private bits
+    shared = [F.array(*[take(1) if mpeg1 else F.lit(0) for _ in range(4)]) for _ in range(channels)]
+    rows = []
+    for gr in range(2 if mpeg1 else 1):
+        for ch in range(channels):
+            lengths = [take(n).alias(c) for c, n in (("part2_3_length", 12), ("big_values", 9), ("global_gain", 8), ("scalefac_compress", 4 if mpeg1 else 9))]
+            switch, here = take(1), at
+            kind, mixed = take(2), take(1)
+            short_tables, gains = F.array(take(5), take(5)), F.array(take(3), take(3), take(3))
+            at = here  # the same 22 bits have other fields where windows aren't switched
+            tables, r0, r1 = F.array(take(5), take(5), take(5)), take(4), take(3)
+            on = switch == 1
+            region = F.when((kind == 2) & (mixed == 0), 8).otherwise(7)
+            pick = lambda yes, no: F.when(on, yes).otherwise(no)  # noqa: B023, E731
+            rows.append(
+                F.struct(
+                    back.alias("main_data_begin"), F.lit(gr).alias("gr"), F.lit(ch).alias("ch"), *lengths, switch.alias("win_switch"),
+                    pick(kind, 0).alias("block_type"), pick(mixed, 0).alias("mixed"), pick(short_tables, tables).alias("table_select"), pick(gains, F.array(*[F.lit(0)] * 3)).alias("subblock_gain"),
+                    pick(region, r0).alias("region0"), pick(20 - region, r1).alias("region1"),
+                    (take(1) if mpeg1 else F.lit(0)).alias("preflag"), take(1).alias("scalefac_scale"), take(1).alias("count1table_select"), shared[ch].alias("scfsi"),
+                )
+            )
+    return F.array(*rows)
+
+
+def side_info(b: Column | str, mpeg1: Column, channels: Column) -> Column:
+    """Layer III side information as an array with a struct for each granule and channel: a projection by the four layouts."""
+    return F.when(mpeg1 & (channels == 1), _side_layout(b, True, 1)).when(mpeg1, _side_layout(b, True, 2)).when(channels == 1, _side_layout(b, False, 1)).otherwise(_side_layout(b, False, 2))
+
+
 def layer2_table(bitrate: Column | str, channels: Column | str, rate: Column | str, lsf: Column | str) -> Column:
     """Allocation table of a layer II frame: 0-3 by kbit/s per channel and rate, 4 for half rates."""
     per = F.floor(col(bitrate) / (col(channels) * 1000))
@@ -130,6 +170,81 @@ def celt_end_band(bandwidth: Column | str) -> Column:
     return F.when(b == "nb", 13).when(b.isin("mb", "wb"), 17).when(b == "swb", 19).when(b == "fb", 21)
 
 
+def frame_size_lm(frame_size: Column | str) -> Column:
+    """log2 of a frame's size in units of 120 samples."""
+    n = col(frame_size)
+    return F.when(n == 120, 0).when(n == 240, 1).when(n == 480, 2).when(n == 960, 3)
+
+
+def _starts(b: Column | str, magic: bytes) -> Column:
+    return F.substring(col(b), 1, len(magic)) == F.unhex(F.lit(magic.hex()))
+
+
+def opus_head(b: Column | str) -> Column:
+    """Fields of an identification packet; null if the packet is none."""
+    gain = sign_extend(unsigned_le(b, 16, 2), 16).cast("int")
+    fields = F.struct(byte_at(b, 8).alias("version"), byte_at(b, 9).alias("channels"), unsigned_le(b, 10, 2).cast("int").alias("pre_skip"), unsigned_le(b, 12, 4).alias("input_rate"), gain.alias("output_gain"), byte_at(b, 18).alias("mapping_family"))
+    return F.when((F.octet_length(col(b)) >= 19) & _starts(b, b"OpusHead"), fields)
+
+
+def vorbis_identification(b: Column | str) -> Column:
+    """Fields of an identification header; null if it is none, or one that no stream may have."""
+    sizes = byte_at(b, 28)
+    short, long_ = (F.call_function("shiftleft", F.lit(1), x.cast("int")) for x in (sizes.bitwiseAND(15), F.shiftright(sizes, 4)))
+    fine = (F.octet_length(col(b)) >= 30) & _starts(b, b"\x01vorbis") & (unsigned_le(b, 7, 4) == 0) & (byte_at(b, 11) > 0) & (unsigned_le(b, 12, 4) > 0)
+    fine = fine & short.between(64, 8192) & long_.between(64, 8192) & (short <= long_) & (byte_at(b, 29) % 2 == 1)
+    rate = lambda at: sign_extend(unsigned_le(b, at, 4), 32)
+    fields = F.struct(byte_at(b, 11).alias("channels"), unsigned_le(b, 12, 4).alias("rate"), rate(16).alias("most"), rate(20).alias("nominal"), rate(24).alias("least"), short.alias("short_block"), long_.alias("long_block"))
+    return F.when(fine, fields)
+
+
+def vorbis_block_size(packet: Column | str, modes: list[bool], short: Column | int, long_: Column | int) -> Column:
+    """Block size of an audio packet by its mode number, 0 for a packet of another kind; ``modes`` says which modes are long."""
+    first = byte_at(packet, 0)
+    wide = max(len(modes) - 1, 0).bit_length()
+    mode = F.shiftright(first, 1).bitwiseAND((1 << wide) - 1)
+    is_long = F.get(F.array(*map(F.lit, modes)), mode)
+    size = F.when(is_long, F.lit(long_) if isinstance(long_, int) else long_).otherwise(F.lit(short) if isinstance(short, int) else short)
+    return F.when((first % 2 == 0) & is_long.isNotNull(), size).otherwise(0)
+
+
+def flac_streaminfo(b: Column | str) -> Column:
+    """Fields of a native stream's first block; null if there is none of 34 bytes, or it names no valid depth."""
+    packed = unsigned_be(b, 18, 4)  # 20 bits of rate, 3 of channels, 5 of depth, 4 of the length
+    depth = bit_field(packed, 4, 5) + 1
+    digest = F.lower(F.hex(F.substring(col(b), 27, 16)))
+    fields = F.struct(
+        *(unsigned_be(b, at, n).alias(name) for name, at, n in (("min_block", 8, 2), ("max_block", 10, 2), ("min_frame", 12, 3), ("max_frame", 15, 3))),
+        bit_field(packed, 12, 20).alias("sample_rate"),
+        (bit_field(packed, 9, 3) + 1).alias("channels"),
+        depth.alias("bits"),
+        (bit_field(packed, 0, 4) * F.lit(1 << 32) + unsigned_be(b, 22, 4)).alias("total_samples"),
+        F.when(digest != "0" * 32, digest).alias("md5"),
+    )
+    return F.when((F.octet_length(col(b)) >= 42) & _starts(b, b"fLaC") & (byte_at(b, 4).bitwiseAND(127) == 0) & (unsigned_be(b, 5, 3) == 34) & (depth >= 4), fields)
+
+
+def vbr_tag(frame: Column | str, version: Column | str, channels: Column | str) -> Column:
+    """Whether a layer III frame is a variable-rate tag and no audio: a name after its side information, or at byte 36."""
+    at = 5 + side_info_size(version, channels)
+    after = F.substring(col(frame), at, F.lit(4))
+    return after.isin(F.unhex(F.lit(b"Xing".hex())), F.unhex(F.lit(b"Info".hex()))) | (F.substring(col(frame), 37, 4) == F.unhex(F.lit(b"VBRI".hex())))
+
+
+def audio_config(b: Column | str) -> Column:
+    """Object type, rate index and channel configuration of an AudioSpecificConfig."""
+    c = [F.coalesce(byte_at(b, k), F.lit(0)) for k in range(7)]
+    word = lambda at: c[at].cast("long") * 65536 + c[at + 1] * 256 + c[at + 2]
+    short = bit_field(word(0), 19, 5)
+    wide = short == 31
+    kind = F.when(wide, 32 + bit_field(word(0), 13, 6)).otherwise(short)
+    rate = F.when(wide, bit_field(word(1), 17, 4)).otherwise(bit_field(word(0), 15, 4))
+    # a rate of 15 is spelled out in 24 bits, which push the channels on by three bytes
+    plain = F.when(wide, bit_field(word(1), 13, 4)).otherwise(bit_field(word(0), 11, 4))
+    far = F.when(wide, bit_field(word(4), 13, 4)).otherwise(bit_field(word(3), 11, 4))
+    return F.struct(kind.cast("int").alias("object_type"), rate.cast("int").alias("rate_index"), F.when(rate == 15, far).otherwise(plain).cast("int").alias("channel_config"))
+
+
 def sniff(content: Column | str) -> Column:
     """Container or codec of a file by its first bytes."""
     c = col(content)

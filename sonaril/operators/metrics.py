@@ -14,14 +14,27 @@ def compare(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("stream_id").agg(F.corr(a, b).alias("corr"), F.sqrt(F.avg((a - b) * (a - b))).alias("rms"), F.sqrt(F.sum((a - b) * (a - b)) / F.sum(a * a)).alias("relative"))
 
 
-def best_lag(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
+def best_lag(a: DataFrame, b: DataFrame, most: int, block: int = 1 << 12) -> DataFrame:
     """(stream_id, lag, r): the lag from -most to most with the highest uncentred correlation, the smaller one on ties.
 
-    Each sample of ``b`` is sent to 2 * most + 1 positions (a fixed fan-out) and met by equality.
+    Streams have running numbers. Samples meet as arrays, one row per block of ``a`` with ``most`` more samples of ``b`` on either side; a block
+    gives three sums per lag.
     """
-    shifted = b.select("stream_id", F.col("n").alias("m"), F.col("s").cast("long").alias("b")).withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("n", F.col("m") - F.col("lag"))
-    x = a.select("stream_id", "n", F.col("s").cast("long").alias("a")).join(shifted, ["stream_id", "n"])
-    sums = x.groupBy("stream_id", "lag").agg(F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
+    at = lambda shift: F.floor((F.col("n") + shift) / block)
+    own = a.select("stream_id", at(0).alias("_block"), F.lit(0).alias("side"), "n", F.col("s").cast("long").alias("s"))
+    near = b.select("stream_id", F.explode(F.array_distinct(F.array(at(-most), at(0), at(most)))).alias("_block"), F.lit(1).alias("side"), "n", F.col("s").cast("long").alias("s"))
+    side = lambda k: F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("n", "s"))))
+    met = own.unionByName(near).groupBy("stream_id", "_block").agg(side(0).alias("a"), side(1).alias("b")).filter("size(a) > 0 AND size(b) > 0")
+    met = met.withColumn("from", F.get("b", F.lit(0))["n"]).withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most))))
+    start = F.struct(*(F.lit(0).cast("long").alias(c) for c in ("ab", "aa", "bb")))
+
+    def add(t, x):
+        y = F.get("b", (x["n"] + F.col("lag") - F.col("from")).cast("int"))["s"]
+        more = lambda u, v: F.coalesce(u * v, F.lit(0).cast("long"))
+        return F.struct((t["ab"] + more(x["s"], y)).alias("ab"), (t["aa"] + F.when(y.isNotNull(), x["s"] * x["s"]).otherwise(0)).alias("aa"), (t["bb"] + more(y, y)).alias("bb"))
+
+    parts = met.select("stream_id", "lag", F.aggregate("a", start, add).alias("t"))
+    sums = parts.groupBy("stream_id", "lag").agg(*(F.sum(f"t.{c}").alias(c) for c in ("ab", "aa", "bb")))
     r = sums.filter("aa > 0 AND bb > 0").withColumn("r", F.col("ab") / (F.sqrt(F.col("aa").cast("double")) * F.sqrt(F.col("bb").cast("double"))))
     top = r.groupBy("stream_id").agg(F.max(F.struct("r", (-F.col("lag")).alias("neg"))).alias("m"))
     return top.select("stream_id", (-F.col("m.neg")).alias("lag"), F.col("m.r").alias("r"))

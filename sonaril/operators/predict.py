@@ -7,16 +7,20 @@ from math import comb
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonaril.operators.ordering import BLOCK, running_sum
+from sonaril.operators.ordering import BLOCK, running_sum, with_halo
 
 
-def fixed_residual(df: DataFrame, order: int) -> DataFrame:
-    """(stream_id, n, s) -> residual of the fixed predictor; the first ``order`` rows keep their samples."""
-    w = Window.partitionBy("stream_id").orderBy("n")
+def fixed_residual(df: DataFrame, order: int, block: int = BLOCK) -> DataFrame:
+    """(stream_id, n, s) with running numbers n -> residual of the fixed predictor; the first ``order`` rows keep their samples.
+
+    Windows stay inside blocks, each with the ``order`` samples before it.
+    """
+    w = Window.partitionBy("stream_id", "_block").orderBy("n")
     r = F.col("s").cast("long")
     for k in range(1, order + 1):
         r = r + (-1) ** k * comb(order, k) * F.lag("s", k).over(w).cast("long")
-    return df.select("stream_id", "n", F.when(F.col("n") < order, F.col("s").cast("long")).otherwise(r).alias("r"))
+    out = with_halo(df.select("stream_id", "n", "s"), "n", order, block).withColumn("r", F.when(F.col("n") < order, F.col("s").cast("long")).otherwise(r))
+    return out.filter(~F.col("_halo")).select("stream_id", "n", "r")
 
 
 def fixed_predict(df: DataFrame, order: int, block: int = BLOCK) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Windowed-sinc rate conversion as an equi-join of output taps with input samples.
+"""Windowed-sinc rate conversion on blocks of samples.
 
 Output j stands at p = half + j * in / out; it is the sum over the inputs within ``half`` of p of the
-sample times the kernel's tabulated weight, read with linear interpolation. Taps are exploded per
-output, so the range condition becomes an equality that shuffles evenly; the kernel table is a fixed
-dimension of half * 64 + 2 rows. Output begins where the kernel is fully inside the input.
+sample times the kernel's tabulated weight, read with linear interpolation. p's fraction takes as many
+values as the reduced output rate, so the weights are a fixed table, one array per fraction. Samples come
+together as arrays, one row per block with the few samples after it, and an output is one fold over
+a slice and its weights. Streams have running numbers. Output begins where the kernel is fully inside.
 """
 
 from __future__ import annotations
@@ -38,31 +39,49 @@ def kernel_table(rate_in: int, rate_out: int) -> list[float]:
     return out
 
 
-def kernel_frame(spark: SparkSession, rate_in: int, rate_out: int) -> DataFrame:
-    """(i, w, w_next) with w_next = 0 after the last entry."""
-    k = kernel_table(rate_in, rate_out)
-    return spark.createDataFrame([(i, float(v), float(k[i + 1]) if i + 1 < len(k) else 0.0) for i, v in enumerate(k)], "i long, w double, w_next double")
+def phase_weights(rate_in: int, rate_out: int) -> list[list[float]]:
+    """For each fraction r / den of p: the weights of the 2 * half + 2 inputs from floor(p) - half on."""
+    _, half = kernel_shape(rate_in, rate_out)
+    k = [*kernel_table(rate_in, rate_out), 0.0]
+    den = Fraction(rate_in, rate_out).denominator
+    out = []
+    for r in range(den):
+        row = []
+        for t in range(2 * half + 2):
+            d = abs(Fraction(t - half) - Fraction(r, den)) * DENSITY
+            i = math.floor(d)
+            row.append(0.0 if i >= half * DENSITY else (1 - float(d - i)) * k[i] + float(d - i) * k[i + 1])
+        out.append(row)
+    return out
+
+
+def phase_frame(spark: SparkSession, rate_in: int, rate_out: int) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(phase_weights(rate_in, rate_out))), "phase long, w array<double>")
 
 
-def resample(df: DataFrame, rate_in: int, rate_out: int) -> DataFrame:
+def resample(df: DataFrame, rate_in: int, rate_out: int, block: int = 1 << 12) -> DataFrame:
     """(stream_id, n, s) -> (stream_id, n, s) at the other rate, tail flushed."""
-    spark = df.sparkSession
     _, half = kernel_shape(rate_in, rate_out)
     step = Fraction(rate_in, rate_out)
-    lengths = df.groupBy("stream_id").agg((F.max("n") + 1).alias("len"))
-    # outputs while half + j * step < len; one row per stream and then per output
-    count = F.floor((F.col("len") - half) * step.denominator / F.lit(step.numerator)) + F.when((F.col("len") - half) * step.denominator % step.numerator == 0, 0).otherwise(1)
-    outs = lengths.filter(F.col("len") > half).select("stream_id", "len", F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1)).alias("j"))
-    p = F.lit(float(half)) + F.col("j") * step.numerator / F.lit(float(step.denominator))
-    outs = outs.withColumn("p", p)
-    lo = F.greatest(F.lit(0), F.ceil(F.col("p") - half)).cast("long")
-    hi = F.least(F.col("len") - 1, F.floor(F.col("p") + half)).cast("long")
-    taps = outs.select("stream_id", "j", "p", F.explode(F.sequence(lo, hi)).alias("n"))
-    d = F.abs(F.col("n") - F.col("p")) * DENSITY
-    taps = taps.withColumn("i", F.floor(d)).withColumn("f", d - F.floor(d))
-    # a fixed table: half * 64 + 1 rows
-    weighed = taps.join(F.broadcast(kernel_frame(spark, rate_in, rate_out)), "i").select("stream_id", "j", "n", F.when(F.col("i") >= half * DENSITY, 0.0).otherwise((1 - F.col("f")) * F.col("w") + F.col("f") * F.col("w_next")).alias("w"))
-    return weighed.join(df, ["stream_id", "n"]).groupBy("stream_id", "j").agg(clamp16(F.sum(F.col("w") * F.col("s"))).alias("s")).select("stream_id", F.col("j").alias("n"), "s")
+    num, den = F.lit(step.numerator).cast("long"), step.denominator
+    size = max(block, 4 * half)
+    at = F.floor(F.col("n") / size)
+    # a block's outputs start inside it and reach 2 * half + 1 samples beyond
+    early = (F.pmod(F.col("n"), F.lit(size)) < 2 * half + 2) & (F.col("n") >= size)
+    spread = df.select("stream_id", "n", "s", F.explode(F.when(early, F.array(at, at - 1)).otherwise(F.array(at))).alias("block"))
+    blocks = spread.groupBy("stream_id", "block").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("x"))
+    blocks = blocks.select("stream_id", "block", F.transform("x", lambda v: v["s"].cast("double")).alias("x"), (F.element_at("x", -1)["n"] + 1).alias("end"))
+    first = F.col("block") * size
+    # outputs j with floor(j * num / den) in the block, while half + j * num / den is before the stream's end
+    j0 = F.ceil(first * den / num).cast("long")
+    j1 = F.least(F.ceil((first + size) * den / num), F.ceil((F.col("end") - half) * den / num)).cast("long") - 1
+    outs = blocks.withColumn("j0", j0).withColumn("j1", j1).filter("j1 >= j0").withColumn("j", F.explode(F.sequence("j0", "j1")))
+    phases = F.broadcast(phase_frame(df.sparkSession, rate_in, rate_out))  # a fixed table: a row per fraction
+    part = F.pmod(F.col("j") * num, F.lit(den).cast("long"))
+    start = (F.expr(f"(j * {step.numerator}L) div {den}L") - first + 1).cast("int")
+    met = outs.withColumn("phase", part).withColumn("start", start).join(phases, "phase")
+    fold = F.aggregate(F.zip_with(F.slice("x", F.col("start"), F.lit(2 * half + 2)), "w", lambda s, w: F.coalesce(s * w, F.lit(0.0))), F.lit(0.0), lambda a, v: a + v)
+    return met.select("stream_id", F.col("j").alias("n"), clamp16(fold).alias("s"))
 
 
 def convert(df: DataFrame, rate_in: int, rate_out: int) -> DataFrame:

@@ -316,7 +316,7 @@ def imdct_direct(spark, sf):
     return _imdct(spark, sf).select("frame", "i", full_scale("y", 8192).alias("s"))
 
 
-@query(f"WITH {IMDCT} SELECT a.frame, CAST(a.i AS INTEGER) AS i, {_clamp('(a.y + coalesce(b.y, 0)) * 4096')} AS s FROM blk a LEFT JOIN blk b ON b.frame = a.frame - 1 AND b.i = a.i + 64 WHERE a.i < 64")
+@query(f"WITH {IMDCT} SELECT CAST(frame + i // 64 AS BIGINT) AS frame, CAST(i % 64 AS INTEGER) AS i, {_clamp('sum(y) * 4096')} AS s FROM blk GROUP BY 1, 2 HAVING min(i // 64) = 0")
 def overlap_add(spark, sf):
     return spectral.overlap_add(_imdct(spark, sf), 128).select("frame", F.col("i").cast("int").alias("i"), full_scale("y", 4096).alias("s"))
 
@@ -389,7 +389,7 @@ def floor_render_line(spark, sf):
 
 
 @query(f"""WITH {SPEC}, p AS (SELECT frame, list(CAST(3072 - ((CAST(round_even(abs(x) * 40, 0) AS INTEGER) % 25) << 7) AS INTEGER) ORDER BY k) AS p FROM spec GROUP BY 1)
-SELECT frame, list_reduce(p, lambda a, x: CAST(greatest(a, x) + round_even(log2(1 + pow(2.0, -least(greatest(a, x) - ((a + x) >> 1), 255) / 32.0)) * 64, 0) AS INTEGER)) AS level FROM p""")
+SELECT frame, list_reduce(p, lambda a, x: CAST(greatest(a, x) + floor(1280 / 6.0 * log10(1 + pow(10.0, -6 * least(greatest(a, x) - ((a + x) >> 1), 255) / 640.0))) AS INTEGER)) AS level FROM p""")
 def psd_log_add(spark, sf):
     p = signals.table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame"), F.transform("embedding", lambda x: (3072 - (F.rint(F.abs(x.cast("double")) * 40).cast("int") % 25) * 128).cast("int")).alias("psd"))
     return packets.log_add(p).select("frame", "level")
@@ -659,3 +659,7 @@ def ac3_exponents(spark, sf):
     e = signals.table(spark, sf, "events").select(F.floor(F.col("event_id") / 16).alias("frame"), (F.col("event_id") % 16).alias("i"), fixed.ungroup5((F.col("event_id") * 37) % 125).alias("g"))
     d = e.select("frame", "i", F.posexplode("g").alias("j", "d")).select("frame", (F.col("i") * 3 + F.col("j")).alias("band"), F.col("d").cast("long").alias("d"))
     return predict.delta_chain(d, 12, 2).select(F.col("frame").alias("block"), F.col("band").alias("k"), F.col("v").alias("exponent"))
+
+
+# further queries register themselves
+from sonaril.plans import heads, stages  # noqa: E402, F401

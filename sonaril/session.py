@@ -32,3 +32,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share; a new one under /tmp only where none is set and Spark is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.conf.set("spark.checkpoint.dir", base)
+    return base

@@ -34,8 +34,11 @@ def ogg_files(df: DataFrame, key: str, packets: list[str]) -> DataFrame:
     return df.select(df[key].cast("string").alias(key), *packets).mapInArrow(run, "stream_id string, content binary")
 
 
-def mp4_bytes(samples: list[bytes], per_chunk: int = 2) -> bytes:
-    """Samples as an MP4 file of one track, in chunks of ``per_chunk``; samples of one size have it in the header only."""
+def mp4_bytes(samples: list[bytes], per_chunk: int = 2, config: bytes | None = None, media_time: int | None = None, gapless: tuple[int, int, int] | None = None) -> bytes:
+    """Samples as an MP4 file of one track, in chunks of ``per_chunk``; samples of one size have it in the header only.
+
+    With an audio configuration, the start of the first edit, and (delay, padding, samples) of the gapless tag where given.
+    """
 
     def box(name: bytes, *parts: bytes) -> bytes:
         body = b"".join(parts)
@@ -53,8 +56,19 @@ def mp4_bytes(samples: list[bytes], per_chunk: int = 2) -> bytes:
     for c in chunks:
         bases.append(at)
         at += sum(map(len, c))
-    stbl = box(b"stbl", table(b"stsz", [one, len(sizes)], [] if one else sizes), table(b"stsc", [len(runs) // 3], runs), table(b"stco", [len(bases)], bases))
-    return front + box(b"mdat", *samples) + box(b"moov", box(b"trak", box(b"mdia", box(b"minf", stbl))))
+    said, edits, tags = b"", b"", b""
+    if config is not None:
+        chain = bytes([5, len(config)]) + config
+        chain = bytes([4, len(chain) + 13]) + bytes(13) + chain
+        chain = bytes([3, 0x80, 0x80, len(chain) + 3]) + bytes(3) + chain
+        said = box(b"stsd", struct.pack(">II", 0, 1), box(b"mp4a", bytes(28), box(b"esds", bytes(4), chain)))
+    if media_time is not None:
+        edits = box(b"edts", box(b"elst", struct.pack(">IIIII", 0, 1, 0, media_time, 0x10000)))
+    if gapless is not None:
+        text = " 00000000 {:08X} {:08X} {:016X}".format(*gapless).encode() + b" 00000000" * 8
+        tags = box(b"udta", box(b"meta", bytes(4), box(b"ilst", box(b"----", box(b"name", bytes(4), b"iTunSMPB"), box(b"data", bytes(8), text)))))
+    stbl = box(b"stbl", said, table(b"stsz", [one, len(sizes)], [] if one else sizes), table(b"stsc", [len(runs) // 3], runs), table(b"stco", [len(bases)], bases))
+    return front + box(b"mdat", *samples) + box(b"moov", box(b"trak", edits, box(b"mdia", box(b"minf", stbl))), tags)
 
 
 def mp4_files(df: DataFrame, key: str, samples: list[str]) -> DataFrame:
@@ -66,3 +80,15 @@ def mp4_files(df: DataFrame, key: str, samples: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([mp4_bytes([x or b"" for x in r]) for r in rows], pa.binary())], names=["stream_id", "content"])
 
     return df.select(df[key].cast("string").alias(key), *samples).mapInArrow(run, "stream_id string, content binary")
+
+
+def mp4_described(df: DataFrame, key: str) -> DataFrame:
+    """(stream_id, content) from rows (key, sample, config, media_time, delay, padding, samples): one-sample files; nulls are left out."""
+
+    def run(batches):
+        for b in batches:
+            rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
+            out = [mp4_bytes([x or b""], config=config, media_time=time, gapless=None if delay is None else (delay, padding, n)) for _, x, config, time, delay, padding, n in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["stream_id", "content"])
+
+    return df.select(df[key].cast("string").alias(key), "sample", "config", "media_time", "delay", "padding", "samples").mapInArrow(run, "stream_id string, content binary")

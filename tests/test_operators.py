@@ -132,3 +132,47 @@ def test_empty_inputs(spark):
     assert framing.tumbling(none).count() == 0
     assert predict.fixed_predict(none.withColumnRenamed("s", "r"), 2).count() == 0
     assert ordering.ordinal(none.select("stream_id", F.col("n").alias("k")), ["stream_id"], "k").count() == 0
+
+
+def test_long_streams_by_blocks(spark):
+    """Results don't depend on the size of the blocks that a stream is cut into."""
+    from sonaril.operators import metrics, packets, predict, resample, spectral
+
+    rows = [("a", i, (i * 7919) % 2001 - 1000) for i in range(300)] + [("b", i, i) for i in range(7)]
+    s = spark.createDataFrame(rows, "stream_id string, n long, s int")
+    seg = s.select("stream_id", F.col("n").alias("seg"), F.when(F.col("s") % 3 == 0, 255).otherwise(F.abs("s") % 200).alias("size"))
+    gaps = s.withColumn("v", F.when(F.col("s") % 11 == 0, F.col("s"))).select("stream_id", (F.col("n") * 5).alias("n"), "v")
+    marks = s.filter("n % 17 = 3").select("stream_id", F.col("n").alias("since"), F.col("s").alias("v"))
+    y = s.select("stream_id", F.col("n").alias("block"), F.when(F.col("n") % 3 == 0, 8).otherwise(16).alias("n"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (F.col("s") + i).cast("double")).alias("y"))
+    y = y.withColumn("y", F.slice("y", F.lit(1), F.col("n")))
+    for f in (
+        lambda b: packets.lace(seg, block=b),
+        lambda b: packets.last_known(gaps, ["stream_id"], "n", "v", block=b),
+        lambda b: packets.asof(s, marks, ["stream_id"], "n", "since", ["v"], block=b),
+        lambda b: predict.fixed_residual(s, 3, block=b),
+        lambda b: spectral.lap_variable(y, block=b),
+        lambda b: resample.resample(s, 8, 5, block=max(b, 1)),
+        lambda b: metrics.best_lag(s, s.withColumn("n", F.col("n") + 3), 5, block=b),
+        lambda b: packets.packet_times(seg.withColumnRenamed("seg", "packet"), block=b),
+    ):
+        small, large = ([tuple(r) for r in f(b).collect()] for b in (16, 1 << 20))
+        assert sorted(small, key=repr) == sorted(large, key=repr) and small
+
+
+def test_level_sums_follow_the_standard(spark):
+    from sonaril.operators.packets import log_add_term
+
+    # The standard's curve, first 64 steps.
+    want = [64, 63, 62, 61, 60, 59, 58, 57, 56, 55, 54, 53, 52, 52, 51, 50, 49, 48, 47, 47, 46, 45, 44, 44, 43, 42, 41, 41, 40, 39, 38, 38]
+    want += [37, 36, 36, 35, 35, 34, 33, 33, 32, 32, 31, 30, 30, 29, 29, 28, 28, 27, 27, 26, 26, 25, 25, 24, 24, 23, 23, 22, 22, 21, 21, 21]
+    got = [r.v for r in spark.range(64).orderBy("id").select(log_add_term(F.col("id")).alias("v")).collect()]
+    assert got == want
+
+
+def test_permutations_and_spacing(spark):
+    from sonaril.operators import floors, spectral
+
+    assert [spectral.hadamard_order(n) for n in (2, 4, 8)] == [[1, 0], [3, 0, 2, 1], [7, 0, 4, 3, 6, 1, 5, 2]]
+    df = spark.createDataFrame([([5, 5, 1, 32767],)], "x array<long>")
+    least = [3, 10, 10, 10, 100]
+    assert df.select(floors.space_apart("x", least).alias("y")).first().y == [3, 13, 23, 32668]

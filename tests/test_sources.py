@@ -94,3 +94,27 @@ def test_streams_in_ragged_pieces_equal_the_whole(spark, tmp_path):
     assert [r.s for r in spark.table("resampled").orderBy("n").collect()] == list(whole)
     frames = spark.table("framed").orderBy("frame_no").collect()
     assert [len(r.samples) for r in frames] == [160] * 4 + [60] and [v for r in frames for v in r.samples] == x
+
+
+def test_tag_frames_are_no_audio():
+    head = b"\xff\xfb\x90\x00"
+    tag, vbri = head + b"\0" * 32 + b"Xing" + b"\0" * 377, head + b"\0" * 32 + b"VBRI" + b"\0" * 377
+    sound = head + b"\0" * 413
+    assert list(demux.mpeg_frames(tag + sound + vbri + sound)) == [(417, 417), (1251, 417)]
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    import pytest
+
+    from sonaril.session import shared_folder
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster())
