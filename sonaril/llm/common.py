@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,25 +10,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonaril.session import shared_folder
+
 #: Bytes of text that a numpy kernel handles at once; bounds a task's memory whatever the batch size is.
 CHUNK_BYTES = 1 << 20
 
 
 # --------------------------------------------------------------------------- scratch tables
-def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a new folder under /tmp only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 class Scratch:
     """Tables of one operator call in the shared folder; ``drop`` frees those no longer needed."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.base = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` (cutting its lineage) and return a reader of the written rows."""
