@@ -2,9 +2,9 @@
 
 The pieces and scores of a model file are used as a unigram model: a text's ids are its segmentation
 of highest total score, ties to the longer last piece; characters without a piece become byte pieces.
-The encoder reads characters one by one and keeps scores for the last ``longest`` positions only. The
-positions from which a path can still go on are traced back together; where all their back pointers
-meet, no later character can change what lies before, and those ids are committed.
+The encoder goes through a text position by position with a window of ``longest`` characters ahead. The
+positions in which a path can still be are traced back together; where all their back pointers
+meet, no later character can change what lies before, and those ids are committed and forgotten.
 
 White space always starts a piece (checked on the model), so what is committed for a word between
 such boundaries is the same wherever it stands; every worker keeps the ids of words it has seen.
@@ -18,8 +18,10 @@ library; repeated rows are encoded as rows of their own.
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from sonaril.llm.common import map_arrow
 
 SPACE = "▁"
-_MEMO, _LONG = 600_000, 64
+_MEMO = 600_000
 
 
 class PieceModel:
@@ -48,8 +50,8 @@ class PieceModel:
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.pieces))
         self.unknown = min(s for _, s in self.pieces.values()) - 10.0
-        #: prefixes of pieces: where one is missing, no longer piece starts with it
-        self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
+        #: pieces and their prefixes (None): where one is missing, no longer piece starts with it
+        self.table = {p[:k]: self.pieces.get(p[:k]) for p in self.pieces for k in range(1, len(p) + 1)}
         self.word_starts = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         self.text_of = [b""] * n
         for i in plain:
@@ -60,79 +62,76 @@ class PieceModel:
 
     # ------------------------------------------------------------------ encoding
     def stream(self, chars, commit_every: int | None = None):
-        """Ids of a character stream (white space as the marker), committed as soon as no path can change them."""
-        step = commit_every or self.longest
-        score, back = {0: 0.0}, {}  # by position: best score, (start, id or None)
-        buf, base, end, done = "", 0, 0, 0  # characters from position base on; all ids before ``done`` are committed
-        for ch in chars:
-            buf += ch
-            end += 1
-            best, frm = -np.inf, None
-            for start in range(max(end - self.longest, base, done), end):  # earlier starts first: the longer piece wins ties
-                if start in score:
-                    hit = self.pieces.get(buf[start - base :])
-                    if hit is not None and score[start] + hit[1] > best:
-                        best, frm = score[start] + hit[1], (start, hit[0])
-            if frm is None or (frm[0] != end - 1 and ch not in self.pieces and score[end - 1] + self.unknown > best):
-                best, frm = score[end - 1] + self.unknown, (end - 1, None)
-            score[end], back[end] = best, frm
-            if end - done >= step and end % step == 0:
-                at = self._meet(back, range(max(done, end - self.longest + 1), end + 1))
-                if at > done:
-                    yield from self._ids(back, buf, base, done, at)
-                    for p in range(done + 1, at + 1):
-                        back.pop(p, None)
-                    done = at
-                low = max(done, end - self.longest)
-                for p in [p for p in score if p < low]:
-                    del score[p]
-                keep = min(done, low)
-                buf, base = buf[keep - base :], keep
-        if end > done:
-            yield from self._ids(back, buf, base, done, end)
+        """Ids of a character stream (white space as the marker), committed as soon as no path can change them.
+
+        Positions are taken in order; from each, the pieces that begin there are tried, which needs ``longest`` characters
+        ahead and, of what lies behind, only what isn't committed.
+        """
+        get, longest, unknown, least = self.table.get, self.longest, self.unknown, -math.inf
+        step, ahead, plain = commit_every or longest, 4 * longest, isinstance(chars, str)
+        source = None if plain else iter(chars)
+        # by position, from ``base`` on: the characters, the best score and (start, id or None) of the last piece
+        buf = chars[:ahead] if plain else "".join(islice(source, ahead))
+        size = read = len(buf)
+        score, back = [0.0] + [least] * size, [(0, None)] * (size + 1)
+        base = done = at = 0
+        check, open_ = step, size == ahead
+        while True:
+            # up to the next look for a meeting point, or until characters must be read
+            stop = min(check - base, size - longest + 1 if open_ else size)
+            for at in range(at, stop):
+                here, single, end = score[at], False, at + longest
+                for e in range(at + 1, (end if end < size else size) + 1):  # earlier starts come first: the longer piece wins ties
+                    hit = get(buf[at:e], False)
+                    if hit:
+                        if e == at + 1:
+                            single = True
+                        there = here + hit[1]
+                        if there > score[e]:
+                            score[e], back[e] = there, (base + at, hit[0])
+                    elif hit is False:
+                        break
+                if not single and here + unknown > score[at + 1]:
+                    score[at + 1], back[at + 1] = here + unknown, (base + at, None)
+            at = max(at, stop) if stop > 0 else at
+            if not open_ and at >= size:
+                break
+            if at >= check - base:
+                # any path goes through this place or ends a piece, begun before it, within the window
+                met = self._meet(back, base, [p for p in range(base + at, min(base + at + longest, base + size + 1)) if score[p - base] > least])
+                if met > done:
+                    yield from self._ids(back, buf, base, done, met)
+                    done = met
+                check += step
+            else:
+                chunk = chars[read : read + ahead] if plain else "".join(islice(source, ahead))
+                read += len(chunk)
+                open_ = len(chunk) == ahead
+                cut, base, at = done - base, done, at + base - done  # nothing before the last commitment is asked for again
+                buf, score, back = buf[cut:] + chunk, score[cut:] + [least] * len(chunk), back[cut:] + [(0, None)] * len(chunk)
+                size = len(buf)
+        if base + size > done:
+            yield from self._ids(back, buf, base, done, base + size)
 
     @staticmethod
-    def _meet(back: dict, ends) -> int:
+    def _meet(back: list, base: int, ends: list[int]) -> int:
         """The last boundary that all paths ending in ``ends`` share."""
         live = set(ends)
         while len(live) > 1:
             last = max(live)
             live.remove(last)
-            live.add(back[last][0] if last in back else last)
-            if last in live:
-                break
-        return min(live)
+            live.add(back[last - base][0])
+        return live.pop()
 
-    def _ids(self, back: dict, buf: str, base: int, lo: int, hi: int) -> list[int]:
+    def _ids(self, back: list, buf: str, base: int, lo: int, hi: int) -> list[int]:
         out: list[list[int]] = []
         p = hi
         while p > lo:
-            start, i = back[p]
+            start, i = back[p - base]
             out.append([i] if i is not None else [self.bytes[b] for b in buf[start - base : p - base].encode()])
             p = start
         return [i for part in reversed(out) for i in part]
 
-    def _word(self, unit: str) -> list[int]:
-        """The same search over one short unit, where the window holds it whole."""
-        n, pieces, prefixes, longest = len(unit), self.pieces, self.prefixes, self.longest
-        score: list[float] = [0.0] + [-np.inf] * n
-        back: list[tuple] = [(0, None)] * (n + 1)
-        for s in range(n):
-            here = score[s]
-            single = False
-            for e in range(s + 1, min(s + longest, n) + 1):
-                sub = unit[s:e]
-                if sub not in prefixes:
-                    break
-                hit = pieces.get(sub)
-                if hit is not None:
-                    single |= e == s + 1
-                    if here + hit[1] > score[e]:
-                        score[e], back[e] = here + hit[1], (s, hit[0])
-            if not single and here + self.unknown > score[s + 1]:
-                score[s + 1], back[s + 1] = here + self.unknown, (s, None)
-        return self._ids({e: back[e] for e in range(1, n + 1)}, unit, 0, 0, n)
-
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
@@ -143,7 +142,7 @@ class PieceModel:
         units = _UNITS.findall(marked)
         memo = self.memo
         for u in set(units).difference(memo):
-            memo[u] = array("I", self._word(u) if len(u) <= _LONG else self.stream(u)).tobytes()
+            memo[u] = array("I", self.stream(u)).tobytes()
         out = b"".join(map(memo.__getitem__, units))
         if len(memo) > _MEMO:
             memo.clear()
