@@ -1,6 +1,10 @@
 """Pages and conversations."""
 
+import random
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from sonaril.llm import chat_hmm, site_tree
 
@@ -42,6 +46,14 @@ def test_copies_of_a_page_keep_their_text(spark):
         assert t == (own if "//h." in u else f"Head {n} {own}" if "//m." in u else f"Same words on every page {own}")
 
 
+def test_malformed_declarations_lose_no_text(spark):
+    for odd in ("<![if !IE]>", "<![foo[x]]>", "<!ENTITY % a 'b'>", "<!-", "<![", "<!DOCTYPE [<!ELEMENT"):
+        assert "two" in site_tree.extract(f"<p>one {odd}> two<p>three", set()) and site_tree.extract(f"<p>one<p>two{odd}", set()).startswith("one two")
+    rows = [(1, "http://a/1", page("<article><p>" + "word " * 200_000 + "</article>"), 5)] * 2 + [(2, None, page("<article><p>x</article>"), 6)]
+    got = site_tree.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, N_chars int"))
+    assert sorted((r.page_id, r.n_chars) for r in got.collect()) == [(1, 999_999)] * 2 + [(2, 1)]
+
+
 def test_entropy_of_grouped_counts():
     assert site_tree.log_entropy([5]) == 0 and abs(site_tree.log_entropy([1] * 8) - 1) < 1e-12
 
@@ -67,18 +79,62 @@ def test_transcripts_come_back(spark):
     assert chat_hmm.format_chats(df.limit(0)).count() == 0
 
 
-def test_parts_decode_as_the_whole(spark):
-    df = conversations(spark).filter("conv_id = 50")
-    hmm = chat_hmm.fit(conversations(spark))
-    plain = df.withColumn("role", chat_hmm.F.when(chat_hmm.F.col("turn") % 3 == 0, chat_hmm.F.col("role")))  # most turns without a marker
-    parts = chat_hmm.transcripts(plain, 8)
-    lines = [x for r in parts.orderBy("part").collect() for x in r.text.split("\n")]
-    whole = [chat_hmm.ROLES[s // 2] for s in hmm.path(lines, -1, -1) if s % 2 == 0]
-    got = chat_hmm.parse(parts, hmm).filter("NOT continued").orderBy("part", "seq")
+def plain_path(hmm, lines):
+    """Viterbi said plainly, line by line."""
+    best = None
+    for line in lines:
+        m, rest = chat_hmm.split_marker(line)
+        e = hmm.emit[m * 24 + chat_hmm.feature(rest)]
+        if best is None:
+            best = [(hmm.start[s] + e[s], [s]) for s in range(8)]
+        else:
+            best = [max(((v + hmm.trans[p[-1], s] + e[s], [*p, s]) for v, p in best), key=lambda x: x[0]) for s in range(8)]
+    return max(best, key=lambda x: x[0])[1]
+
+
+@pytest.mark.parametrize("fan", [64, 3])
+def test_parts_decode_as_the_whole(spark, fan):
+    every = chat_hmm.marked_lines(conversations(spark))
+    hmm = chat_hmm.fit(every)
+    # most turns without a name
+    lines = every.filter("conv_id = 50").withColumn("line", F.when(F.col("turn") % 3 == 0, F.col("line")).otherwise(F.regexp_replace("line", r"^(###? *\w+:\n|\w+: |\[\w+\] |<\|\w+\|>)", "")))
+    parts = chat_hmm.transcripts(lines, 8)
+    assert parts.count() == 50
+    text = [x for r in parts.orderBy("part").collect() for x in r.text.split("\n")]
+    whole = [chat_hmm.ROLES[s // 2] for s in plain_path(hmm, text) if s % 2 == 0]
+    got = chat_hmm.parse(parts, hmm, fan).filter("NOT continued").orderBy("part", "seq")
     assert [r.role for r in got.collect()] == whole
 
 
+def test_roles_of_unseen_transcripts(spark):
+    """Turns without a name, of conversations that taught nothing: what the lines look like tells the roles."""
+    rng = random.Random(4)
+    text = {"user": lambda: "How about " + " ".join("abcdefg"[: rng.randrange(2, 6)]) + "?", "assistant": lambda: "It is so. " + "word " * rng.randrange(35, 70)}
+    rows = [(c, t, r := ("user", "assistant")[t % 2], text[r]()) for c in range(90) for t in range(6)]
+    lines = chat_hmm.marked_lines(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    unnamed = F.regexp_replace("line", r"^(###? *\w+:\n|\w+: |\[\w+\] |<\|\w+\|>)", "")
+    # of the transcripts to learn from, every third turn has no name
+    hmm = chat_hmm.fit(lines.filter(~chat_hmm.held_out(lines)).withColumn("line", F.when(F.col("turn") % 3 == 2, unnamed).otherwise(F.col("line"))))
+    bare = lines.filter(chat_hmm.held_out(lines) & (F.col("turn") > 0)).withColumn("line", unnamed)
+    shown = lines.filter(chat_hmm.held_out(lines) & (F.col("turn") == 0))
+    got = chat_hmm.parse(chat_hmm.transcripts(bare.unionByName(shown)), hmm).orderBy("conv_id", "seq").toPandas()
+    want = {c: ["user", "assistant"] * 3 for c in got.conv_id.unique()}
+    right = sum(list(g.role) == want[c] for c, g in got.groupby("conv_id"))
+    assert len(want) > 20 and right >= 0.95 * len(want)
+
+
+def test_chats_on_hard_rows(spark):
+    """Repeated rows, rows without ids, equal turns in a crowd, clashing columns, a very long text."""
+    rows = [(7, 0, "user", "same", 1)] * 50 + [(None, None, "user", f"no id {i}", 1) for i in range(40)] + [(8, 0, "user", "long " * 100_000, 1), (8, 1, "assistant", "short", 1), (9, -70, "user", "early", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part int")
+    lines = chat_hmm.marked_lines(df)
+    got = chat_hmm.parse(chat_hmm.transcripts(lines, crowd=16), chat_hmm.fit(lines)).toPandas()
+    assert list(got[got.conv_id == 7].content) == ["same"] and sorted(got[got.conv_id.isna()].content) == sorted(f"no id {i}" for i in range(40))
+    assert list(got[got.conv_id == 8].sort_values(["part", "seq"]).role) == ["user", "assistant"] and list(got[got.conv_id == 9].content) == ["early"]
+
+
 def test_markers():
-    assert chat_hmm.split_marker("Human: hi") == (1, "hi") and chat_hmm.split_marker("[ASSISTANT] x") == (2, "x")
-    assert chat_hmm.split_marker("### System:") == (0, "") and chat_hmm.split_marker("<|tool|>r") == (3, "r")
-    assert chat_hmm.split_marker("Users: many")[0] is None and np.isfinite(chat_hmm.feature(""))
+    name = lambda line: (chat_hmm.NAMES + [None])[chat_hmm.split_marker(line)[0]]
+    assert name("Human: hi") == "human" and chat_hmm.split_marker("[ASSISTANT] x")[1] == "x" and name("[ASSISTANT] x") == "assistant"
+    assert name("### System:") == "system" and chat_hmm.split_marker("### System:")[1] == "" and name("<|tool|>r") == "tool"
+    assert name("Users: many") is None and np.isfinite(chat_hmm.feature(""))
