@@ -266,6 +266,7 @@ def test_top_k(spark):
         best = sorted((-int(sum(q[i] * q[j])), j) for j in range(400) if j != i)[:10]
         want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     assert sorted(tuple(r) for r in topk.top_k(df).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in topk.top_k(df, group_bytes=100).collect()) == sorted(want)  # in several groups
     assert topk.top_k(df.limit(0)).count() == 0
     assert topk.top_k(df.filter("vec_id IN (0, 1)")).collect()[0][:3] == (0, 1, 1)
 
@@ -310,17 +311,53 @@ def test_maxent_learns_the_history(spark):
     assert got.score.sum() > got.base_score.sum() + 0.05 * got.n_tokens.sum()
 
 
-def test_model_is_a_distribution():
-    h = np.arange(1, 200, dtype=np.uint64) * np.uint64(7919)
-    vocab = maxent.Vocabulary(h, np.arange(199, 0, -1).astype(float), 30_000, 5_000)
-    w = maxent.Weights()
+@pytest.mark.parametrize("total", [30_000, 1 << 40])
+def test_model_is_a_distribution(total):
+    h = maxent.mix(np.arange(1, 200, dtype=np.uint64))
+    c = np.arange(199, 0, -1).astype(float)
+    rest_c, rest_n = np.bincount((h >> np.uint64(61)).astype(int), c, 8) + total // 8, np.bincount((h >> np.uint64(61)).astype(int), minlength=8) + 500.0
+    vocab = maxent.Vocabulary(h, c, rest_c, rest_n)
+    assert vocab.rows == (1 << 12 if total < 1 << 25 else 1 << 15)
+    w = maxent.Weights(vocab.rows)
     w.flat[:] = np.random.default_rng(0).normal(size=len(w.flat)).astype(np.float32)
-    hist = np.array([3, 5, 9])
-    p = [math.exp(maxent.log_probs(vocab, w, np.append(hist, i), np.array([0, 4]))[-1]) for i in range(200)]
-    assert 0.97 < sum(p) < 1 + 1e-6  # classes without tokens keep a little
+    # the same history before every frequent token and every rest class
+    ids = np.concatenate((np.arange(1, 200), np.zeros(8, np.int64)))
+    last = np.concatenate((h, np.arange(8, dtype=np.uint64) << np.uint64(61)))
+    p = 0.0
+    for i, x in zip(ids, last, strict=True):
+        hs, own = np.array([h[3], h[5] ^ np.uint64(1), h[9], x]), np.array([4, 0, 10, i])
+        rows = vocab.histories(hs, np.array([1, 2, 3, 4], np.uint16), own, np.array([0, 4]))
+        p += math.exp(maxent.log_probs(vocab, w, rows, *vocab.classes(hs, own))[-1])
+    assert 0.97 < p < 1 + 1e-6  # classes without tokens keep a little
+
+
+def test_tokens_of_equal_counts_still_make_a_model(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "HEAD", 100)
+    rows = [(i, " ".join(f"w{i % 40}x{k}" for k in range(40)), 1) for i in range(160)]
+    got = maxent.score(spark.createDataFrame(rows, "doc_id long, text string, score int")).toPandas()
+    assert got.score.sum() > got.base_score.sum() + 0.2 * got.n_tokens.sum()
 
 
 # --------------------------------------------------------------------------- pieces
+def brute_pieces(m, text):
+    """Best segmentation by a table over the whole text; ties to the longer last piece."""
+    best = [(0.0, 0, [])]
+    for e in range(1, len(text) + 1):
+        found = (-math.inf, 0, [])
+        for s in range(max(0, e - m.longest), e):
+            hit = m.pieces.get(text[s:e])
+            if hit and best[s][0] + hit[1] > found[0]:
+                found = (best[s][0] + hit[1], s, [hit[0]])
+        if text[e - 1] not in m.pieces and best[e - 1][0] + m.unknown > found[0]:
+            found = (best[e - 1][0] + m.unknown, e - 1, [m.bytes[b] for b in text[e - 1].encode()])
+        best.append(found)
+    out, p = [], len(text)
+    while p:
+        out.append(best[p][2])
+        p = best[p][1]
+    return [i for ids in reversed(out) for i in ids]
+
+
 def test_pieces(docs, none):
     import public_tokenizers
     import sentencepiece
@@ -336,7 +373,8 @@ def test_pieces(docs, none):
         assert m.decode(m.encode(t)) == t
     for t in corpus()[:30]:
         marked = "▁" + t.replace(" ", "▁")
-        assert list(m.stream(marked)) == m._word(marked) == np.frombuffer(m.encode(t), "<u4").tolist()
+        whole = brute_pieces(m, marked)
+        assert list(m.stream(marked)) == list(m.stream(iter(marked), 1)) == whole == np.frombuffer(m.encode(t), "<u4").tolist()
     got = piece_viterbi.digest(docs).collect()
     texts = collections.Counter(hashlib.sha256(t.encode()).hexdigest() for _, t in listed(docs))
     assert collections.Counter(r.decoded_sha256 for r in got) == texts
