@@ -19,14 +19,17 @@ Counts are grouped by (host, node, feature) after a pre-aggregation in every tas
 third of all pages is a few rows per task; pages meet their host's tree in a join that can be split.
 
 Edges: null html is the empty page; a null url belongs to the host ``""``; unclosed and misnested
-elements are closed as browsers do for the common cases; repeated rows are pages of their own.
+elements are closed as browsers do for the common cases; a page that a malformed declaration would stop is read
+without its declarations; repeated rows are pages of their own; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import zlib
+from html import unescape
 from html.parser import HTMLParser
 from math import log
 
@@ -48,6 +51,22 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMES = re.compile(r"(?:^|[-_\s])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|sidebar|side|rail|widget|related|recommended|share|sharing|social|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comment|comments|commentlist|disqus|respond|reply|replies|header|masthead|footer|foot|copyright|legal|skip|toolbar|pagination|pager|tags|search)(?:$|[-_\s\d])", re.I)
 
 
+_MASK, _STEP = (1 << 63) - 1, 0x9E3779B97F4A7C15
+
+
+def _id(text: str) -> int:
+    """63 bits of a text's hash."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") & _MASK
+
+
+_sign_id = functools.lru_cache(1 << 16)(_id)
+
+
+def _then(before: int, x: int) -> int:
+    """A sequence's hash with one more member."""
+    return (before * _STEP + x + 1) & _MASK
+
+
 class Node:
     __slots__ = ("tag", "sign", "named", "prior", "parent", "children", "path")
 
@@ -61,7 +80,7 @@ class Node:
         main = tag in ("article", "main", "body", "html")
         #: no importance by kind
         self.prior = tag in NOT_MAIN or role in ROLES or hidden or (not main and bool(names) and bool(NAMES.search(names)))
-        self.path = zlib.crc32(self.sign.encode(), parent.path if parent else 0)
+        self.path = _then(parent.path, _sign_id(self.sign)) if parent else 0
 
 
 class _Builder(HTMLParser):
@@ -119,15 +138,23 @@ class _Builder(HTMLParser):
 
 
 def parse(html: str | None) -> Node:
+    """The page's tree. Where a malformed declaration stops the parser, declarations go first, at last all markup."""
+    for text in (html or "", _DECLARATION.sub("", html or "")):
+        b = _Builder()
+        try:
+            b.feed(text)
+            b.close()
+            return b.root
+        except (AssertionError, ValueError):
+            continue
     b = _Builder()
-    try:
-        b.feed(html or "")
-        b.close()
-    except (AssertionError, ValueError):  # malformed declarations
-        pass
+    b.handle_data(unescape(_TAG.sub(" ", html or "")))
     return b.root
 
 
+_DECLARATION, _TAG = re.compile(r"<![^>]*>?"), re.compile(r"<[^>]*>?")
+
+
 def _walk(root: Node):
     todo = [root]
     while todo:
@@ -168,9 +195,9 @@ def page_features(root: Node) -> dict[int, tuple[int, int]]:
             for c in n.children:
                 sign = c.sign if isinstance(c, Node) else "#text" if c.strip() else None
                 if sign is not None and sign != last:  # runs of equal children are one
-                    style = zlib.crc32(sign.encode(), style)
+                    style = _then(style, _sign_id(sign))
                     last = sign
-            content = zlib.crc32(raw_text(n).encode(), content)
+            content = _then(content, _id(raw_text(n)))
         out[path] = (style, content)
     return out
 
