@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonaril.llm.common import Scratch, doc_slices, map_arrow, mix, shingle_hashes, text_chunks, word_hashes
+from sonaril.llm.common import Scratch, doc_slices, free_names, map_arrow, mix, shingle_hashes, text_chunks, word_hashes
 from sonaril.llm.components import connected_components
 
 K, ROWS, WIDTH = 128, 4, 5
@@ -155,7 +155,7 @@ def _units(data, offs):
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, units, bands) of every row; no shuffle."""
+    """(doc_id, t, k1, k2, units, bands) of every row, t being its text's hash; no shuffle."""
 
     def kernel(b):
         for part, data, offs in text_chunks(b):
@@ -165,9 +165,9 @@ def sign(docs: DataFrame) -> DataFrame:
             bands = band_keys(signatures(cells, doc, n))
             per = bands.shape[1]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * per + 1, per, dtype=np.int32)), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(k1), pa.array(k2), pa.array(np.diff(at)), lists], names=["doc_id", "k1", "k2", "units", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(k1), pa.array(k2), pa.array(np.diff(at)), lists], names=["doc_id", "t", "k1", "k2", "units", "bands"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, "doc_id long, k1 long, k2 long, units long, bands array<long>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text"), kernel, "doc_id long, t long, k1 long, k2 long, units long, bands array<long>")
 
 
 def _cells_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -233,8 +233,8 @@ def _reach(n: str, pos: str, n2: str, pos2: str, threshold: float):
     return (F.least(n, n2) >= threshold * F.greatest(n, n2) - 1e-9) & (F.col(n) - F.col(pos) >= need) & (F.col(n2) - F.col(pos2) >= need)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, class_size) of every row."""
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t, class_id, comp) of every row with words, and (doc_id, t) of the others."""
     tmp = Scratch(docs.sparkSession, "minhash")
     signed = tmp.table(sign(docs), "signed")
     some = signed.filter("units > 0")
@@ -282,25 +282,40 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if found.limit(1).count():
             links = links.unionByName(found)
             comps = connected_components(links, tmp, f"cc{step}")
+    used = ["members", "cells", "cells_once", "loose", "every_token", "tokens", *(f"{x}{i}" for x in ("pairs", "links") for i in range(ROUNDS + 2))]
+    for name in used:  # what follows reads the signatures, the nodes and the components only
+        tmp.drop(name)
     comp = F.coalesce("comp", "nid")
     placed = nodes.select("nid", "k1", "k2", "rep").join(comps.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", comp)
     names = placed.groupBy("comp").agg(F.min("rep").alias("class_id"))
     placed = placed.join(names, "comp").select("k1", "k2", "class_id", "comp")
-    classed = some.select("doc_id", "k1", "k2").join(placed, ["k1", "k2"]).select("doc_id", "class_id", "comp")
+    classed = some.select("doc_id", "t", "k1", "k2").join(placed, ["k1", "k2"]).select("doc_id", "t", "class_id", "comp")
+    return classed, signed.filter("units = 0").select("doc_id", "t")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, class_size) of every row."""
+    classed, alone = _classes(docs, threshold)
     counts = classed.groupBy("comp").agg(F.count("*").alias("class_size"))
-    alone = signed.filter("units = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return classed.join(counts, "comp").select("doc_id", "class_id", "class_size").unionByName(alone)
+    single = alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return classed.join(counts, "comp").select("doc_id", "class_id", "class_size").unionByName(single)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pipeline stage: of each class the document with the smallest id stays (of repeated rows of it, one).
+    """Pipeline stage: of each class the row with the smallest id stays (null before all, then by the text's hash), of a repeated row one.
 
-    A row without an id can't be named by its class and stays.
+    Rows are told apart by id and text, so texts that share an id are judged each by itself.
     """
     tmp = Scratch(docs.sparkSession, "keep_one")
-    gone = tmp.table(near_duplicates(docs, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    again = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    if again.limit(1).count():
-        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
-    return kept
+    classed, _ = _classes(docs, threshold)
+    rows = classed.select("comp", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), "t")
+    first = rows.groupBy("comp").agg(F.min(F.struct("k", "t")).alias("first"))
+    k, t = free_names(docs, "k", "t")
+    others = rows.join(first, "comp").filter(F.struct("k", "t") != F.col("first"))
+    gone = tmp.table(others.select(F.col("k").alias(k), F.col("t").alias(t)).distinct(), "gone")
+    keyed = docs.withColumn(k, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn(t, F.xxhash64("text"))
+    kept = keyed.join(gone, [k, t], "left_anti")
+    if keyed.groupBy(k, t).count().filter("count > 1").limit(1).count():
+        worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")  # texts without words are no copies
+        kept = kept.filter(worded).dropDuplicates([k, t]).unionByName(kept.filter(~worded))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -91,6 +91,19 @@ def test_near_duplicates(docs, none):
     assert kept.columns == docs.columns and kept.groupBy("doc_id").count().filter("count > 1").count() == 0
 
 
+def test_one_of_each_class_stays(spark):
+    """Ids that stand for several texts, rows without ids, repeated rows, clashing columns."""
+    rng = random.Random(8)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    near = a + " one more"
+    rows = [(1, a, 1), (1, b, 2), (2, near, 3), (2, c, 4), (3, c, 5), (None, d, 6), (None, d, 6), (9, d, 7), (5, "", 8), (5, "", 8), (None, None, 9), (4, b, 10), (4, b, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t int")
+    got = minhash.keep_one(df)
+    assert got.columns == df.columns
+    want = [(1, a, 1), (1, b, 2), (2, c, 4), (None, d, 6), (5, "", 8), (5, "", 8), (None, None, 9)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     for n, m in ((40, 25), (600, 450)):
