@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sonaril.functions import bits, fixed
 from sonaril.functions.pcm import full_scale
-from sonaril.operators import floors, framing, packets, predict, signals, spectral
+from sonaril.operators import allocation, floors, framing, packets, signals, spectral
 from sonaril.plans.catalog import IMDCT, PAIRS, SIG, SPEC, SPEC_PAIRS, STEREO, WORD, _clamp, _lr, _resample_sql, _spec_pairs, query, raw, word32
 
 
@@ -215,6 +215,93 @@ def reused_values(spark, sf):
     return packets.last_known(s, ["stream_id"], "n", "v", block=1 << 10)
 
 
+# --------------------------------------------------------------------------- allocation and code tables
+_PSD = "psd AS (SELECT vec_id, list_transform(embedding[1:50], lambda v: CAST(3072 - ((CAST(round_even(abs(CAST(v AS DOUBLE)) * 60, 0) AS INTEGER) % 25) << 7) AS INTEGER)) AS p FROM embeddings)"
+_LOW = "CASE WHEN p[b + 1] + 256 = coalesce(p[b + 2], 0) THEN {1} WHEN p[b + 1] > coalesce(p[b + 2], 0) THEN greatest({0} - 64, 0) ELSE {0} END"
+
+
+def _low(b: str) -> str:
+    x = _LOW.replace("p[b + 1]", f"p[{b} + 1]").replace("p[b + 2]", f"p[{b} + 2]")
+    return f"(CASE WHEN {b} < 7 THEN {x.format('low', 384)} WHEN {b} < 20 THEN {x.format('low', 320)} WHEN {b} < 22 THEN greatest(low - 128, 0) ELSE low END)"
+
+
+_HEAR = "[" + ", ".join(str(h[0]) for h in allocation.HEARING) + "]"
+_MASK_SQL = f"""WITH RECURSIVE {_PSD}, f(vec_id, p, b, low, fast, slow, begun, e) AS (
+SELECT vec_id, p, CAST(-1 AS BIGINT), 0, 0, 0, false, 0 FROM psd
+UNION ALL SELECT vec_id, p, b1, low1, fast1, slow1, begun1, CASE WHEN rise THEN fast1 - low1 WHEN b1 < 22 THEN greatest(fast1 - low1, slow1) ELSE greatest(fast1, slow1) END FROM (
+SELECT vec_id, p, b + 1 AS b1, {_low('(b + 1)')} AS low1, (b + 1 < 7 AND NOT begun) AS rise,
+CASE WHEN b + 1 < 7 AND NOT begun THEN p[b + 2] - 512 ELSE greatest(fast - 63, p[b + 2] - 512) END AS fast1, CASE WHEN b + 1 < 7 AND NOT begun THEN p[b + 2] - 1240 ELSE greatest(slow - 17, p[b + 2] - 1240) END AS slow1,
+begun OR (b + 1 >= 2 AND p[b + 2] <= coalesce(p[b + 3], 0)) OR b + 1 >= 6 AS begun1 FROM f WHERE b < 49)),
+m AS (SELECT vec_id, b, p[b + 1] AS psd, greatest({_HEAR}[b + 1], e + (greatest(2304 - p[b + 1], 0) >> 2)) AS mask FROM f WHERE b >= 0)
+SELECT vec_id, CAST(b AS INTEGER) AS band, CAST(psd AS INTEGER) AS psd, CAST(mask AS INTEGER) AS mask, CAST([{', '.join(map(str, allocation.POINTERS))}][greatest(0, least(63, (psd - ((greatest(mask - 200 - 368, 0) & 8160) + 368)) >> 5)) + 1] AS INTEGER) AS pointer FROM m"""
+
+
+@query(_MASK_SQL)
+def bit_allocation(spark, sf):
+    """Masks of 50 bands and the resolution of a line in each."""
+    p = signals.table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", F.lit(1), F.lit(50)), lambda v: (3072 - (F.rint(F.abs(v.cast("double")) * 60).cast("int") % 25) * 128).cast("int")).alias("psd"))
+    m = allocation.masking_curve(p, 512, 1240, 63, 17, 2304)
+    rows = m.select("vec_id", F.posexplode(F.arrays_zip("psd", "mask")).alias("band", "x")).select("vec_id", "band", "x.psd", "x.mask")
+    return allocation.allocation(rows, 200, 368)
+
+
+_X = [0, 128, 64, 32, 96, 16, 48, 112]
+
+
+def _floor_sql() -> str:
+    steps = ["y AS (SELECT vec_id, list_transform(embedding[1:8], lambda v: CAST(round_even(abs(CAST(v AS DOUBLE)) * 100, 0) AS BIGINT) % 64) AS y FROM embeddings)", "s1 AS (SELECT *, y[1] AS l0, y[2] AS l1 FROM y)"]
+    bends = [[], []]
+    for i in range(2, 8):
+        low = max((k for k in range(i) if _X[k] < _X[i]), key=lambda k: _X[k])
+        high = min((k for k in range(i) if _X[k] > _X[i]), key=lambda k: _X[k])
+        p = f"(l{low} + CAST(trunc((l{high} - l{low}) * {_X[i] - _X[low]} / CAST({_X[high] - _X[low]} AS DOUBLE)) AS BIGINT))"
+        steps.append(f"p{i} AS (SELECT *, {p} AS p FROM s{i - 1})")
+        far = f"CASE WHEN 128 - p > p THEN y[{i + 1}] ELSE 127 - y[{i + 1}] END"
+        near = f"CASE WHEN y[{i + 1}] % 2 = 1 THEN p - (y[{i + 1}] + 1) // 2 ELSE p + y[{i + 1}] // 2 END"
+        steps.append(f"s{i} AS (SELECT * EXCLUDE (p), CASE WHEN y[{i + 1}] = 0 THEN p WHEN y[{i + 1}] >= 2 * least(128 - p, p) THEN {far} ELSE {near} END AS l{i} FROM p{i})")
+        bends.append([i])
+        bends[low].append(i)
+        bends[high].append(i)
+    used = [f"(CASE WHEN {'true' if k < 2 else ' OR '.join(f'y[{i + 1}] <> 0' for i in b)} THEN 1 ELSE 0 END)" for k, b in enumerate(bends)]
+    return f"WITH {', '.join(steps)} SELECT vec_id, concat_ws(' ', {', '.join(f'greatest(0, least(127, l{i}))' for i in range(8))}) AS level, concat_ws(' ', {', '.join(used)}) AS used FROM s7"
+
+
+@query(_floor_sql())
+def floor_levels(spark, sf):
+    """Eight points of a floor, from differences to the line through their neighbours."""
+    y = signals.table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", F.lit(1), F.lit(8)), lambda v: F.rint(F.abs(v.cast("double")) * 100).cast("long") % 64).alias("y"))
+    f = allocation.floor_points(y, _X, 128)
+    text = lambda c, t: F.array_join(F.col(c).cast(f"array<{t}>").cast("array<string>"), " ")
+    return f.select("vec_id", text("level", "int").alias("level"), text("used", "int").alias("used"))
+
+
+@query(f"""WITH t AS (SELECT event_id, 2 + event_id % 30 AS n, event_id % 400 AS b, (event_id * 7) % 40 - 20 AS o, event_id % 16 AS cap, event_id % 2 = 0 AS st FROM events),
+p AS (SELECT *, 2 * n - 1 - CASE WHEN st AND n = 2 THEN 1 ELSE 0 END AS n2 FROM t), q AS (SELECT *, least(64, least(b - cap - 32, CAST(trunc((b + n2 * o) / CAST(n2 AS DOUBLE)) AS BIGINT))) AS q FROM p)
+SELECT event_id, CAST(CASE WHEN q < 4 THEN 1 ELSE ((({str(allocation.EIGHTHS)}[(q & 7) + 1] >> (14 - (q >> 3))) + 1) >> 1) * 2 END AS INTEGER) AS steps FROM q""")
+def angle_steps(spark, sf):
+    e = F.col("event_id")
+    return signals.table(spark, sf, "events").select("event_id", allocation.angle_steps(2 + e % 30, e % 400, (e * 7) % 40 - 20, e % 16, e % 2 == 0).alias("steps"))
+
+
+_BOOKS = "l AS (SELECT p_partkey % 50 AS book, p_partkey AS symbol, CAST(3 + p_size % 14 AS INTEGER) AS length FROM part)"
+
+
+@query(f"""WITH {_BOOKS}, c AS (SELECT *, coalesce(sum(CAST(1 AS BIGINT) << (32 - length)) OVER (PARTITION BY book ORDER BY length, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM l)
+SELECT book, symbol, length, CAST(CAST(ahead AS BIGINT) >> (32 - length) AS BIGINT) AS code, CAST((CAST(ahead AS BIGINT) >> (32 - length)) + (1 << length) AS BIGINT) AS key FROM c""")
+def code_tables(spark, sf):
+    l = signals.table(spark, sf, "part").select((F.col("p_partkey") % 50).alias("book"), F.col("p_partkey").alias("symbol"), (3 + F.col("p_size") % 14).cast("int").alias("length"))
+    return allocation.canonical_codes(l)
+
+
+@query(f"""WITH RECURSIVE g(n, x) AS (SELECT 0, CAST(522133279 AS UBIGINT) UNION ALL SELECT n + 1, (x * 1664525 + 1013904223) % 4294967296 FROM g WHERE n < 2000), {SPEC},
+d AS (SELECT frame, CAST(k // 8 AS INTEGER) AS band, k, CASE WHEN g.x >= 2147483648 THEN CAST(g.x AS DOUBLE) - 4294967296 ELSE CAST(g.x AS DOUBLE) END AS v FROM spec JOIN g ON g.n = (frame * 64 + k) % 2000)
+SELECT frame, band, k, round(v * 0.5 / sqrt(sum(v * v) OVER (PARTITION BY frame, band)), 8) + 0.0 AS x FROM d""")
+def noise_bands(spark, sf):
+    """Every band as noise of a quarter's energy."""
+    s = signals.spec(spark, sf).select("frame", F.floor(F.col("k") / 8).cast("int").alias("band"), "k", ((F.col("frame") * 64 + F.col("k")) % 2000).alias("draw"))
+    return allocation.fill_noise(s, 522133279, 0.5).select("frame", "band", "k", F.round("x", 8).alias("x"))
+
+
 # --------------------------------------------------------------------------- playback
 _RESAMPLED = _resample_sql(8000, 16000)
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
-from urllib.parse import quote, unquote, urlparse
+from urllib.parse import quote, unquote
+
+from pyarrow import fs
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,21 +35,34 @@ def parse_wav(b: bytes) -> tuple[int, int, list[int]]:
 
 
 class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, name: str):
+        self.name = name
+
+
+class _Folder:
+    """A folder of any file system that pyarrow reaches by its address (a plain path is a local one)."""
+
+    def __init__(self, address: str):
+        self.address = address
+
+    def open(self) -> tuple[fs.FileSystem, str]:
+        system, path = fs.FileSystem.from_uri(self.address)
+        return system, path.rstrip("/")
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, folder: _Folder):
+        self.folder = folder
 
     def partitions(self):
-        return [_File(os.path.join(self.path, f)) for f in sorted(os.listdir(self.path)) if f.endswith(".wav")]
+        system, path = self.folder.open()
+        return [_File(f.base_name) for f in sorted(system.get_file_info(fs.FileSelector(path)), key=lambda f: f.path) if f.is_file and f.base_name.endswith(".wav")]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
+        system, path = self.folder.open()
+        with system.open_input_stream(f"{path}/{partition.name}") as f:
             channels, rate, samples = parse_wav(f.read())
-        yield unquote(os.path.basename(partition.path)[:-4]), channels, rate, samples
+        yield unquote(partition.name[:-4]), channels, rate, samples
 
 
 class _Written(WriterCommitMessage):
@@ -59,34 +73,37 @@ class _Written(WriterCommitMessage):
 class _Writer(DataSourceWriter):
     """Tasks write hidden files; the commit renames those of the attempts that succeeded."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, folder: _Folder):
+        self.folder = folder
 
     def write(self, rows):
-        os.makedirs(self.path, exist_ok=True)
+        system, path = self.folder.open()
+        system.create_dir(path, recursive=True)
         out = []
         for r in rows:
             name = f"{quote(str(r.stream_id), safe='')}.wav"
             temp = f".{uuid.uuid4().hex}.tmp"
-            with open(os.path.join(self.path, temp), "wb") as f:
+            with system.open_output_stream(f"{path}/{temp}") as f:
                 f.write(wav_bytes(r.samples, r.channels, r.sample_rate))
             out.append((temp, name))
         return _Written(out)
 
     def commit(self, messages):
+        system, path = self.folder.open()
         for m in messages:
             for temp, name in m.names if m else []:
-                os.replace(os.path.join(self.path, temp), os.path.join(self.path, name))
+                system.move(f"{path}/{temp}", f"{path}/{name}")
 
     def abort(self, messages):
+        system, path = self.folder.open()
         for m in messages:
             for temp, _ in m.names if m else []:
-                if os.path.exists(os.path.join(self.path, temp)):
-                    os.remove(os.path.join(self.path, temp))
+                if system.get_file_info(f"{path}/{temp}").is_file:
+                    system.delete_file(f"{path}/{temp}")
 
 
 class WavDataSource(DataSource):
-    """``spark.read/write.format("wav")``; the path must be a file system that all executors mount."""
+    """``spark.read/write.format("wav")``; the path must be one that all executors reach."""
 
     @classmethod
     def name(cls) -> str:
@@ -95,21 +112,20 @@ class WavDataSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def _path(self) -> str:
-        return urlparse(self.options["path"]).path
-
     def reader(self, schema):
-        return _Reader(self._path())
+        return _Reader(_Folder(self.options["path"]))
 
     def writer(self, schema, overwrite):
-        return _Writer(self._path())
+        return _Writer(_Folder(self.options["path"]))
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(WavDataSource)
 
 
-def blocks(df: DataFrame, rate: int) -> DataFrame:
-    """Long mono rows (stream_id, n, s) to one block row per stream, for the sink."""
-    g = df.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("p"))
+def blocks(df: DataFrame, rate: int, most: int = 1 << 22) -> DataFrame:
+    """Long mono rows (stream_id, n, s) to rows for the sink: a stream of more than ``most`` samples becomes files of so many, numbered ``-1`` and on."""
+    part = F.floor(F.col("n") / most)
+    name = F.when(part == 0, F.col("stream_id")).otherwise(F.concat("stream_id", F.lit("-"), part.cast("string")))
+    g = df.groupBy(name.alias("stream_id")).agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("p"))
     return g.select("stream_id", F.lit(1).alias("channels"), F.lit(rate).alias("sample_rate"), F.transform("p", lambda x: x["s"].cast("short")).alias("samples"))

@@ -1,12 +1,14 @@
 """Resampling and framing of sample streams that arrive in ragged pieces.
 
-One row per piece: (stream_id, seq, samples array<short>, eos). State is the input that later output
-still needs and the running read position; any split into micro-batches gives the same output.
+One row per piece: (stream_id, seq, samples array<short>, eos), seq counting from 0. State is the input that later
+output still needs, the running read position, and pieces that came before their turn; any split into
+micro-batches, and any order of the pieces over them, gives the same output. A piece that comes again is dropped.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import struct
 from collections.abc import Iterator
 from fractions import Fraction
@@ -55,7 +57,7 @@ class ResampleState:
 
 
 class _Keyed(StatefulProcessor):
-    """Pieces of a key in order of ``seq``; state as one binary value."""
+    """Pieces of a key in order of ``seq``; state as one binary value: the next seq, the pieces that wait, and the operator's own."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "data binary")
@@ -63,12 +65,22 @@ class _Keyed(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _pieces(self, rows: Iterator[pd.DataFrame]):
-        frames = list(rows)
-        return pd.concat(frames).sort_values("seq") if frames else pd.DataFrame(columns=["seq", "samples", "eos"])
+    def _turn(self, rows: Iterator[pd.DataFrame]) -> tuple[bytes, list[tuple[np.ndarray, bool]]]:
+        """The operator's own state, and the pieces whose turn it is."""
+        self.next, self.waiting, own = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else (0, {}, b"")
+        for frame in rows:
+            for r in frame.itertuples():
+                if r.seq >= self.next:
+                    self.waiting[int(r.seq)] = (np.array(r.samples if r.samples is not None else [], "<i2").tobytes(), bool(r.eos))
+        out = []
+        while self.next in self.waiting:
+            raw, eos = self.waiting.pop(self.next)
+            out.append((np.frombuffer(raw, "<i2"), eos))
+            self.next += 1
+        return own, out
 
-    def _load(self) -> bytes:
-        return bytes(self.state.get()[0]) if self.state.exists() else b""
+    def _keep(self, own: bytes) -> None:
+        self.state.update((pickle.dumps((self.next, self.waiting, own)),))
 
 
 class Resampler(_Keyed):
@@ -76,36 +88,33 @@ class Resampler(_Keyed):
         self.rates = rate_in, rate_out
 
     def handleInputRows(self, key, rows, timerValues):
-        raw = self._load()
+        raw, pieces = self._turn(rows)
         base, done = struct.unpack_from("<qq", raw) if raw else (0, 0)
         st = ResampleState(*self.rates, buf=np.frombuffer(raw[16:], "<i2").astype(float) if raw else None, base=base, done=done)
-        first, out = done, []
-        for piece in self._pieces(rows).itertuples():
-            out.append(st.push(np.array(piece.samples if piece.samples is not None else [], float), bool(piece.eos)))
-        self.state.update((struct.pack("<qq", st.base, st.done) + st.buf.astype("<i2").tobytes(),))
+        out = [st.push(samples.astype(float), eos) for samples, eos in pieces]
+        self._keep(struct.pack("<qq", st.base, st.done) + st.buf.astype("<i2").tobytes())
         y = np.concatenate(out) if out else np.zeros(0, np.int64)
-        yield pd.DataFrame({"stream_id": pd.Series([key[0]] * len(y), dtype=object), "n": np.arange(first, first + len(y)), "s": y.astype(np.int32)})
+        yield pd.DataFrame({"stream_id": pd.Series([key[0]] * len(y), dtype=object), "n": np.arange(done, done + len(y)), "s": y.astype(np.int32)})
 
 
 class Framer(_Keyed):
-    """Fixed-size frames; the short tail comes with the end of the stream."""
+    """Fixed-size frames at a level, up to a number of frames; the short tail comes with the end of the stream."""
 
-    def __init__(self, size: int):
-        self.size = size
+    def __init__(self, size: int, gain: float = 1.0, limit: int | None = None):
+        self.size, self.gain, self.limit = size, gain, limit
 
     def handleInputRows(self, key, rows, timerValues):
-        raw = self._load()
+        raw, pieces = self._turn(rows)
         frame = struct.unpack_from("<q", raw)[0] if raw else 0
-        held = list(np.frombuffer(raw[8:], "<i2")) if raw else []
-        out, eos = [], False
-        for piece in self._pieces(rows).itertuples():
-            held += list(piece.samples if piece.samples is not None else [])
-            eos |= bool(piece.eos)
-        while len(held) >= self.size or eos and held:
-            out.append((frame, held[: self.size]))
+        held = np.concatenate([np.frombuffer(raw[8:], "<i2"), *(samples for samples, _ in pieces)])
+        eos = any(end for _, end in pieces)
+        out = []
+        while len(held) >= self.size or eos and len(held):
+            if self.limit is None or frame < self.limit:
+                out.append((frame, np.clip(np.rint(held[: self.size] * self.gain), -32768, 32767).astype(int).tolist()))
             held, frame = held[self.size :], frame + 1
-        self.state.update((struct.pack("<q", frame) + np.array(held, "<i2").tobytes(),))
-        yield pd.DataFrame({"stream_id": pd.Series([key[0]] * len(out), dtype=object), "frame_no": pd.Series([f for f, _ in out], dtype="int64"), "samples": pd.Series([[int(x) for x in s] for _, s in out], dtype=object)})
+        self._keep(struct.pack("<q", frame) + held.astype("<i2").tobytes())
+        yield pd.DataFrame({"stream_id": pd.Series([key[0]] * len(out), dtype=object), "frame_no": pd.Series([f for f, _ in out], dtype="int64"), "samples": pd.Series([s for _, s in out], dtype=object)})
 
 
 def resample_stream(df: DataFrame, rate_in: int, rate_out: int) -> DataFrame:
@@ -113,6 +122,6 @@ def resample_stream(df: DataFrame, rate_in: int, rate_out: int) -> DataFrame:
     return df.groupBy("stream_id").transformWithStateInPandas(Resampler(rate_in, rate_out), "stream_id string, n long, s int", "append", "None")
 
 
-def frame_stream(df: DataFrame, size: int = 160) -> DataFrame:
+def frame_stream(df: DataFrame, size: int = 160, gain: float = 1.0, limit: int | None = None) -> DataFrame:
     """Streaming DataFrame of pieces -> (stream_id, frame_no, samples)."""
-    return df.groupBy("stream_id").transformWithStateInPandas(Framer(size), "stream_id string, frame_no long, samples array<short>", "append", "None")
+    return df.groupBy("stream_id").transformWithStateInPandas(Framer(size, gain, limit), "stream_id string, frame_no long, samples array<short>", "append", "None")

@@ -75,6 +75,8 @@ def test_wav_round_trip(spark, tmp_path):
     got = {r.stream_id: (r.channels, r.sample_rate, r.samples) for r in spark.read.format("wav").load(str(tmp_path)).collect()}
     assert got == {"a/b": (1, 8000, [1, -2, 3]), "c": (2, 44100, [5, 6, 7, 8])}
     assert len(wav.wav_bytes([0] * 400, 2, 8000)) == 844
+    long = spark.createDataFrame([("x", i, i) for i in range(25)], "stream_id string, n long, s int")
+    assert {r.stream_id: r.samples for r in wav.blocks(long, 8000, 10).collect()} == {"x": list(range(10)), "x-1": list(range(10, 20)), "x-2": list(range(20, 25))}
 
 
 def test_streams_in_ragged_pieces_equal_the_whole(spark, tmp_path):
@@ -82,10 +84,12 @@ def test_streams_in_ragged_pieces_equal_the_whole(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     x = [(i * 7919) % 20001 - 10000 for i in range(700)]
     at, src = 0, tmp_path / "in"
+    pieces = []
     for k, n in enumerate([150, 37, 1, 400, 112]):
-        rows = [("a", k, x[at : at + n], at + n == len(x))]
-        spark.createDataFrame(rows, stateful.PIECES).coalesce(1).write.mode("append").parquet(str(src))
+        pieces.append(("a", k, x[at : at + n], at + n == len(x)))
         at += n
+    for k in (1, 0, 2, 4, 0, 3):  # out of order, one twice
+        spark.createDataFrame([pieces[k]], stateful.PIECES).coalesce(1).write.mode("append").parquet(str(src))
     pieces = spark.readStream.schema(stateful.PIECES).option("maxFilesPerTrigger", 1).parquet(str(src))
     whole = stateful.ResampleState(8000, 11025).push(pd.Series(x).to_numpy(float), True)
     for name, out in (("resampled", stateful.resample_stream(pieces, 8000, 11025)), ("framed", stateful.frame_stream(pieces, 160))):
