@@ -1,5 +1,7 @@
 """Pages and conversations."""
 
+import collections
+import functools
 import random
 
 import numpy as np
@@ -54,6 +56,47 @@ def test_malformed_declarations_lose_no_text(spark):
     assert sorted((r.page_id, r.n_chars) for r in got.collect()) == [(1, 999_999)] * 2 + [(2, 1)]
 
 
+def plain_tree(pages):
+    """Unimportant paths of each host, said plainly: paths as tuples, styles and contents as they are."""
+    low = {}
+    for host in {site_tree.host_of(u) for _, u, _ in pages}:
+        styles, contents = collections.defaultdict(list), collections.defaultdict(list)
+        for html in {h or "" for _, u, h in pages if site_tree.host_of(u) == host}:
+            parts = collections.defaultdict(list)
+            todo = [((), site_tree.parse(html))]
+            while todo:
+                path, n = todo.pop(0)
+                if path and n.tag not in site_tree.RAW:
+                    parts[path].insert(0, n)  # the last first, as the operator takes them
+                todo += [((*path, c.sign), c) for c in n.children if not isinstance(c, str)]
+            for path, ns in parts.items():
+                style = []
+                for n in ns:
+                    signs = [c.strip() and "#text" if isinstance(c, str) else c.sign for c in n.children]
+                    signs = [x for x in signs if x]
+                    style += [x for i, x in enumerate(signs) if not i or x != signs[i - 1]]
+                styles[path].append(tuple(style))
+                contents[path].append([site_tree.raw_text(n) for n in ns])
+        for path in styles:
+            count = lambda xs: [xs.count(x) for i, x in enumerate(xs) if x not in xs[:i]]
+            importance = 0.5 * site_tree.log_entropy(count(styles[path])) + 0.5 * site_tree.log_entropy(count(contents[path]))
+            if len(styles[path]) >= site_tree.LEAST_PAGES and importance < site_tree.THRESHOLD:
+                low.setdefault(host, set()).add(path)
+    return low
+
+
+def test_trees_against_plain_ones(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
+    blocks = [lambda: "<div class='story'><p>" + " ".join(word() for _ in range(9)) + "</p></div>", lambda: "<div class='strip'><ul><li>Home<li>News</ul></div>", lambda: f"<div id='b{rng.randrange(3)}'><span>{rng.randrange(2)}</span></div>", lambda: "<p>Plain line</p>", lambda: f"<section><h2>{word()}</h2>Same</section>"]
+    pages = [(i, f"http://{'abc'[i % 3]}.example/{i}", page("".join(rng.choice(blocks)() for _ in range(rng.randrange(2, 6))))) for i in range(60)]
+    pages += [(100 + i, *pages[i][1:]) for i in range(6)]
+    got = {r.host: set(r.paths) for r in site_tree.unimportant(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    fold = lambda path: functools.reduce(lambda p, sign: site_tree._then(p, site_tree._id(sign)), path, 0)
+    want = {h: {fold(p) for p in ps} for h, ps in plain_tree(pages).items()}
+    assert got == want and all(want.values())
+
+
 def test_entropy_of_grouped_counts():
     assert site_tree.log_entropy([5]) == 0 and abs(site_tree.log_entropy([1] * 8) - 1) < 1e-12
 

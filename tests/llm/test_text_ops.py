@@ -284,6 +284,21 @@ def test_top_k(spark):
     assert topk.top_k(df.filter("vec_id IN (0, 1)")).collect()[0][:3] == (0, 1, 1)
 
 
+def test_top_k_on_hard_rows(spark):
+    """Repeated candidates, vectors of unequal length, a repeated query, an empty vector, clashing columns."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=int(rng.integers(1, 6)))], i) for i in range(1, 60)]
+    rows += [(7, rows[6][1], 0)] * 3 + [(100, [0.5, -1.0], 0), (100, [2.0], 0), (200, [], 0), (300, [1.0, 1.0, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
+    fine = lambda v: [math.floor(1024 * x) for x in v]
+    want = []
+    for q in (100, 200, 300):
+        v = min(fine(e) for i, e, _ in rows if i == q)
+        best = sorted((-sum(a * b for a, b in zip(v, fine(e), strict=False)), i) for i, e, _ in rows if i != q)[:10]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == sorted(want)
+
+
 # --------------------------------------------------------------------------- language
 def test_language_id(spark, none):
     rng = random.Random(5)
