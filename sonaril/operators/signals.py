@@ -34,8 +34,3 @@ def spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(frame, k, x): embeddings as spectra of 64 lines."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("k", "x"))
     return e.select("frame", "k", F.col("x").cast("double").alias("x"))
-
-
-def octets(spark: SparkSession, sf_dir: str, n: int = 256) -> DataFrame:
-    """(doc_id, b binary): the first bytes of documents."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.encode("text", "utf-8"), 1, n).alias("b"))
