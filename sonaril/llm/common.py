@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from sonaril.session import shared_folder
 
 #: Bytes of text that a numpy kernel handles at once; bounds a task's memory whatever the batch size is.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 # --------------------------------------------------------------------------- scratch tables
@@ -167,15 +168,44 @@ def doc_slices(doc: np.ndarray, n_docs: int) -> np.ndarray:
     return np.searchsorted(doc, np.arange(n_docs + 1))
 
 
-def map_arrow(df: DataFrame, kernel, schema: str) -> DataFrame:
-    """``mapInArrow`` of a kernel that takes one record batch and yields record batches."""
+#: what workers keep from task to task, by operator: how to drop it
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def tidy(owner: str | None = None) -> None:
+    """Drop what other operators have kept in this worker, and give freed memory back to the system."""
+    for name, drop in CACHES.items():
+        if name != owner:
+            drop()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the C library that has it
+        pass
+
+
+def tidied(run, owner: str | None = None):
+    """A task function over batches that leaves no memory behind but its operator's cache."""
+
+    def task(batches):
+        tidy(owner)
+        try:
+            yield from run(batches)
+        finally:
+            tidy(owner)
+
+    return task
+
+
+def map_arrow(df: DataFrame, kernel, schema: str, owner: str | None = None) -> DataFrame:
+    """``mapInArrow`` of a kernel that takes one record batch and yields record batches; ``owner`` names a cache that it keeps."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 yield from kernel(b)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run, owner), schema)
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:

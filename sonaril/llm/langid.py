@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonaril.llm.common import crc_text, free_names, prefix_hash, shuffle_partitions, span_hash
+from sonaril.llm.common import crc_text, free_names, prefix_hash, shuffle_partitions, span_hash, tidied
 
 SAMPLE = 1500
 ORDERS = (5, 4, 3, 2, 1)
@@ -37,6 +37,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _MEMO = 200_000
 #: doubles that a worker keeps of words met; words that are summed at once
 ROOM, GROUP = 1 << 23, 1 << 15
+#: different words that a task counts before it passes them on; rows that are taken out of Arrow at once
+COUNTED, SLICE = 30_000, 512
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -62,7 +64,7 @@ def _count_units(batches):
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             held.setdefault(lang, Counter()).update(_WORD.findall((text or "").lower()))
-        if sum(map(len, held.values())) > _MEMO:
+        if sum(map(len, held.values())) > COUNTED:
             yield out()
             held = {}
     if held:
@@ -224,7 +226,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     near = rows.withColumn("key", key).join(F.broadcast(bound), "lang").filter(F.col("key") <= F.col("share") * F.lit(float(1 << 53)))
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id", "text")))
     taken = ranked.filter(F.col("r") <= sample).repartition(shuffle_partitions(spark), "lang", "r").select("lang", "text")
-    counts = taken.mapInArrow(_count_units, "lang string, kind int, unit string, n long").groupBy("lang", "kind", "unit").agg(F.sum("n").alias("n"))
+    counts = taken.mapInArrow(tidied(_count_units), "lang string, kind int, unit string, n long").groupBy("lang", "kind", "unit").agg(F.sum("n").alias("n"))
     got = counts.toArrow().to_pandas()  # the units of ``sample`` rows a language
     total = sum(seen.values())
     return Model(names, [seen[x] / total for x in names], got)
@@ -239,11 +241,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
 
     def run(batches):
         score = Scorer(shared.value)
-        for b in batches:
+        for b in (x.slice(i, SLICE) for x in batches for i in range(0, x.num_rows, SLICE)):
             langs, posterior = score.predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(posterior, pa.float64())], names=[*b.schema.names, *names])
 
-    return docs.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double")
+    return docs.mapInArrow(tidied(run), f"{schema}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(docs: DataFrame, mod: int = 3, rest: int = 1):

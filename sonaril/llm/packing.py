@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonaril.llm.common import Scratch, crc_text, map_arrow, mix, shuffle_partitions, text_chunks
+from sonaril.llm.common import CACHES, Scratch, crc_text, map_arrow, mix, shuffle_partitions, text_chunks
 
 DIMS, BITS = 4, 12
 LENGTH, END_ID = 4096, 2
-_CACHE = 900_000
+#: words of a generation that a worker keeps; of the last one, those met again go on
+_CACHE = 150_000
 
 
 # --------------------------------------------------------------------------- Hilbert keys
@@ -95,21 +96,23 @@ def _byte_chars() -> list[str]:
 _BYTE_CHARS = _byte_chars()
 
 
-class _Words(dict):
-    """Ids of the words seen; a new one is normalised, cut by the tokenizer's pattern and kept."""
+class _Kept(dict):
+    """Values by word; those of the last generation are found, too."""
 
-    def __init__(self, owner):
-        self.owner = owner
+    def __init__(self, make):
+        self.make, self.old = make, {}
 
     def __missing__(self, u: str) -> bytes:
-        o = self.owner
-        # character by character, as the tokenizer's file has it: no form of a letter depends on its place
-        ps = o.pattern.findall(u.lower() if u.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", u)]))
-        for p in ps:
-            if p not in o.parts:
-                o.parts[p] = o._part(p)
-        self[u] = ids = o.parts[ps[0]] if len(ps) == 1 else b"".join([o.parts[p] for p in ps])
-        return ids
+        got = self.old.get(u)
+        if got is None:
+            got = self.make(u)
+        self[u] = got
+        return got
+
+    def age(self) -> None:
+        if len(self) > _CACHE:
+            self.old = dict(self)
+            self.clear()
 
 
 class WordIds:
@@ -129,11 +132,17 @@ class WordIds:
         # the tokenizer's own word pattern (a fixed value of its file)
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.table = projection(max(self.tok.get_vocab_size(), 1 << 16))
-        self.units, self.parts = _Words(self), {}
+        self.units, self.parts = _Kept(self._unit), _Kept(self._part)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
+    def _unit(self, u: str) -> bytes:
+        """Ids of one run of characters without white space: normalised and cut by the tokenizer's pattern."""
+        # character by character, as the tokenizer's file has it: no form of a letter depends on its place
+        ps = self.pattern.findall(u.lower() if u.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", u)]))
+        return self.parts[ps[0]] if len(ps) == 1 else b"".join([self.parts[p] for p in ps])
+
     def _part(self, p: str) -> bytes:
         """Ids of one word by the tokenizer's model alone; its alphabet has a printable character for every byte."""
         if not (p.isascii() and p.isprintable()):
@@ -147,15 +156,17 @@ class WordIds:
         out = [b"".join(map(get, t.split())) for t in texts]
         for i, b in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
             out[i] = b
-        for held in (self.units, self.parts):
-            if len(held) > _CACHE:
-                held.clear()
+        self.units.age()
+        self.parts.age()
         return out
 
 
 _ids: dict[str | None, WordIds] = {}
 
 
+CACHES["packing"] = _ids.clear
+
+
 def word_ids(path: str | None) -> WordIds:
     """One per worker process."""
     if path not in _ids:
@@ -201,7 +212,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGT
             yield pa.RecordBatch.from_arrays([pa.array(key)], names=["key"])
 
     # bounds of the range partitions from a sample of the keys, as a range shuffle takes them; they shift work, not results
-    sample = map_arrow(docs.sample(0.01, 7).select("text", low), key_kernel, "key long")
+    sample = map_arrow(docs.sample(0.01, 7).select("text", low), key_kernel, "key long", "packing")
     cuts = sample.agg(F.percentile_approx("key", [i / p for i in range(1, p)] or [0.5], 20 * p)).first()[0]
     bounds = np.array(sorted(set(cuts or [])), np.int64)
 
@@ -210,7 +221,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGT
         for part, enc, n, key in encoded(b):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key), pa.array(np.searchsorted(bounds, key, side="right").astype(np.int32)), pa.array(n), pa.array([size] * len(enc), pa.int32()), pa.array(enc, pa.binary())], names=["doc_id", "key", "part", "doc_tokens", "size", "ids"])
 
-    rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", low), ids_kernel, "doc_id long, key long, part int, doc_tokens long, size int, ids binary")
+    rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", low), ids_kernel, "doc_id long, key long, part int, doc_tokens long, size int, ids binary", "packing")
 
     def running(batches):
         """Ids before each document within its partition."""

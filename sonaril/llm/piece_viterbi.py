@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonaril.llm.common import map_arrow
+from sonaril.llm.common import CACHES, map_arrow
 
 SPACE = "▁"
 _MEMO = 600_000
@@ -157,6 +157,7 @@ class PieceModel:
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 _models: dict[str | None, PieceModel] = {}
+CACHES["pieces"] = _models.clear
 
 
 def model(path: str | None = None) -> PieceModel:
@@ -177,7 +178,7 @@ def encode(df: DataFrame, path: str | None = None, text_col: str = "text", out:
         for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([m.encode(t) for t in part.column(at).to_pylist()], pa.binary())], names=[*part.schema.names, out])
 
-    return map_arrow(keep, kernel, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema) + f", `{out}` binary")
+    return map_arrow(keep, kernel, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema) + f", `{out}` binary", "pieces")
 
 
 def decode(df: DataFrame, path: str | None = None, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -190,7 +191,7 @@ def decode(df: DataFrame, path: str | None = None, ids_col: str = "ids", out: st
         for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([m.decode(x or b"") for x in part.column(at).to_pylist()], pa.string())], names=[*part.schema.names, out])
 
-    return map_arrow(keep, kernel, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema) + f", `{out}` string")
+    return map_arrow(keep, kernel, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema) + f", `{out}` string", "pieces")
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:

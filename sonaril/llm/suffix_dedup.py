@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonaril.llm.common import Scratch, free_names, map_arrow, mix, prefix_hash, shuffle_partitions, span_hash, text_chunks, words
+from sonaril.llm.common import Scratch, free_names, map_arrow, mix, prefix_hash, shuffle_partitions, span_hash, text_chunks, tidied, words
 
 HOT = 400
 BUNDLE = 1 << 18
@@ -239,7 +239,7 @@ def _cut_pieces(found: DataFrame, unit: Unit) -> DataFrame:
                 at = pa.array(doc)
                 yield pa.RecordBatch.from_arrays([part.column(1).take(at), part.column(2).take(at), pa.array(start), pa.array(a), pa.array(p1), pa.array(p2), pa.array(marks, pa.int32()), pa.array(bodies, pa.binary())], names=["k1", "k2", "start", "anchor", "p1", "p2", "sent", "body"])
 
-    return found.select("text", "k1", "k2", "anchors").mapInArrow(run, "k1 long, k2 long, start long, anchor long, p1 long, p2 long, sent int, body binary")
+    return found.select("text", "k1", "k2", "anchors").mapInArrow(tidied(run), "k1 long, k2 long, start long, anchor long, p1 long, p2 long, sent int, body binary")
 
 
 _SHARD = "p1 long, p2 long, spans array<int>, part int, strings binary"
@@ -376,9 +376,9 @@ def repeated_spans(docs: DataFrame, tmp: Scratch, unit: Unit = BYTES) -> DataFra
     bodies = pieces.filter("sent > 0").select("anchor", "p1", "p2", "sent", "body").join(hot, "anchor", "left")
     salted = bodies.select("anchor", F.coalesce(F.pmod(F.xxhash64("p1"), F.col("salts")), F.lit(0)).cast("int").alias("salt"), "p1", "p2", "body", F.col("salts").isNotNull().alias("hot"), "sent")
     sorted_ = salted.repartition(p, "anchor", "salt").sortWithinPartitions("anchor", "salt", "p1", "p2", "sent")
-    shards = tmp.table(sorted_.mapInArrow(lambda it: _shard(it, unit, PARTS * p), _SHARD), f"{unit.name}_shards")
+    shards = tmp.table(sorted_.mapInArrow(tidied(lambda it: _shard(it, unit, PARTS * p)), _SHARD), f"{unit.name}_shards")
     packs = shards.filter("part IS NOT NULL").select("part", "strings").repartition(p, "part").sortWithinPartitions("part")
-    more = packs.mapInArrow(_merge_shards, "p1 long, p2 long, off int").groupBy("p1", "p2").agg(F.flatten(F.collect_set(F.array(F.col("off"), F.col("off") + 1))).alias("spans"))
+    more = packs.mapInArrow(tidied(_merge_shards), "p1 long, p2 long, off int").groupBy("p1", "p2").agg(F.flatten(F.collect_set(F.array(F.col("off"), F.col("off") + 1))).alias("spans"))
     spans = shards.filter("part IS NULL").select("p1", "p2", "spans").unionByName(more)
     starts = pieces.select("k1", "k2", "start", "p1", "p2").join(spans, ["p1", "p2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "spans")).alias("starts"))
     return found.select("k1", "k2", "text").join(starts, ["k1", "k2"])
