@@ -13,7 +13,7 @@ group ever holds more than ``FAN`` small matrices, however long a conversation i
 what they emit travels as two bytes a line, and all parts of a batch are decoded together.
 
 Edges: null text is an empty part and gives no turns; rows without a conv_id are one conversation; a
-null turn is turn 0; a repeated row counts once; where a part holds more than ``CROWD`` rows (equal turns),
+null turn is turn 0; a repeated row is a line of its own; where a part holds more than ``CROWD`` rows (equal turns),
 it is split by a hash of its rows; null or unlabelled roles teach nothing; with no labelled row
 at all, transitions and features are uniform.
 """
@@ -275,13 +275,13 @@ def parse(parts: DataFrame, hmm: Hmm, fan: int = FAN) -> DataFrame:
 
 
 def marked_lines(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, line): each different turn with its speaker's name before it, in one of four styles for a conversation."""
+    """(conv_id, turn, role, line): each turn with its speaker's name before it, in one of four styles for a conversation."""
     role = F.when(F.col("role").isin(*ROLES), F.col("role"))
     style = F.pmod(F.xxhash64("conv_id"), F.lit(4))
     name = F.initcap(role)
     mark = F.when(style == 0, F.concat(name, F.lit(": "))).when(style == 1, F.concat(F.lit("["), F.upper(role), F.lit("] "))).when(style == 2, F.concat(F.lit("<|"), role, F.lit("|>"))).otherwise(F.concat(F.lit("### "), name, F.lit(":\n")))
     line = F.concat(F.coalesce(mark, F.lit("")), F.coalesce("text", F.lit("")))
-    return conversations.select("conv_id", F.coalesce("turn", F.lit(0)).cast("long").alias("turn"), "role", line.alias("line")).distinct()
+    return conversations.select("conv_id", F.coalesce("turn", F.lit(0)).cast("long").alias("turn"), "role", line.alias("line"))
 
 
 def transcripts(lines: DataFrame, size: int = PART, crowd: int = CROWD) -> DataFrame:
@@ -290,8 +290,8 @@ def transcripts(lines: DataFrame, size: int = PART, crowd: int = CROWD) -> DataF
     crowds = rows.groupBy("key", "part").count().filter(F.col("count") > crowd).select("key", "part", F.ceil(F.col("count") / crowd).alias("pieces"))
     most = crowds.agg(F.max("pieces")).first()[0] or 1
     if most > 1:
-        rows = rows.join(crowds, ["key", "part"], "left")
-        sub = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("line"), F.col("pieces"))).otherwise(0)
+        rows = rows.withColumn("id", F.monotonically_increasing_id()).join(crowds, ["key", "part"], "left")  # repeated rows part, too
+        sub = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("id"), F.col("pieces"))).otherwise(0)
         rows = rows.withColumn("part", F.col("part") * F.lit(int(most)) + sub)
     t = F.struct("turn", "line").alias("t")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(t)), lambda x: x["line"]), "\n")
