@@ -69,12 +69,32 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonaril.llm.fim_dfa import digest
+
+    return digest(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_minhash_dedup, op4_maxent_scoring, op5_fingerprints, op6_topk_search, op7_html_extraction, op8_suffix_dedup, op9_language_id, op10_packing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_minhash_dedup, op4_maxent_scoring, op5_fingerprints, op6_topk_search, op7_html_extraction, op8_suffix_dedup, op9_language_id, op10_packing, op11_fill_in_middle)}
 
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 ORACLE_SQL = {
+    "op11_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+             u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+                          list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS r FROM d),
+             c AS (SELECT *, len(units) AS n, least(r[1] % (len(units) + 1), r[2] % (len(units) + 1)) AS a,
+                          greatest(r[1] % (len(units) + 1), r[2] % (len(units) + 1)) AS b,
+                          CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 50 THEN 'plain'
+                               WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+             p AS (SELECT *, array_to_string(units[1:a], '') AS x, array_to_string(units[a + 1:b], '') AS y, array_to_string(units[b + 1:], '') AS z FROM c)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(x) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
+               sha256(CASE form WHEN 'plain' THEN t ELSE x || y || z END) AS restored_sha256
+        FROM p
+    """,
     "op6_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
                    FROM embeddings
