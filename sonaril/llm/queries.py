@@ -75,12 +75,32 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(read(spark, sf_dir, "documents"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonaril.llm.phrase_tries import top_collocations
+
+    return top_collocations(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_minhash_dedup, op4_maxent_scoring, op5_fingerprints, op6_topk_search, op7_html_extraction, op8_suffix_dedup, op9_language_id, op10_packing, op11_fill_in_middle)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_minhash_dedup, op4_maxent_scoring, op5_fingerprints, op6_topk_search, op7_html_extraction, op8_suffix_dedup, op9_language_id, op10_packing, op11_fill_in_middle, op13_phrases)}
 
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 ORACLE_SQL = {
+    "op13_phrases": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+             w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+             g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM w, range(1, 5) t(m), unnest(range(1, len(w) - m + 2)) u(i)),
+             f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+             n AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY 1),
+             c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+             k AS (SELECT c.*, k, array_to_string(ws[1:k], ' ') AS lp, array_to_string(ws[k + 1:], ' ') AS rp FROM c, range(1, 4) t(k) WHERE k < m),
+             s AS (SELECT k.*, x.a AS l, y.a AS r, CAST(CAST(2000000 AS HUGEINT) * k.a // (x.a + y.a) AS BIGINT) AS score FROM k JOIN f x ON x.lang = k.lang AND x.phrase = lp JOIN f y ON y.lang = k.lang AND y.phrase = rp),
+             b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+             o AS (SELECT lang, array_to_string(ws[i:i + z - 1], ' ') AS phrase, max(a) AS held FROM c, range(2, 4) t(z), unnest(range(1, m - z + 2)) u(i) WHERE z < m GROUP BY 1, 2),
+             d AS (SELECT b.*, n FROM b JOIN n USING (lang) LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE held IS NULL OR CAST(100 AS HUGEINT) * held < CAST(80 AS HUGEINT) * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM d QUALIFY rank <= 2000
+    """,
     "op11_fill_in_middle": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
              u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
