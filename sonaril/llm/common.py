@@ -143,6 +143,30 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple
     return span_hash(prefix_hash(data), start, end), doc
 
 
+def long_word_hashes(data: np.ndarray, offs: np.ndarray, bounds: bool = False, size: int = CHUNK_BYTES):
+    """Hash of every word and the texts' n + 1 offsets into them (``bounds``: and each word's first byte and end).
+
+    Goes by blocks of about ``size`` bytes that end between words, so that a very long text takes no more than its words.
+    """
+    parts, lo = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    while lo < len(data):
+        hi = min(lo + size, len(data))
+        while hi < len(data):
+            gap = np.flatnonzero((data[lo:hi] == 32) | ((data[lo:hi] >= 9) & (data[lo:hi] <= 13)))
+            if len(gap):
+                hi = lo + int(gap[-1]) + 1
+                break
+            hi = min(hi + size, len(data))  # a word longer than a block
+        part = data[lo:hi]
+        inner = np.concatenate(([0], offs[(offs > lo) & (offs < hi)] - lo, [hi - lo]))
+        start, end, _ = words(part, inner)
+        parts.append((span_hash(prefix_hash(part), start, end), start + lo, end + lo))
+        lo = hi
+    h, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+    at = np.searchsorted(start, offs)
+    return (h, at, start, end) if bounds else (h, at)
+
+
 _SHINGLE = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 

@@ -75,6 +75,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(read(spark, sf_dir, "documents"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sonaril.llm.recompression import digest
+
+    return digest(read(spark, sf_dir, "documents"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sonaril.llm.phrase_tries import top_collocations
 
@@ -82,11 +88,21 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_minhash_dedup, op4_maxent_scoring, op5_fingerprints, op6_topk_search, op7_html_extraction, op8_suffix_dedup, op9_language_id, op10_packing, op11_fill_in_middle, op13_phrases)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_chat_format, op3_minhash_dedup, op4_maxent_scoring, op5_fingerprints, op6_topk_search, op7_html_extraction, op8_suffix_dedup, op9_language_id, op10_packing, op11_fill_in_middle, op12_substring_dedup, op13_phrases)}
 
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 ORACLE_SQL = {
+    "op12_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             s AS (SELECT doc_id, w, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) u(i)),
+             m AS (SELECT h, min(coalesce(doc_id, 9223372036854775807)) AS m FROM s GROUP BY 1 HAVING count(*) > 1),
+             c AS (SELECT DISTINCT doc_id, w, i + j AS i FROM s JOIN m USING (h), range(50) t(j) WHERE coalesce(doc_id, 9223372036854775807) > m),
+             g AS (SELECT doc_id, w, list(i) AS gone, count(*) AS n FROM c GROUP BY 1, 2)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(CASE WHEN n IS NULL THEN array_to_string(d.w, ' ') ELSE array_to_string(list_filter(d.w, lambda x, i: NOT list_contains(gone, i)), ' ') END) AS kept_sha256
+        FROM d LEFT JOIN g ON g.doc_id IS NOT DISTINCT FROM d.doc_id AND g.w = d.w
+    """,
     "op13_phrases": r"""
         WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
              w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
