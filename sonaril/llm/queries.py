@@ -94,14 +94,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: DuckDB SQL of the queries that SQL can express on whole tables.
 ORACLE_SQL = {
     "op12_substring_dedup": r"""
-        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-             s AS (SELECT doc_id, w, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) u(i)),
-             m AS (SELECT h, min(coalesce(doc_id, 9223372036854775807)) AS m FROM s GROUP BY 1 HAVING count(*) > 1),
-             c AS (SELECT DISTINCT doc_id, w, i + j AS i FROM s JOIN m USING (h), range(50) t(j) WHERE coalesce(doc_id, 9223372036854775807) > m),
-             g AS (SELECT doc_id, w, list(i) AS gone, count(*) AS n FROM c GROUP BY 1, 2)
-        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
-               sha256(CASE WHEN n IS NULL THEN array_to_string(d.w, ' ') ELSE array_to_string(list_filter(d.w, lambda x, i: NOT list_contains(gone, i)), ' ') END) AS kept_sha256
-        FROM d LEFT JOIN g ON g.doc_id IS NOT DISTINCT FROM d.doc_id AND g.w = d.w
+        WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+             w AS (SELECT row, coalesce(doc_id, 9223372036854775807) AS id, unnest(ws) AS word, unnest(range(len(ws))) AS i, len(ws) AS n FROM d),
+             s AS (SELECT row, id, i, n, sha256(string_agg(word, ' ') OVER (PARTITION BY row ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS h FROM w),
+             v AS (SELECT * FROM s WHERE i + 50 <= n),
+             m AS (SELECT h, min(id) AS m FROM v GROUP BY 1 HAVING count(*) > 1),
+             c AS (SELECT DISTINCT row, i + j AS i FROM v JOIN m USING (h), range(50) t(j) WHERE id > m),
+             k AS (SELECT w.row, string_agg(word, ' ' ORDER BY w.i) AS kept, count(*) AS n FROM w ANTI JOIN c ON c.row = w.row AND c.i = w.i GROUP BY 1)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (row)
     """,
     "op13_phrases": r"""
         WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
