@@ -16,7 +16,9 @@ An anchor with more than ``HOT`` pieces is split over several shards by the piec
 distinct strings are then merged across shards by binary search over sorted 128-bit hashes.
 
 Edges: null text is the empty text; shorter texts lose nothing; repeated rows are documents of their
-own (each repeats the other); null ids are kept as they are; an empty table gives no rows.
+own (each repeats the other), handled as one entry of which there are several; null ids are kept as
+they are; an empty table gives no rows. A shard needs some 80 bytes of arrays for a byte of its texts,
+and a very long text's pieces go to as many shards as its anchors do.
 """
 
 from __future__ import annotations
@@ -368,10 +370,13 @@ def repeated_spans(docs: DataFrame, tmp: Scratch, unit: Unit = BYTES) -> DataFra
     # a table of its own, so that the join with it is a plain one, which adaptive execution can split at a hot anchor
     again = tmp.table(anchors.groupBy("anchor").count().filter("count > 1").select("anchor"), f"{unit.name}_again")
     per_doc = anchors.join(again, "anchor").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("anchors"))
-    found = tmp.table(rows.join(per_doc, ["k1", "k2"]).select("k1", "k2", "text", "anchors"), f"{unit.name}_found")
+    # equal rows are one from here on; that there are several is all that matters of their number
+    once = rows.join(per_doc, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("anchors").alias("anchors"), F.least(F.count("*"), F.lit(2)).cast("int").alias("times"))
+    found = tmp.table(once, f"{unit.name}_found")
     for name in ("anchors", "again"):
         tmp.drop(f"{unit.name}_{name}")
-    pieces = tmp.table(_cut_pieces(found, unit), f"{unit.name}_pieces")
+    twice = found.select("k1", "k2", "text", "anchors", F.explode(F.sequence(F.lit(1), "times")))
+    pieces = tmp.table(_cut_pieces(twice, unit), f"{unit.name}_pieces")
     hot = pieces.filter("sent = 1").groupBy("anchor").count().filter(F.col("count") > HOT).select("anchor", F.ceil(F.col("count") / HOT).alias("salts"))
     bodies = pieces.filter("sent > 0").select("anchor", "p1", "p2", "sent", "body").join(hot, "anchor", "left")
     salted = bodies.select("anchor", F.coalesce(F.pmod(F.xxhash64("p1"), F.col("salts")), F.lit(0)).cast("int").alias("salt"), "p1", "p2", "body", F.col("salts").isNotNull().alias("hot"), "sent")

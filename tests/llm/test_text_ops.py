@@ -175,6 +175,18 @@ def test_repeated_strings_whatever_the_chunks(docs, none, monkeypatch):
         assert sorted((str(r.doc_id), r.n_removed) for r in cut) == want
 
 
+def test_repeated_strings_of_many_equal_rows(spark):
+    """Thousands of equal rows, and of rows without ids, are handled as one each."""
+    rng = random.Random(6)
+    a, b, c = (words(rng, 500) for _ in range(3))
+    rows = [(1, a)] * 2000 + [(None, b)] * 900 + [(2, c), (3, c[:700] + a[300:1200]), (4, "short")] + [(5, "short")] * 30
+    got = collections.Counter(tuple(r) for r in suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    few = [(1, a)] * 2 + [(None, b)] * 2 + rows[2900:]
+    texts = [t for _, t in few]
+    want = {(d, *x, *y) for (d, _), x, y in zip(few, brute_repeats(texts, 400), brute_passages(texts, 51), strict=True)}
+    assert set(got) == want and sorted(got.values())[-3:] == [30, 900, 2000]
+
+
 @pytest.mark.parametrize("unit", [suffix_dedup.BYTES, suffix_dedup.WORDS])
 def test_suffix_arrays(unit):
     rng = random.Random(1)
