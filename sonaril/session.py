@@ -35,12 +35,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share; a new one under /tmp only where none is set and Spark is local."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``, which all executors share; a new one under /tmp only where none is set and Spark is local.
+
+    The setting can't be changed on a running session, so the new folder is remembered with the context.
+    """
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_sonaril_folder", None)
     if base:
         return base
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    sc._sonaril_folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return sc._sonaril_folder
