@@ -358,11 +358,8 @@ def frequent_phrases(docs: DataFrame, tmp: Scratch, least: int, depth: int = DEP
     return nodes
 
 
-def collocations(docs: DataFrame, least: int = 30, inside: int = 80) -> DataFrame:
-    """(lang, phrase, a, l, r, n, score) of all phrases of 2 to 4 words that occur ``least`` times and aren't ``inside`` percent of a longer one.
-
-    The score is floor(2000000 a / (l + r)) at its lowest cut into a left and a right part.
-    """
+def _scored(docs: DataFrame, least: int, inside: int) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, a, l, r, score) of the phrases that stay, and (lang, n) of the languages."""
     tmp = Scratch(docs.sparkSession, "phrases")
     nodes = frequent_phrases(docs, tmp, least)
     words = nodes.filter("depth = 1")
@@ -399,12 +396,24 @@ def collocations(docs: DataFrame, least: int = 30, inside: int = 80) -> DataFram
     total = words.filter("word IS NULL").select("lang", F.col("a").alias("n"))
     each = free.select(*_PATH, "a", "c", F.posexplode(F.filter(F.array(*_PATH), lambda h: h != 0)).alias("i", "w"))
     spelled = each.join(spell.withColumnRenamed("h1", "w"), "w").groupBy(*_PATH, "a", "c").agg(F.array_sort(F.collect_list(F.struct("i", "word"))).alias("ws"), F.first("lang").alias("lang"))
-    rows = spelled.select("lang", F.concat_ws(" ", F.transform("ws", lambda x: x["word"])).alias("phrase"), "a", "c.l", "c.r", "c.score")
+    return spelled.select("lang", F.concat_ws(" ", F.transform("ws", lambda x: x["word"])).alias("phrase"), "a", "c.l", "c.r", "c.score"), total
+
+
+def collocations(docs: DataFrame, least: int = 30, inside: int = 80) -> DataFrame:
+    """(lang, phrase, a, l, r, n, score) of all phrases of 2 to 4 words that occur ``least`` times and aren't ``inside`` percent of a longer one.
+
+    The score is floor(2000000 a / (l + r)) at its lowest cut into a left and a right part.
+    """
+    rows, total = _scored(docs, least, inside)
     return rows.join(total, "lang").select("lang", "phrase", "a", "l", "r", "n", "score")
 
 
-def top_collocations(docs: DataFrame, most: int = 2000) -> DataFrame:
-    """(lang, rank, phrase, a, l, r, n, score): each language's first by score, count, then letters."""
+def top_collocations(docs: DataFrame, most: int = 2000, least: int = 30, inside: int = 80) -> DataFrame:
+    """(lang, rank, phrase, a, l, r, n, score): each language's first by score, count, then letters.
+
+    Tasks keep their own first rows of a language before these meet, so a language of any size is no heavy group.
+    """
+    rows, total = _scored(docs, least, inside)
     w = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = collocations(docs).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    ranked = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    return ranked.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
