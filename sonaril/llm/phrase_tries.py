@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sonaril.llm.common import CHUNK_BYTES, Scratch, lower_ascii, mix, prefix_hash, shuffle_partitions, span_hash, text_chunks, tidied
 
-SHARD = 1 << 20
+SHARD = 1 << 19
 DEPTH = 4
 POINTS = 16
 #: bits of a filter: 16 for each phrase, and never more than 32 MB, which is what a broadcast of it takes
