@@ -1,4 +1,4 @@
-"""Predictors and difference chains as running sums."""
+"""Predictors and difference chains."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from math import comb
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonaril.operators.ordering import BLOCK, running_sum, with_halo
+from sonaril.operators.ordering import BLOCK, with_halo
+from sonaril.operators.recurrence import BLOCK as RUN
+from sonaril.operators.recurrence import linear_recurrence
 
 
 def fixed_residual(df: DataFrame, order: int, block: int = BLOCK) -> DataFrame:
@@ -23,22 +25,11 @@ def fixed_residual(df: DataFrame, order: int, block: int = BLOCK) -> DataFrame:
     return out.filter(~F.col("_halo")).select("stream_id", "n", "r")
 
 
-def fixed_predict(df: DataFrame, order: int, block: int = BLOCK) -> DataFrame:
-    """(stream_id, n, r) -> (stream_id, n, s): inverts the predictor by ``order`` nested running sums.
-
-    The first ``order`` rows are samples; they enter as the differences that the sums turn back into them.
-    """
-    out = df.select("stream_id", "n", F.col("r").cast("long").alias("r"))
-    if order:
-        w = Window.partitionBy("stream_id").orderBy("n")
-        head = out.filter(F.col("n") < order)  # ``order`` rows per stream
-        diff = F.col("r")
-        for k in range(1, order):
-            diff = diff + (-1) ** k * comb(order, k) * F.coalesce(F.lag("r", k).over(w), F.lit(0))
-        out = head.select("stream_id", "n", diff.cast("long").alias("r")).unionByName(out.filter(F.col("n") >= order))
-    for _ in range(order):
-        out = running_sum(out, ["stream_id"], "n", "r", "s", block=block).select("stream_id", "n", F.col("s").alias("r"))
-    return out.select("stream_id", "n", F.col("r").alias("s"))
+def fixed_predict(df: DataFrame, order: int, block: int = RUN) -> DataFrame:
+    """(stream_id, n, r) -> (stream_id, n, s): inverts the predictor as one linear recurrence; the first ``order`` rows are samples."""
+    if not order:
+        return df.select("stream_id", "n", F.col("r").cast("long").alias("s"))
+    return linear_recurrence(df, [-((-1) ** k) * comb(order, k) for k in range(1, order + 1)], "r", "s", warm=order, block=block)
 
 
 def delta_chain(df: DataFrame, start: int, bias: int = 60) -> DataFrame:

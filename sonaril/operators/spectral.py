@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonaril.operators.ordering import BLOCK, previous, running_sum
+from sonaril.operators.recurrence import all_pole_rows, along_frames
 
 # Scale factor band edges (long blocks, 44.1 kHz), pre-emphasis by band, butterfly terms.
 LONG_44 = [0, 4, 8, 12, 16, 20, 24, 30, 36, 44, 52, 62, 74, 90, 110, 134, 162, 196, 238, 288, 342, 418, 576]
@@ -344,24 +345,12 @@ def step_up(parcor):
     return F.aggregate(parcor, F.array().cast("array<double>"), step)
 
 
-def all_pole(x, lpc):
-    """Lines (an array) through 1 / (1 + sum of lpc_i z^-i), in order."""
-
-    def step(acc, v):
-        n = F.least(F.size(acc), F.size(lpc))
-        last = F.slice(F.reverse(acc), F.lit(1), n)
-        taps = F.slice(lpc, F.lit(1), n)
-        dot = F.aggregate(F.zip_with(last, taps, lambda a, c: a * c), F.lit(0.0), lambda a, p: a + p)
-        return F.concat(acc, F.array(v - F.when(n > 0, dot).otherwise(0.0)))
-
-    return F.aggregate(x, F.array().cast("array<double>"), step)
-
-
 def shape_noise(df: DataFrame, backwards: bool = False) -> DataFrame:
     """(frame, x array<double>, parcor array<double>) -> x filtered by the all-pole filter of the reflection coefficients, up or down the lines."""
-    x = F.reverse("x") if backwards else F.col("x")
-    y = all_pole(x, step_up(F.col("parcor")))
-    return df.withColumn("x", F.reverse(y) if backwards else y)
+    turned = F.reverse("x") if backwards else F.col("x")
+    ready = df.select(*[c for c in df.columns if c != "x"], turned.cast("array<double>").alias("x"), step_up(F.col("parcor")).alias("_lpc"))
+    y = along_frames(ready, ["x", "_lpc"], all_pole_rows, "x", "double")
+    return y.withColumn("x", F.reverse("x")) if backwards else y
 
 
 def add_pulses(df: DataFrame, pulses: DataFrame) -> DataFrame:
