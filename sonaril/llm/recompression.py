@@ -244,7 +244,8 @@ def earlier_windows(docs: DataFrame, tmp: Scratch, length: int = LENGTH) -> Data
     windows = tmp.table(_windows(found.select("k1", "k2", "text").join(chosen, ["k1", "k2"]), length), "windows")
     least = windows.groupBy("w1", "w2").agg(F.min("m").alias("a"), F.max("m").alias("b")).filter("a < b").drop("b")
     hits = windows.join(least, ["w1", "w2"]).filter("a < m").groupBy("p1", "p2").agg(F.collect_set("off").alias("offs"))
-    use = kinds.select("p1", "p2", F.col("first.k1").alias("m"), "z").join(hits, ["p1", "p2"], "left").filter("z > m OR offs IS NOT NULL")
+    # a table of its own, so that the join with it is a plain one, which adaptive execution can split at a piece that very many rows have
+    use = tmp.table(kinds.select("p1", "p2", F.col("first.k1").alias("m"), "z").join(hits, ["p1", "p2"], "left").filter("z > m OR offs IS NOT NULL"), "use")
     own = F.transform("offs", lambda o: F.struct(o.alias("a"), (o + 1).alias("z")))
     spans = F.when(F.col("k1") > F.col("m"), F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("z")))).otherwise(own)
     starts = pieces.select("k1", "k2", "start", "n", "p1", "p2").join(use, ["p1", "p2"]).select("k1", "k2", "start", spans.alias("spans")).filter("spans IS NOT NULL").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "spans")).alias("starts"))
