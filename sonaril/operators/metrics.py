@@ -25,15 +25,17 @@ def best_lag(a: DataFrame, b: DataFrame, most: int, block: int = 1 << 12) -> Dat
     near = b.select("stream_id", F.explode(F.array_distinct(F.array(at(-most), at(0), at(most)))).alias("_block"), F.lit(1).alias("side"), "n", F.col("s").cast("long").alias("s"))
     side = lambda k: F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("n", "s"))))
     met = own.unionByName(near).groupBy("stream_id", "_block").agg(side(0).alias("a"), side(1).alias("b")).filter("size(a) > 0 AND size(b) > 0")
-    met = met.withColumn("from", F.get("b", F.lit(0))["n"]).withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most))))
+    met = met.withColumn("from", F.get("b", F.lit(0))["n"])
     start = F.struct(*(F.lit(0).cast("long").alias(c) for c in ("ab", "aa", "bb")))
 
-    def add(t, x):
-        y = F.get("b", (x["n"] + F.col("lag") - F.col("from")).cast("int"))["s"]
+    def add(t, x, lag):
+        y = F.get("b", (x["n"] + lag - F.col("from")).cast("int"))["s"]
         more = lambda u, v: F.coalesce(u * v, F.lit(0).cast("long"))
         return F.struct((t["ab"] + more(x["s"], y)).alias("ab"), (t["aa"] + F.when(y.isNotNull(), x["s"] * x["s"]).otherwise(0)).alias("aa"), (t["bb"] + more(y, y)).alias("bb"))
 
-    parts = met.select("stream_id", "lag", F.aggregate("a", start, add).alias("t"))
+    # all lags inside the row: only three sums a lag leave it
+    lags = F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda lag: F.struct(lag.alias("lag"), F.aggregate("a", start, lambda t, x: add(t, x, lag)).alias("t")))
+    parts = met.select("stream_id", F.explode(lags).alias("p")).select("stream_id", "p.lag", "p.t")
     sums = parts.groupBy("stream_id", "lag").agg(*(F.sum(f"t.{c}").alias(c) for c in ("ab", "aa", "bb")))
     r = sums.filter("aa > 0 AND bb > 0").withColumn("r", F.col("ab") / (F.sqrt(F.col("aa").cast("double")) * F.sqrt(F.col("bb").cast("double"))))
     top = r.groupBy("stream_id").agg(F.max(F.struct("r", (-F.col("lag")).alias("neg"))).alias("m"))

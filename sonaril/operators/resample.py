@@ -3,21 +3,23 @@
 Output j stands at p = half + j * in / out; it is the sum over the inputs within ``half`` of p of the
 sample times the kernel's tabulated weight, read with linear interpolation. p's fraction takes as many
 values as the reduced output rate, so the weights are a fixed table, one array per fraction. Samples come
-together as arrays, one row per block with the few samples after it, and an output is one fold over
-a slice and its weights. Streams have running numbers. Output begins where the kernel is fully inside.
+together as arrays, one row per block with the few samples after it; a block's outputs are sums over
+slices of it and their weights, taken inside the row. Streams have running numbers. Output begins where the kernel is fully inside.
 """
 
 from __future__ import annotations
 
 import math
 from fractions import Fraction
+from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonaril.functions.pcm import clamp16
-
 ZEROS, DENSITY = 12, 64
+OUTPUTS = 1 << 10  # outputs summed at once
 
 
 def kernel_shape(rate_in: int, rate_out: int) -> tuple[float, int]:
@@ -55,8 +57,9 @@ def phase_weights(rate_in: int, rate_out: int) -> list[list[float]]:
     return out
 
 
-def phase_frame(spark: SparkSession, rate_in: int, rate_out: int) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(phase_weights(rate_in, rate_out))), "phase long, w array<double>")
+@lru_cache(4)
+def phase_matrix(rate_in: int, rate_out: int) -> np.ndarray:
+    return np.array(phase_weights(rate_in, rate_out))
 
 
 def resample(df: DataFrame, rate_in: int, rate_out: int, block: int = 1 << 12) -> DataFrame:
@@ -75,13 +78,25 @@ def resample(df: DataFrame, rate_in: int, rate_out: int, block: int = 1 << 12) -
     # outputs j with floor(j * num / den) in the block, while half + j * num / den is before the stream's end
     j0 = F.ceil(first * den / num).cast("long")
     j1 = F.least(F.ceil((first + size) * den / num), F.ceil((F.col("end") - half) * den / num)).cast("long") - 1
-    outs = blocks.withColumn("j0", j0).withColumn("j1", j1).filter("j1 >= j0").withColumn("j", F.explode(F.sequence("j0", "j1")))
-    phases = F.broadcast(phase_frame(df.sparkSession, rate_in, rate_out))  # a fixed table: a row per fraction
-    part = F.pmod(F.col("j") * num, F.lit(den).cast("long"))
-    start = (F.expr(f"(j * {step.numerator}L) div {den}L") - first + 1).cast("int")
-    met = outs.withColumn("phase", part).withColumn("start", start).join(phases, "phase")
-    fold = F.aggregate(F.zip_with(F.slice("x", F.col("start"), F.lit(2 * half + 2)), "w", lambda s, w: F.coalesce(s * w, F.lit(0.0))), F.lit(0.0), lambda a, v: a + v)
-    return met.select("stream_id", F.col("j").alias("n"), clamp16(fold).alias("s"))
+    outs = blocks.select("stream_id", "x", j0.alias("j0"), j1.alias("j1"), first.cast("long").alias("first")).filter("j1 >= j0")
+
+    def run(batches):
+        weights = phase_matrix(rate_in, rate_out)  # a fixed table: a row per fraction
+        taps = np.arange(2 * half + 2)
+        for b in batches:
+            j0, j1, base = (np.asarray(b.column(c)) for c in (2, 3, 4))
+            out = []
+            for i in range(b.num_rows):
+                x = np.concatenate((np.asarray(b.column(1)[i].values), np.zeros(2 * half + 2)))
+                j = np.arange(j0[i], j1[i] + 1)
+                at = j * step.numerator // den - base[i]
+                y = np.concatenate([(x[at[k : k + OUTPUTS, None] + taps] * weights[j[k : k + OUTPUTS] * step.numerator % den]).sum(axis=1) for k in range(0, len(j), OUTPUTS)])
+                out.append(np.clip(np.rint(y), -32768, 32767).astype(np.int32))
+            ends = np.concatenate(([0], np.cumsum(j1 - j0 + 1))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))], names=["stream_id", "j0", "y"])
+
+    made = outs.mapInArrow(run, f"stream_id {df.schema['stream_id'].dataType.simpleString()}, j0 long, y array<int>")
+    return made.select("stream_id", "j0", F.posexplode("y").alias("i", "s")).select("stream_id", (F.col("j0") + F.col("i")).alias("n"), "s")
 
 
 def convert(df: DataFrame, rate_in: int, rate_out: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,8 +75,11 @@ def reorder_short(df: DataFrame, edges: list[int] = SHORT_44) -> DataFrame:
     return df.join(dim, "k").select("frame", F.col("k2").alias("k"), "x")
 
 
-def _transform(df: DataFrame, by: list[str], basis, lines: int, line: str = "k", where: str = "i", value: str = "y") -> DataFrame:
-    """Lines (by..., line, x) -> (by..., where, value): each key's lines come together once and meet the fixed ``basis`` (lines x outputs)."""
+def _transform(df: DataFrame, by: list[str], make, lines: int, line: str = "k", where: str = "i", value: str = "y") -> DataFrame:
+    """Lines (by..., line, x) -> (by..., where, value): each key's lines come together once and go through a fixed linear map.
+
+    ``make``, called in the task, gives the map: a matrix (lines x outputs), or a function of rows of lines.
+    """
     import numpy as np
     import pyarrow as pa
 
@@ -83,14 +87,18 @@ def _transform(df: DataFrame, by: list[str], basis, lines: int, line: str = "k",
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
 
     def run(batches):
-        for b in batches:
-            lists = b.column(len(by))
-            flat = lists.flatten()
-            x = np.zeros((b.num_rows, lines))
-            np.add.at(x, (np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths())), np.asarray(flat.field("k"))), np.asarray(flat.field("x")))
-            y = x @ basis
-            at = pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(by)], pa.ListArray.from_arrays(at, pa.array(y.ravel()))], names=[*by, "y"])
+        through = make()
+        rows = max(1, (1 << 20) // lines)
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                b = whole.slice(at, rows)
+                lists = b.column(len(by))
+                flat = lists.flatten()
+                x = np.zeros((b.num_rows, lines))
+                np.add.at(x, (np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths())), np.asarray(flat.field("k"))), np.asarray(flat.field("x")))
+                y = through(x) if callable(through) else x @ through
+                ends = pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(by)], pa.ListArray.from_arrays(ends, pa.array(y.ravel()))], names=[*by, "y"])
 
     return g.mapInArrow(run, f"{kinds}, y array<double>").select(*by, F.posexplode("y").alias(where, value))
 
@@ -103,22 +111,51 @@ def imdct_basis(n: int):
     return np.cos(2 * math.pi / n * (i + 0.5 + n / 4) * (k + 0.5))
 
 
+def fast_imdct(n: int):
+    """The same map by a complex Fourier transform of n / 4 points: lines in pairs from both ends, turned before and after, unfolded to n samples."""
+    import numpy as np
+
+    half, quarter = n // 2, n // 4
+    turn = np.exp(-1j * math.pi / (8 * half) * (8 * np.arange(quarter) + 1))
+    at = np.arange(n) + quarter  # which of the half samples, by their symmetries, and its sign
+    sign = np.where(at < half, 1.0, -1.0)
+    at = np.where(at < half, at, np.where(at < n, n - 1 - at, at - n))
+
+    def through(x):
+        z = np.fft.fft((x[:, ::2] + 1j * x[:, ::-1][:, ::2]) * turn, axis=1) * turn
+        u = np.empty_like(x)
+        u[:, ::2], u[:, ::-1][:, ::2] = z.real, -z.imag
+        return u[:, at] * sign
+
+    return through
+
+
+#: up to so many samples a block, a product with the matrix is as fast
+DENSE = 256
+
+
+def imdct_map(n: int):
+    return imdct_basis(n) if n <= DENSE else fast_imdct(n)
+
+
 def imdct(df: DataFrame, n: int) -> DataFrame:
-    """(frame, k, x), k < n / 2 -> (frame, i, y), i < n: y_i = sum of x_k cos(2 pi / n (i + 1/2 + n/4) (k + 1/2))."""
-    return _transform(df, ["frame"], imdct_basis(n), n // 2)
+    """(frame, k, x), k < n / 2 -> (frame, i, y), i < n: y_i = sum of x_k cos(2 pi / n (i + 1/2 + n/4) (k + 1/2)); n is a multiple of 4."""
+    return _transform(df, ["frame"], partial(imdct_map, n), n // 2)
 
 
-def imdct36(df: DataFrame, block_type: int = 0) -> DataFrame:
-    """(frame, sb, m, x), m < 18 -> (frame, sb, i, y), i < 36, windowed for a long block type."""
+def basis36(block_type: int):
     import numpy as np
 
     m, p = np.arange(18)[:, None], np.arange(36)[None, :]
-    basis = np.cos(math.pi / 72 * (2 * p + 1 + 18) * (2 * m + 1)) * np.array(block_window(block_type))[None, :]
-    return _transform(df, ["frame", "sb"], basis, 18, "m")
+    return np.cos(math.pi / 72 * (2 * p + 1 + 18) * (2 * m + 1)) * np.array(block_window(block_type))[None, :]
 
 
-def imdct12(df: DataFrame) -> DataFrame:
-    """(frame, sb, m, x), m < 18 -> (frame, sb, i, y), i < 36, for short blocks: three windowed transforms of every third line, laid 6 apart."""
+def imdct36(df: DataFrame, block_type: int = 0) -> DataFrame:
+    """(frame, sb, m, x), m < 18 -> (frame, sb, i, y), i < 36, windowed for a long block type."""
+    return _transform(df, ["frame", "sb"], partial(basis36, block_type), 18, "m")
+
+
+def basis12():
     import numpy as np
 
     basis, win = np.zeros((18, 36)), block_window(2)
@@ -126,7 +163,12 @@ def imdct12(df: DataFrame) -> DataFrame:
         for m in range(6):
             for p in range(12):
                 basis[w + 3 * m, 6 * w + p + 6] += math.cos(math.pi / 24 * (2 * p + 1 + 6) * (2 * m + 1)) * win[p]
-    return _transform(df, ["frame", "sb"], basis, 18, "m")
+    return basis
+
+
+def imdct12(df: DataFrame) -> DataFrame:
+    """(frame, sb, m, x), m < 18 -> (frame, sb, i, y), i < 36, for short blocks: three windowed transforms of every third line, laid 6 apart."""
+    return _transform(df, ["frame", "sb"], basis12, 18, "m")
 
 
 def hybrid_overlap(df: DataFrame) -> DataFrame:
@@ -258,12 +300,16 @@ def haar(df: DataFrame) -> DataFrame:
     return df.withColumn("x", F.when(even, total).otherwise(total - 2 * F.col("x")) * F.lit(2.0**-0.5))
 
 
-def polyphase_matrix(df: DataFrame) -> DataFrame:
-    """(step, k, x), k < 32 subband samples -> (step, i, v), i < 64: cosine matrixing of a synthesis step."""
+def subband_basis():
     import numpy as np
 
     k, i = np.arange(32)[:, None], np.arange(64)[None, :]
-    return _transform(df, ["step"], np.cos((16 + i) * (2 * k + 1) * math.pi / 64), 32, value="v")
+    return np.cos((16 + i) * (2 * k + 1) * math.pi / 64)
+
+
+def polyphase_matrix(df: DataFrame) -> DataFrame:
+    """(step, k, x), k < 32 subband samples -> (step, i, v), i < 64: cosine matrixing of a synthesis step."""
+    return _transform(df, ["step"], subband_basis, 32, value="v")
 
 
 def render_line(df: DataFrame) -> DataFrame:
@@ -313,7 +359,7 @@ def short_block_basis(n: int, short_window: list[float], before: list[float], co
 
 def short_blocks(df: DataFrame, n: int, short_window: list[float], before: list[float] | None = None, count: int = 8) -> DataFrame:
     """(frame, k, x) window-major lines of ``count`` short blocks -> (frame, i, y), i < n, to be overlapped like a long block's."""
-    return _transform(df, ["frame"], short_block_basis(n, short_window, before or short_window, count), n // 2)
+    return _transform(df, ["frame"], partial(short_block_basis, n, short_window, before or short_window, count), n // 2)
 
 
 def switched_basis(n: int, switched: bool):
@@ -330,7 +376,7 @@ def switched_basis(n: int, switched: bool):
 
 def switched_transform(df: DataFrame, n: int, window: list[float]) -> DataFrame:
     """(frame, switched, k, x) -> (frame, i, y), i < n: windowed blocks of either kind; ``window`` is the rising half."""
-    both = [_transform(df.filter(F.col("switched") == on), ["frame"], switched_basis(n, on), n // 2) for on in (False, True)]
+    both = [_transform(df.filter(F.col("switched") == on), ["frame"], partial(switched_basis, n, on), n // 2) for on in (False, True)]
     return apply_window(both[0].unionByName(both[1]), [*window, *reversed(window)])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sonaril.operators import recurrence, signals
+from sonaril.operators import recurrence, signals, spectral
 from sonaril.plans.catalog import SIG, SPEC, query
 
 
@@ -80,3 +80,12 @@ def comb_filter(spark, sf):
     x = signals.sig(spark, sf).withColumnRenamed("s", "x")
     params = x.select("stream_id", F.floor(F.col("n") / 16).alias("frame")).distinct().select("stream_id", "frame", *_comb_params(F.col("frame")))
     return recurrence.comb_filter(x, params, 16, 12).select("stream_id", "n", F.round("y", 5).alias("y"))
+
+
+# --------------------------------------------------------------------------- fast transforms
+@query(f"""WITH {SPEC}, l AS (SELECT frame // 16 AS frame, frame % 16 * 64 + k AS k, x FROM spec)
+SELECT frame, CAST(i AS INTEGER) AS i, round(sum(x * cos(2 * pi() / 2048 * (i + 0.5 + 512) * (k + 0.5))), 5) + 0.0 AS y FROM l, range(2048) t(i) GROUP BY 1, 2""")
+def imdct_fast(spark, sf):
+    """Blocks of 2048 samples from 1024 lines, by the fast transform."""
+    s = signals.spec(spark, sf).select(F.floor(F.col("frame") / 16).alias("frame"), (F.col("frame") % 16 * 64 + F.col("k")).cast("int").alias("k"), "x")
+    return spectral.imdct(s, 2048).select("frame", F.col("i").cast("int").alias("i"), F.round("y", 5).alias("y"))

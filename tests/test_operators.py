@@ -176,3 +176,19 @@ def test_permutations_and_spacing(spark):
     df = spark.createDataFrame([([5, 5, 1, 32767],)], "x array<long>")
     least = [3, 10, 10, 10, 100]
     assert df.select(floors.space_apart("x", least).alias("y")).first().y == [3, 13, 23, 32668]
+
+
+def test_fast_transform_equals_the_direct_sum():
+    rng = np.random.default_rng(3)
+    for n in (64, 128, 256, 512, 1024, 2048, 4096, 8192):
+        x = rng.normal(size=(3, n // 2))
+        want = x @ spectral.imdct_basis(n)
+        assert np.abs(spectral.fast_imdct(n)(x) - want).max() < 1e-9 * max(1.0, np.abs(want).max())
+
+
+def test_fast_transform_of_frames(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(5, 512))
+    rows = [(f, int(k), float(x[f, k])) for f in range(5) for k in rng.permutation(512)]
+    got = spectral.imdct(spark.createDataFrame(rows, "frame long, k int, x double"), 1024).toPandas().sort_values(["frame", "i"]).y.to_numpy().reshape(5, 1024)
+    assert np.allclose(got, x @ spectral.imdct_basis(1024), atol=1e-9)
