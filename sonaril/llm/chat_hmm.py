@@ -285,14 +285,21 @@ def marked_lines(conversations: DataFrame) -> DataFrame:
 
 
 def transcripts(lines: DataFrame, size: int = PART, crowd: int = CROWD) -> DataFrame:
-    """(conv_id, part, text) from (conv_id, turn, line): transcripts in parts of ``size`` turns, in order; a part of more than ``crowd`` rows is split."""
+    """(conv_id, part, text) from (conv_id, turn, line): transcripts in parts of ``size`` turns, in order.
+
+    A part of more than ``crowd`` rows goes turn by turn, so the transcript is the same; rows of one turn have no order among
+    themselves (they are sorted where they meet), and only one turn of more than ``crowd`` rows is dealt out.
+    """
     rows = lines.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.col("conv_id").cast("long").alias("conv_id"), F.floor(F.col("turn") / size).cast("long").alias("part"), "turn", "line")
-    crowds = rows.groupBy("key", "part").count().filter(F.col("count") > crowd).select("key", "part", F.ceil(F.col("count") / crowd).alias("pieces"))
-    most = crowds.agg(F.max("pieces")).first()[0] or 1
-    if most > 1:
-        rows = rows.withColumn("id", F.monotonically_increasing_id()).join(crowds, ["key", "part"], "left")  # repeated rows part, too
-        sub = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("id"), F.col("pieces"))).otherwise(0)
-        rows = rows.withColumn("part", F.col("part") * F.lit(int(most)) + sub)
+    per_turn = rows.groupBy("key", "part", "turn").count()
+    crowds = per_turn.groupBy("key", "part").agg(F.sum("count").alias("n")).filter(F.col("n") > crowd).select("key", "part")
+    split = per_turn.join(crowds, ["key", "part"]).select("key", "part", "turn", F.ceil(F.col("count") / crowd).alias("pieces"))
+    most = split.agg(F.max("pieces")).first()[0]
+    if most:
+        rows = rows.withColumn("id", F.monotonically_increasing_id()).join(split, ["key", "part", "turn"], "left")  # repeated rows part, too
+        turn = F.when(F.col("pieces").isNotNull(), F.pmod("turn", F.lit(size))).otherwise(0)
+        piece = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("id"), F.col("pieces"))).otherwise(0)
+        rows = rows.withColumn("part", (F.col("part") * size + turn) * F.lit(int(most)) + piece)
     t = F.struct("turn", "line").alias("t")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(t)), lambda x: x["line"]), "\n")
     return rows.groupBy("key", "part").agg(F.first("conv_id").alias("conv_id"), text.alias("text")).select("conv_id", "part", "text")

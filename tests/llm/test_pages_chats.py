@@ -181,3 +181,19 @@ def test_markers():
     assert name("Human: hi") == "human" and chat_hmm.split_marker("[ASSISTANT] x")[1] == "x" and name("[ASSISTANT] x") == "assistant"
     assert name("### System:") == "system" and chat_hmm.split_marker("### System:")[1] == "" and name("<|tool|>r") == "tool"
     assert name("Users: many") is None and np.isfinite(chat_hmm.feature(""))
+
+
+def test_a_crowd_keeps_the_order_of_turns(spark):
+    """40 turns of 30 rows each: split or not, the transcript is the same."""
+    rows = [(3, t, ("user", "assistant")[t % 2], f"turn {t} row {i}") for t in range(40) for i in range(30)] + [(4, t, "user", "few") for t in range(3)]
+    lines = chat_hmm.marked_lines(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+
+    def text(crowd):
+        parts = chat_hmm.transcripts(lines, crowd=crowd).orderBy("conv_id", "part").collect()
+        return {c: "\n".join(r.text for r in parts if r.conv_id == c) for c in (3, 4)}, len(parts)
+
+    (whole, n), (split, m) = text(10_000), text(64)
+    assert whole == split and n == 2 and m == 41
+    hmm = chat_hmm.fit(lines)
+    roles = lambda crowd: [r.role for r in chat_hmm.parse(chat_hmm.transcripts(lines, crowd=crowd), hmm).filter("conv_id = 3 AND NOT continued").orderBy("part", "seq").collect()]
+    assert roles(10_000) == roles(64)
