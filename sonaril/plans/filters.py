@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sonaril.operators import recurrence, signals, spectral
-from sonaril.plans.catalog import SIG, SPEC, query
+from sonaril.operators import allpass, recurrence, signals, spectral
+from sonaril.plans.catalog import PAIRS, SIG, SPEC, STEREO, query
 
 
 @query(f"""WITH RECURSIVE {SIG}, f(stream_id, n, m, y) AS (SELECT stream_id, n, 0.8500061035 * (s + 1e-30), (s + 1e-30) / 32768 FROM sig WHERE n = 0
@@ -89,3 +89,60 @@ def imdct_fast(spark, sf):
     """Blocks of 2048 samples from 1024 lines, by the fast transform."""
     s = signals.spec(spark, sf).select(F.floor(F.col("frame") / 16).alias("frame"), (F.col("frame") % 16 * 64 + F.col("k")).cast("int").alias("k"), "x")
     return spectral.imdct(s, 2048).select("frame", F.col("i").cast("int").alias("i"), F.round("y", 5).alias("y"))
+
+
+# --------------------------------------------------------------------------- voice
+def _section(o: int, k: int, c: int, name: str) -> str:
+    """Columns of one section: its input ``name``, state s{o}."""
+    t = f"((({name} - s{o}) * {c}) >> 16)"
+    return f"s{o} + {t} AS u{o}, {name} + {t} AS t{o}"
+
+
+_DOUBLED = f"""f(stream_id, n, s0, s1, s2, s3, s4, s5, e, o) AS (SELECT stream_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM sig WHERE n = 0
+UNION ALL SELECT stream_id, n, t0, t1, u1 + g2, t3, t4, u4 + g5, s2 + g2, s5 + g5 FROM (SELECT *, ((u1 - s2) * 39083) >> 16 AS g2, ((u4 - s5) * 55542) >> 16 AS g5 FROM (SELECT *, {_section(1, 1, 14986, 'u0')}, {_section(4, 1, 25769, 'u3')} FROM (SELECT *, {_section(0, 0, 1746, 'v')}, {_section(3, 0, 6854, 'v')} FROM (SELECT f.*EXCLUDE (n), sig.n, CAST(sig.s AS BIGINT) * 1024 AS v FROM f JOIN sig ON sig.stream_id = f.stream_id AND sig.n = f.n + 1)))))"""
+_UP = f"""{_DOUBLED}, up AS (SELECT stream_id, 2 * n + p AS n, greatest(-32768, least(32767, (CASE WHEN p = 0 THEN e ELSE o END + 512) >> 10)) AS s FROM f, range(2) t(p) WHERE n >= 0)"""
+
+
+@query(f"WITH RECURSIVE {SIG}, {_UP} SELECT stream_id, n, CAST(s AS INTEGER) AS s FROM up")
+def allpass_double(spark, sf):
+    """Streams at twice their rate by two chains of rounding all-pass sections."""
+    return allpass.double_rate(signals.sig(spark, sf))
+
+
+_TWELFTHS = "[189, -600, 617, 30567, 117, -159, -1070, 29704, 52, 221, -2392, 28276, -4, 529, -3350, 26341, -48, 758, -3956, 23973, -80, 905, -4235, 21254, -99, 972, -4222, 18278, -107, 967, -3957, 15143, -103, 896, -3487, 11950, -91, 773, -2865, 8798, -71, 611, -2143, 5784, -46, 425, -1375, 2996]"
+
+
+SQL_48K = f"""WITH RECURSIVE {SIG}, {_UP}, c AS (SELECT stream_id, count(*) AS len FROM sig GROUP BY 1), b AS (SELECT stream_id, f * 160 + lo AS lo, least(f * 160 + hi, len) AS hi, f * 960 + lo * 6 AS j0 FROM c, range(len // 160 + 1) t(f), (VALUES (0, 8), (8, 88), (88, 160)) e(lo, hi) WHERE f * 160 + lo < len),
+j AS (SELECT stream_id, lo, j0, j, j * 21846 AS x FROM b, range(480) t(j) WHERE j * 21846 < (hi - lo) << 17),
+t AS (SELECT stream_id, j0 + j AS n, 2 * lo + (x >> 16) + k - 8 AS p, {_TWELFTHS}[CASE WHEN k < 4 THEN (((x & 65535) * 12) >> 16) * 4 + k ELSE (11 - (((x & 65535) * 12) >> 16)) * 4 + 7 - k END + 1] AS w FROM j, range(8) u(k))
+SELECT t.stream_id, t.n, CAST(greatest(-32768, least(32767, (CAST(sum(w * coalesce(up.s, 0)) AS BIGINT) + 16384) >> 15)) AS INTEGER) AS s FROM t LEFT JOIN up ON up.stream_id = t.stream_id AND up.n = t.p GROUP BY 1, 2"""
+
+
+@query(SQL_48K)
+def voice_to_48k(spark, sf):
+    """Voice of 8 kHz in frames of 20 ms at 48 kHz."""
+    return allpass.raise_rate(signals.sig(spark, sf), 8000)
+
+
+_WEIGHTS = "p AS (SELECT stream_id, frame, (frame * 1237) % 16000 - 8000 AS p0, (frame * 3571) % 12000 - 6000 AS p1 FROM (SELECT DISTINCT stream_id, n // 80 AS frame FROM pairs))"
+
+
+@query(f"""WITH {PAIRS}, {_WEIGHTS}, q AS (SELECT *, coalesce(lag(p0) OVER w, 0) AS f0, coalesce(lag(p1) OVER w, 0) AS f1 FROM p WINDOW w AS (PARTITION BY stream_id ORDER BY frame)),
+x AS (SELECT stream_id, n, a AS mid, b AS side, coalesce(lag(a, 2) OVER w, 0) AS m2, coalesce(lag(a, 1) OVER w, 0) AS m1, coalesce(lag(b, 1) OVER w, 0) AS s1 FROM pairs WINDOW w AS (PARTITION BY stream_id ORDER BY n)),
+r AS (SELECT x.*, CASE WHEN n % 80 < 64 THEN f0 + (n % 80 + 1) * CAST(floor((p0 - f0) * 1024 / 65536.0 + 0.5) AS BIGINT) ELSE p0 END AS w0, CASE WHEN n % 80 < 64 THEN f1 + (n % 80 + 1) * CAST(floor((p1 - f1) * 1024 / 65536.0 + 0.5) AS BIGINT) ELSE p1 END AS w1 FROM x JOIN q ON q.stream_id = x.stream_id AND q.frame = x.n // 80),
+e AS (SELECT *, greatest(-32768, least(32767, CAST(floor((s1 * 256 + CAST(floor((m2 + mid + 2 * m1) * 512 * w0 / 65536.0) AS BIGINT) + CAST(floor(m1 * 2048 * w1 / 65536.0) AS BIGINT)) / 256.0 + 0.5) AS BIGINT))) AS e FROM r)
+SELECT stream_id, n, CAST(greatest(-32768, least(32767, m1 + e)) AS INTEGER) AS l, CAST(greatest(-32768, least(32767, m1 - e)) AS INTEGER) AS r FROM e""")
+def predicted_stereo(spark, sf):
+    """Mid and side of frames of 80 samples with weights that ramp over the first 64."""
+    s = signals.stereo(spark, sf)
+    pairs = s.groupBy("stream_id", "n").agg(F.max(F.when(F.col("ch") == 0, F.col("s"))).alias("mid"), F.max(F.when(F.col("ch") == 1, F.col("s"))).alias("side")).filter("mid IS NOT NULL AND side IS NOT NULL")
+    f = F.col("frame")
+    weights = pairs.select("stream_id", F.floor(F.col("n") / 80).alias("frame")).distinct().select("stream_id", "frame", ((f * 1237) % 16000 - 8000).alias("p0"), ((f * 3571) % 12000 - 6000).alias("p1"))
+    return allpass.unmix_predicted(pairs, weights, 80, 64)
+
+
+@query(f"""WITH {STEREO}, h AS (SELECT stream_id, n, ch, format('{{:02X}}{{:02X}}{{:02X}}', (s * 3) & 255, ((s * 3) >> 8) & 255, ((s * 3) >> 16) & 255) AS h FROM stereo)
+SELECT stream_id, CAST(3 * count(*) AS BIGINT) AS n_bytes, md5(unhex(string_agg(h, '' ORDER BY n, ch))) AS md5 FROM h GROUP BY 1""")
+def sample_digest(spark, sf):
+    """Digest of each stream's interleaved samples of 20 bits."""
+    return allpass.sample_digest(signals.stereo(spark, sf).withColumn("s", F.col("s") * 3), 20)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sonaril.functions import bits, fixed
 from sonaril.functions.pcm import full_scale
 from sonaril.operators import allocation, floors, framing, packets, signals, spectral
+from sonaril.plans import filters
 from sonaril.plans.catalog import IMDCT, PAIRS, SIG, SPEC, SPEC_PAIRS, STEREO, WORD, _clamp, _lr, _resample_sql, _spec_pairs, query, raw, word32
 
 
@@ -389,15 +390,23 @@ def _streamed(spark, sf, run):
     from sonaril.session import shared_folder
     from sonaril.streaming import stateful
 
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
     frames = framing.tumbling(signals.sig(spark, sf))
     last = frames.groupBy("stream_id").agg(F.max("frame_no").alias("last"))
     pieces = frames.join(last, "stream_id").select("stream_id", F.col("frame_no").alias("seq"), F.col("samples").cast("array<smallint>").alias("samples"), (F.col("frame_no") == F.col("last")).alias("eos"))
     pieces.write.parquet(f"{base}/in")
     out = run(spark.readStream.schema(stateful.PIECES).parquet(f"{base}/in"))
-    q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    try:
+        q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(provider)
+        else:
+            spark.conf.set(provider, before)
     return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
@@ -414,3 +423,11 @@ def stream_frames(spark, sf):
 
     f = _streamed(spark, sf, lambda pieces: stateful.frame_stream(pieces, 100))
     return f.withColumn("samples", F.array_join(F.col("samples").cast("array<string>"), " "))
+
+
+@query(filters.SQL_48K)
+def stream_voice(spark, sf):
+    """Voice of 8 kHz at 48 kHz, piece by piece."""
+    from sonaril.streaming import stateful
+
+    return _streamed(spark, sf, lambda pieces: stateful.raise_stream(pieces, 8000))

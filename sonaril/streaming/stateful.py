@@ -3,6 +3,8 @@
 One row per piece: (stream_id, seq, samples array<short>, eos), seq counting from 0. State is the input that later
 output still needs, the running read position, and pieces that came before their turn; any split into
 micro-batches, and any order of the pieces over them, gives the same output. A piece that comes again is dropped.
+At most ``WAITING`` pieces of a stream may wait for one that is missing: more fail the query, whose
+checkpoint still has all before them, so state can't grow without end behind a lost piece.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from sonaril.operators.allpass import Raiser
 from sonaril.operators.resample import DENSITY, kernel_shape, kernel_table
 
+WAITING = 4096
 PIECES = "stream_id string, seq long, samples array<short>, eos boolean"
 
 
@@ -77,6 +81,8 @@ class _Keyed(StatefulProcessor):
             raw, eos = self.waiting.pop(self.next)
             out.append((np.frombuffer(raw, "<i2"), eos))
             self.next += 1
+        if len(self.waiting) > WAITING:
+            raise ValueError(f"piece {self.next} is missing, and {len(self.waiting)} later ones of its stream wait for it")
         return own, out
 
     def _keep(self, own: bytes) -> None:
@@ -117,6 +123,29 @@ class Framer(_Keyed):
         yield pd.DataFrame({"stream_id": pd.Series([key[0]] * len(out), dtype=object), "frame_no": pd.Series([f for f, _ in out], dtype="int64"), "samples": pd.Series([s for _, s in out], dtype=object)})
 
 
+class VoiceRaiser(_Keyed):
+    """Voice to 48 kHz: sections, doubled samples and a batch's held samples go from piece to piece, so the bits don't depend on the split."""
+
+    def __init__(self, rate: int, frame_ms: int = 20):
+        self.rate, self.frame = rate, rate // 1000 * frame_ms
+
+    def handleInputRows(self, key, rows, timerValues):
+        raw, pieces = self._turn(rows)
+        st = Raiser(self.rate, self.frame)
+        if raw:
+            st.resume(pickle.loads(raw))
+        done = st.done
+        out = [st.push(samples.tolist(), eos) for samples, eos in pieces]
+        self._keep(pickle.dumps(st.state()))
+        y = np.concatenate(out) if out else np.zeros(0, np.int64)
+        yield pd.DataFrame({"stream_id": pd.Series([key[0]] * len(y), dtype=object), "n": np.arange(done, done + len(y)), "s": y.astype(np.int32)})
+
+
+def raise_stream(df: DataFrame, rate: int, frame_ms: int = 20) -> DataFrame:
+    """Streaming DataFrame of pieces of voice at 8, 12 or 16 kHz -> (stream_id, n, s) at 48 kHz."""
+    return df.groupBy("stream_id").transformWithStateInPandas(VoiceRaiser(rate, frame_ms), "stream_id string, n long, s int", "append", "None")
+
+
 def resample_stream(df: DataFrame, rate_in: int, rate_out: int) -> DataFrame:
     """Streaming DataFrame of pieces -> (stream_id, n, s)."""
     return df.groupBy("stream_id").transformWithStateInPandas(Resampler(rate_in, rate_out), "stream_id string, n long, s int", "append", "None")
