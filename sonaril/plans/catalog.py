@@ -662,4 +662,4 @@ def ac3_exponents(spark, sf):
 
 
 # further queries register themselves
-from sonaril.plans import filters, heads, shapes, stages  # noqa: E402, F401
+from sonaril.plans import filters, heads, pushed, shapes, stages  # noqa: E402, F401

@@ -390,15 +390,19 @@ def _streamed(spark, sf, run):
     from sonaril.session import shared_folder
     from sonaril.streaming import stateful
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
     frames = framing.tumbling(signals.sig(spark, sf))
     last = frames.groupBy("stream_id").agg(F.max("frame_no").alias("last"))
     pieces = frames.join(last, "stream_id").select("stream_id", F.col("frame_no").alias("seq"), F.col("samples").cast("array<smallint>").alias("samples"), (F.col("frame_no") == F.col("last")).alias("eos"))
     pieces.write.parquet(f"{base}/in")
-    out = run(spark.readStream.schema(stateful.PIECES).parquet(f"{base}/in"))
+    return _run_stream(spark, run(spark.readStream.schema(stateful.PIECES).parquet(f"{base}/in")), base)
+
+
+def _run_stream(spark, out, base):
+    """What a streaming DataFrame gives from all that is there, by way of a table in ``base``."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
         q.awaitTermination()
