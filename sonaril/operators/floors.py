@@ -61,3 +61,23 @@ def space_apart(x: Column | str, least: list[int], top: int = 1 << 15) -> Column
         lambda acc, p: F.concat(acc, F.array(F.least(p["v"], F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(top).cast("long")) - p["d"]))),
     )
     return F.reverse(down)
+
+
+# --------------------------------------------------------------------------- residues
+def residue(entries: DataFrame, classes: DataFrame, books: DataFrame, values: DataFrame, size: int, layout: int, channels: int = 1, begin: int = 0, lines: int | None = None) -> DataFrame:
+    """Vectors of several passes summed into lines: (frame, ch, k, x).
+
+    ``entries`` (frame, ch, part, pass, i, entry): the i-th code of a partition of ``size`` lines in a pass; ``classes`` (frame, ch,
+    part, class); ``books`` (class, pass, book): which passes a class takes part in; ``values`` (book, entry, v array<double>).
+    Layout 0 spreads a vector's numbers over its partition, 1 puts them side by side, 2 does so over all channels' lines
+    interleaved (``ch`` of the input is 0 there). Lines from ``lines`` on are dropped. One sum, added up before the shuffle.
+    """
+    met = entries.join(classes, ["frame", "ch", "part"]).join(books, ["class", "pass"]).join(values, ["book", "entry"])
+    each = met.select("frame", "ch", "part", "i", F.size("v").alias("dim"), F.posexplode("v").alias("j", "x"))
+    inside = F.col("i") + F.col("j") * F.floor(F.lit(size) / F.col("dim")) if layout == 0 else F.col("i") * F.col("dim") + F.col("j")
+    at = each.withColumn("p", (F.lit(begin) + F.col("part") * size + inside).cast("long"))
+    if layout == 2:
+        at = at.withColumn("ch", (F.col("p") % channels).cast("int")).withColumn("p", F.floor(F.col("p") / channels))
+    if lines is not None:
+        at = at.filter(F.col("p") < lines)
+    return at.groupBy("frame", "ch", F.col("p").alias("k")).agg(F.sum("x").alias("x"))

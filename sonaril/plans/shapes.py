@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sonaril.operators import pulses, signals
+from sonaril.operators import floors, pulses, signals
 from sonaril.plans.catalog import SPEC, query
 
 _N, _K = 5, 4
@@ -72,3 +72,30 @@ def band_allocation(spark, sf):
     extra = F.array(*[F.when(at % 8 == j, 16).otherwise(0) for j in range(8)])
     e = signals.table(spark, sf, "events").select(at.alias("frame"), (20 + (at * 37) % 1500).cast("int").alias("total"), (at % 11).cast("int").alias("trim"), F.array(*[F.lit(250 + 10 * j) for j in range(8)]).alias("caps"), extra.alias("extra"))
     return pulses.allocate(e, EDGES, ROWS, 1, 2).select("frame", "level", "step", F.posexplode("bits").alias("band", "bits"))
+
+
+# --------------------------------------------------------------------------- residues
+_BOOKS = [(0, 0, 0), (1, 0, 0), (1, 1, 1), (2, 0, 1), (2, 2, 2)]  # class, pass, book
+_DIMS = [2, 4, 8]
+_CODES = """l AS (SELECT l_orderkey AS frame, l_linenumber - 1 AS part, CAST(sum(l_partkey) AS BIGINT) AS seed, CAST(sum(l_suppkey) % 3 AS INTEGER) AS class FROM lineitem GROUP BY 1, 2),
+b AS (SELECT * FROM (VALUES (0, 0, 0, 2), (1, 0, 0, 2), (1, 1, 1, 4), (2, 0, 1, 4), (2, 2, 2, 8)) t(class, pass, book, dim)),
+e AS (SELECT frame, part, pass, book, dim, i, (seed + 7 * i + 13 * pass) % 16 AS entry FROM l JOIN b USING (class), range(4) t(i) WHERE i < 8 // dim),
+v AS (SELECT e.*, j, ((entry * (j + 1) * (book + 2)) % 11 - 5) / CAST(4 AS DOUBLE) AS x FROM e, range(8) u(j) WHERE j < dim)"""
+
+
+def _residue(layout: int, place: str):
+    def run(spark, sf):
+        per = signals.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("frame"), (F.col("l_linenumber") - 1).alias("part")).agg(F.sum("l_partkey").alias("seed"), (F.sum("l_suppkey") % 3).cast("int").alias("class")).withColumn("ch", F.lit(0))
+        books = F.broadcast(spark.createDataFrame(_BOOKS, "class int, pass int, book int"))  # fixed tables of the set-up
+        values = F.broadcast(spark.createDataFrame([(b, e, [((e * (j + 1) * (b + 2)) % 11 - 5) / 4 for j in range(d)]) for b, d in enumerate(_DIMS) for e in range(16)], "book int, entry long, v array<double>"))
+        codes = per.select("frame", "ch", "part", "seed", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pass")).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+        # a pass has as many codes as vectors of its book fill a partition
+        used = codes.join(per.select("frame", "part", "class"), ["frame", "part"]).join(F.broadcast(spark.createDataFrame([(c, p, 8 // _DIMS[b]) for c, p, b in _BOOKS], "class int, pass int, codes int")), ["class", "pass"]).filter("i < codes")
+        entries = used.select("frame", "ch", "part", "pass", "i", ((F.col("seed") + 7 * F.col("i") + 13 * F.col("pass")) % 16).alias("entry"))
+        return floors.residue(entries, per.select("frame", "ch", "part", "class"), books, values, 8, layout, channels=2, begin=4, lines=50).select("frame", "ch", "k", F.round("x", 6).alias("x"))
+
+    query(f"WITH {_CODES}, p AS (SELECT frame, 4 + part * 8 + {place} AS p, x FROM v), q AS (SELECT frame, {'CAST(p % 2 AS INTEGER) AS ch, p // 2' if layout == 2 else '0 AS ch, p'} AS k, x FROM p) SELECT frame, ch, CAST(k AS BIGINT) AS k, round(sum(x), 6) + 0.0 AS x FROM q WHERE k < 50 GROUP BY 1, 2, 3", f"residue_layout_{layout}")(run)
+
+
+for _layout, _place in ((0, "i + j * (8 // dim)"), (1, "i * dim + j"), (2, "i * dim + j")):
+    _residue(_layout, _place)

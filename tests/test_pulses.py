@@ -110,3 +110,30 @@ def test_allocation(spark):
         df = spark.createDataFrame(rows, "frame int, total int, trim int, caps array<int>, extra array<int>")
         got = {r.frame: (r.level, r.step, list(r.bits)) for r in pulses.allocate(df, EDGES, ROWS, channels, size).collect()}
         assert got == {i: plain_allocation(*rest, channels, size) for i, *rest in rows}
+
+
+def test_residues(spark):
+    """Codes of several classes and passes, in every layout, against plain loops."""
+    from sonaril.operators import floors
+
+    rng = random.Random(4)
+    books = {(c, p): rng.randrange(3) for c in range(3) for p in range(8) if rng.random() < 0.5}
+    values = {(b, e): [rng.randrange(-8, 8) / 2 for _ in range(d)] for b, d in enumerate((1, 2, 4)) for e in range(5)}
+    classes = {(f, ch, part): rng.randrange(3) for f in range(6) for ch in range(2) for part in range(5)}
+    entries = [(f, ch, part, p, i, rng.randrange(5)) for (f, ch, part), c in classes.items() for p in range(8) if (c, p) in books for i in range(4 // len(values[books[c, p], 0]))]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = frame([(*k, v) for k, v in classes.items()], "frame int, ch int, part int, class int"), frame([(*k, b) for k, b in books.items()], "class int, pass int, book int"), frame([(*k, v) for k, v in values.items()], "book int, entry int, v array<double>")
+    for layout in (0, 1, 2):
+        want = {}
+        for f, ch, part, p, i, e in entries:
+            if layout == 2 and ch:
+                continue
+            v = values[books[classes[f, ch, part], p], e]
+            for j, x in enumerate(v):
+                k = 2 + part * 4 + (i + j * (4 // len(v)) if layout == 0 else i * len(v) + j)
+                key = (f, k % 2, k // 2) if layout == 2 else (f, ch, k)
+                if key[2] < 19:
+                    want[key] = want.get(key, 0) + x
+        given = frame([r for r in entries if layout < 2 or not r[1]], "frame int, ch int, part int, pass int, i int, entry int")
+        got = {(r.frame, r.ch, r.k): r.x for r in floors.residue(given, *tables, 4, layout, channels=2, begin=2, lines=19).collect()}
+        assert got == want
