@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sonaril.operators import floors, pulses, signals
+from sonaril.operators import floors, pulses, signals, spectrum_lines
 from sonaril.plans.catalog import SPEC, query
 
 _N, _K = 5, 4
@@ -99,3 +99,34 @@ def _residue(layout: int, place: str):
 
 for _layout, _place in ((0, "i + j * (8 // dim)"), (1, "i * dim + j"), (2, "i * dim + j")):
     _residue(_layout, _place)
+
+
+# --------------------------------------------------------------------------- line spectra
+def _lsf_sql() -> str:
+    """Order ten, lines far apart: cosines, two products root by root, and their sums, each step a CTE; stable filters need no more."""
+    half = lambda x, n: f"((({x}) >> {n - 1}) + 1) >> 1"
+    table = "[8192, 8190, 8182, 8170, 8152, 8130, 8104, 8072, 8034, 7994, 7946, 7896, 7840, 7778, 7714, 7644, 7568, 7490, 7406, 7318, 7226, 7128, 7026, 6922, 6812, 6698, 6580, 6458, 6332, 6204, 6070, 5934, 5792, 5648, 5502, 5352, 5198, 5040, 4880, 4718, 4552, 4382, 4212, 4038, 3862, 3684, 3502, 3320, 3136, 2948, 2760, 2570, 2378, 2186, 1990, 1794, 1598, 1400, 1202, 1002, 802, 602, 402, 202, 0]"
+    look = lambda i: f"CASE WHEN {i} <= 64 THEN t[{i} + 1] ELSE -t[129 - ({i})] END"
+    cos = lambda k: "(" + half(f"256 * ({look(f'(l[{k + 1}] >> 8)')}) + (({look(f'((l[{k + 1}] >> 8) + 1)')}) - ({look(f'(l[{k + 1}] >> 8)')})) * (l[{k + 1}] & 255)", 4) + ")"
+    place = [0, 9, 6, 3, 4, 5, 8, 1, 2, 7]  # where each line goes
+    steps = [f"l AS (SELECT vec_id, list_transform(range(10), lambda k: CAST((k + 1) * 32768 // 11 + CAST(round_even(CAST(embedding[k + 1] AS DOUBLE) * 1000, 0) AS BIGINT) % 700 AS BIGINT)) AS l, {table} AS t FROM embeddings)"]
+    steps.append("r AS (SELECT vec_id, " + ", ".join(f"CAST({cos(k)} AS BIGINT) AS c{place[k]}" for k in range(10)) + " FROM l)")
+    steps.append("s0 AS (SELECT *, 65536 AS p0, -c0 AS p1, 65536 AS q0, -c1 AS q1 FROM r)")
+    for k in range(1, 5):
+        new = []
+        for x, o in (("p", 0), ("q", 1)):
+            c = f"c{2 * k + o}"
+            new += [f"65536 AS {x}0", f"{x}1 - {c} AS {x}1"]
+            new += [f"{x}{n} + {x}{n - 2} - ({half(f'{c} * {x}{n - 1}', 16)}) AS {x}{n}" for n in range(2, k + 1)]
+            new.append(f"2 * {x}{k - 1} - ({half(f'{c} * {x}{k}', 16)}) AS {x}{k + 1}")
+        steps.append(f"s{k} AS (SELECT vec_id, {', '.join(f'c{i}' for i in range(10))}, {', '.join(new)} FROM s{k - 1})")
+    a = [f"-(q{k + 1} - q{k}) - (p{k + 1} + p{k})" for k in range(5)] + [f"(q{k + 1} - q{k}) - (p{k + 1} + p{k})" for k in range(4, -1, -1)]
+    return f"WITH {', '.join(steps)} SELECT vec_id, CAST(unnest(range(10)) AS INTEGER) AS i, CAST(unnest([{', '.join(half(x, 5) for x in a)}]) AS INTEGER) AS a FROM s4"
+
+
+@query(_lsf_sql())
+def line_filter(spark, sf):
+    """Ten lines about evenly spread, to a prediction filter."""
+    e = signals.table(spark, sf, "embeddings").withColumn("v", F.slice(F.col("embedding").cast("array<double>"), 1, 10))
+    lines = F.transform("v", lambda x, k: (F.floor((k + 1) * 32768 / 11) + F.rint(x * 1000).cast("long") % 700).cast("int"))
+    return spectrum_lines.line_filters(e.select("vec_id", lines.alias("lines"))).select("vec_id", F.posexplode("a").alias("i", "a"))
