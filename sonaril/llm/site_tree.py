@@ -68,10 +68,10 @@ def _then(before: int, x: int) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "sign", "named", "prior", "parent", "children", "path")
+    __slots__ = ("tag", "sign", "named", "prior", "parent", "children", "path", "content")
 
     def __init__(self, tag: str, attrs: dict, parent):
-        self.tag, self.parent, self.children = tag, parent, []
+        self.tag, self.parent, self.children, self.content = tag, parent, [], (0, 1)
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".strip()
         role = (attrs.get("role") or "").lower()
         self.named = bool(names or role)
@@ -84,17 +84,31 @@ class Node:
 
 
 class _Builder(HTMLParser):
-    """A tree of nodes and text; end tags that close nothing are dropped."""
+    """A tree of nodes and text; end tags that close nothing are dropped.
+
+    ``open`` counts the open elements of each kind, so that nothing is looked for along a deep branch that isn't there.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", {}, None)
+        self.open: dict[str, int] = {}
+
+    def _close(self, n: Node) -> None:
+        """The element and all within it are closed."""
+        x = self.at
+        while x is not n.parent:
+            self.open[x.tag] -= 1
+            x = x.parent
+        self.at = n.parent
 
     def _up_to(self, tags, stop) -> None:
+        if not any(self.open.get(t) for t in tags):
+            return
         n = self.at
         while n.parent is not None and n.tag not in stop:
             if n.tag in tags:
-                self.at = n.parent
+                self._close(n)
                 return
             n = n.parent
 
@@ -117,6 +131,7 @@ class _Builder(HTMLParser):
         self.at.children.append(n)
         if tag not in VOID:
             self.at = n
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -124,13 +139,15 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if not self.open.get(tag):
+            return
         n = self.at
         while n is not None and n.tag != tag:
             if n.tag in ("table", "article", "main") and tag not in ("body", "html", "main", "article", "table", "div", "section"):
                 return  # an inline end tag doesn't close the blocks around it
             n = n.parent
         if n is not None and n.parent is not None:
-            self.at = n.parent
+            self._close(n)
 
     def handle_data(self, data):
         if data:
@@ -163,16 +180,21 @@ def _walk(root: Node):
         todo.extend(c for c in n.children if isinstance(c, Node))
 
 
-def raw_text(n: Node) -> str:
-    out: list[str] = []
-    todo: list = [n]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif x.tag not in RAW:
-            todo.extend(reversed(x.children))
-    return " ".join("".join(out).split())
+_PRIME = (1 << 63) - 25
+
+
+def note_contents(root: Node) -> None:
+    """Each node's content, from the leaves up: its text without white space as a number modulo a prime, and the power that it shifts by."""
+    for n in reversed(list(_walk(root))):
+        number, shift = 0, 1
+        for c in n.children if n.tag not in RAW else ():
+            if isinstance(c, Node):
+                x, by = c.content
+            else:
+                body = "".join(c.split()).encode("utf-8", "surrogatepass")
+                x, by = int.from_bytes(body, "big") % _PRIME, pow(256, len(body), _PRIME)
+            number, shift = (number * by + x) % _PRIME, shift * by % _PRIME
+        n.content = number, shift
 
 
 def host_of(url: str | None) -> str:
@@ -183,6 +205,7 @@ def host_of(url: str | None) -> str:
 # --------------------------------------------------------------------------- the tree of a host
 def page_features(root: Node) -> dict[int, tuple[int, int]]:
     """path -> (style, content) of each node of a page; equal siblings are one node whose parts are joined."""
+    note_contents(root)
     parts: dict[int, list[Node]] = {}
     for n in _walk(root):
         if n.parent is not None and n.tag not in RAW:
@@ -197,7 +220,7 @@ def page_features(root: Node) -> dict[int, tuple[int, int]]:
                 if sign is not None and sign != last:  # runs of equal children are one
                     style = _then(style, _sign_id(sign))
                     last = sign
-            content = _then(content, _id(raw_text(n)))
+            content = _then(content, n.content[0])
         out[path] = (style, content)
     return out
 
@@ -287,7 +310,7 @@ def extract(html: str | None, low: set[int]) -> str:
     """Main text of a page, given the unimportant nodes of its host."""
     root = parse(html)
     main = _find_main(root, low)
-    marked = main != [root]
+    marked, own = main != [root], {id(n) for n in main}
     blocks: list[str] = []
     run: list[str] = []
 
@@ -305,7 +328,7 @@ def extract(html: str | None, low: set[int]) -> str:
         elif isinstance(x, str):
             run.append(x)
         else:
-            inner = x in main
+            inner = id(x) in own
             if not inner and (x.prior or (x.path in low and x.parent is not None and x.tag not in ("html", "body") and (x.named or not marked))):
                 if x.tag in BLOCK or x.tag in NOT_MAIN:
                     flush()

@@ -3,6 +3,7 @@
 import collections
 import functools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -56,6 +57,12 @@ def test_malformed_declarations_lose_no_text(spark):
     assert sorted((r.page_id, r.n_chars) for r in got.collect()) == [(1, 999_999)] * 2 + [(2, 1)]
 
 
+def plain_text(n):
+    """All letters under a node."""
+    parts = [c if isinstance(c, str) else plain_text(c) for c in n.children] if n.tag not in site_tree.RAW else []
+    return "".join("".join(parts).split())
+
+
 def plain_tree(pages):
     """Unimportant paths of each host, said plainly: paths as tuples, styles and contents as they are."""
     low = {}
@@ -76,7 +83,7 @@ def plain_tree(pages):
                     signs = [x for x in signs if x]
                     style += [x for i, x in enumerate(signs) if not i or x != signs[i - 1]]
                 styles[path].append(tuple(style))
-                contents[path].append([site_tree.raw_text(n) for n in ns])
+                contents[path].append([plain_text(n) for n in ns])
         for path in styles:
             count = lambda xs: [xs.count(x) for i, x in enumerate(xs) if x not in xs[:i]]
             importance = 0.5 * site_tree.log_entropy(count(styles[path])) + 0.5 * site_tree.log_entropy(count(contents[path]))
@@ -97,6 +104,22 @@ def test_trees_against_plain_ones(spark):
     assert got == want and all(want.values())
 
 
+@pytest.mark.parametrize("html", ["<div>" * 100_000 + "deep", "<span>" * 60_000 + "</b>" * 60_000 + "<p>deep", "<article>" * 40_000 + "deep" + "</article>" * 40_000, "<ul>" * 30_000 + "<li>" * 30_000 + "deep", "<p><b>" * 30_000 + "deep"])
+def test_deep_and_unclosed_pages_take_no_longer(html):
+    """Time grows with the page, whatever its depth."""
+    began = time.perf_counter()
+    features = site_tree.page_features(site_tree.parse(html))
+    assert features and site_tree.extract(html, set()) == "deep"
+    assert time.perf_counter() - began < 20
+
+
+def test_contents_do_not_depend_on_markup():
+    one, two, other = (site_tree.parse(h) for h in ("<div>ab <b>c</b>d é</div>", "<div>a<i>b cd</i> <u></u>é</div>", "<div>ab cd e</div>"))
+    for r in (one, two, other):
+        site_tree.note_contents(r)
+    assert one.content == two.content != other.content
+
+
 def test_entropy_of_grouped_counts():
     assert site_tree.log_entropy([5]) == 0 and abs(site_tree.log_entropy([1] * 8) - 1) < 1e-12
 
