@@ -24,13 +24,14 @@ from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonaril.llm.common import crc_text, free_names, prefix_hash, shuffle_partitions, span_hash, tidied
+from sonaril.llm.common import crc_text, free_names, prefix_hash, shuffle_partitions, span_hash, tidied, tidy
 
+HASHED = 1 << 14  # units hashed at once
 SAMPLE = 1500
 ORDERS = (5, 4, 3, 2, 1)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -91,8 +92,9 @@ class Units(NamedTuple):
 
     @staticmethod
     def of(units: list[str], lang: np.ndarray, n: np.ndarray, langs: int) -> Units:
-        s, first, end = _code_points(units)
-        hashes, row = np.unique(span_hash(s, first, end), return_inverse=True)
+        # in slices, as a prefix hash and its powers take 24 bytes a letter
+        each = [span_hash(*_code_points(units[k : k + HASHED])) for k in range(0, len(units), HASHED)]
+        hashes, row = np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_inverse=True)
         order = np.argsort(row, kind="stable")
         base = np.log(0.5 / (np.bincount(lang, n, langs) + 0.5 * len(hashes) + 1.0))
         return Units(hashes, np.searchsorted(row[order], np.arange(len(hashes) + 1)).astype(np.int32), lang[order].astype(np.int32), np.log((n[order] + 0.5) / 0.5).astype(np.float32), base)
@@ -116,14 +118,17 @@ class Units(NamedTuple):
 class Model:
     """Languages, priors, and the units of each kind."""
 
-    def __init__(self, langs: list[str], prior: list[float], units: pd.DataFrame | None = None):
-        """units: (lang, kind, unit, n)."""
+    def __init__(self, langs: list[str], prior: list[float], units: pa.Table | None = None):
+        """units: (lang, kind, unit, n); one kind's at a time are taken apart, so that the driver needs little more than the table."""
         self.langs, self.prior = langs, np.log(np.array(prior)) if langs else np.zeros(0)
         self.kinds: list[Units] = []
         for kind in range(6):
-            own = units[units["kind"] == kind] if units is not None else pd.DataFrame({"unit": [], "lang": [], "n": []})
-            lang = np.searchsorted(np.array(langs), own["lang"].to_numpy(dtype=str)) if len(own) else np.zeros(0, np.int64)
-            self.kinds.append(Units.of(own["unit"].tolist(), lang, own["n"].to_numpy(np.float64), len(langs)))
+            if units is None:
+                self.kinds.append(Units.of([], np.zeros(0, np.int64), np.zeros(0), len(langs)))
+                continue
+            own = units.filter(pc.equal(units["kind"], kind))
+            lang = np.asarray(pc.index_in(own["lang"], pa.array(langs, pa.string()))).astype(np.int64)
+            self.kinds.append(Units.of(own["unit"].to_pylist(), lang, np.asarray(own["n"]).astype(np.float64), len(langs)))
 
     def vectors(self, words: list[str]) -> np.ndarray:
         """Scores of words in each language: the word's, else those of its longest known n-grams, else zero."""
@@ -227,9 +232,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id", "text")))
     taken = ranked.filter(F.col("r") <= sample).repartition(shuffle_partitions(spark), "lang", "r").select("lang", "text")
     counts = taken.mapInArrow(tidied(_count_units), "lang string, kind int, unit string, n long").groupBy("lang", "kind", "unit").agg(F.sum("n").alias("n"))
-    got = counts.toArrow().to_pandas()  # the units of ``sample`` rows a language
+    got = counts.toArrow()  # the units of ``sample`` rows a language
     total = sum(seen.values())
-    return Model(names, [seen[x] / total for x in names], got)
+    model = Model(names, [seen[x] / total for x in names], got)
+    del got
+    tidy()  # what building took goes back to the system
+    return model
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
