@@ -28,8 +28,8 @@ from sonaril.llm.common import CACHES, Scratch, crc_text, map_arrow, mix, shuffl
 
 DIMS, BITS = 4, 12
 LENGTH, END_ID = 4096, 2
-#: words of a generation that a worker keeps; of the last one, those met again go on
-_CACHE = 150_000
+#: words whose ids a worker keeps (it grows by some 150 MB on the check's documents); beyond that it starts anew
+_CACHE = 600_000
 
 
 # --------------------------------------------------------------------------- Hilbert keys
@@ -93,30 +93,26 @@ def _byte_chars() -> list[str]:
     return out
 
 
-_BYTE_CHARS = _byte_chars()
+#: by byte, where the two differ
+_BYTE_CHARS = {b: c for b, c in enumerate(_byte_chars()) if chr(b) != c}
+#: Latin letters; these ranges hold nothing else
+_LATIN = re.compile("[a-zªµºß-öø-\u024f]+")
 
 
-class _Kept(dict):
-    """Values by word; those of the last generation are found, too."""
+def normalised(t: str) -> str:
+    """NFC and lower case as the tokenizer's file has it: letter by letter, so a last sigma is like any other."""
+    if t.isascii():
+        return t.lower()
+    t = unicodedata.normalize("NFC", t)
+    return "".join([c.lower() for c in t]) if "Σ" in t else t.lower()
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
-
-    def __missing__(self, u: str) -> bytes:
-        got = self.old.get(u)
-        if got is None:
-            got = self.make(u)
-        self[u] = got
-        return got
-
-    def age(self) -> None:
-        if len(self) > _CACHE:
-            self.old = dict(self)
-            self.clear()
 
+class WordIds(dict):
+    """Ids of texts by a word-level BPE tokenizer: white space always ends a word, so each word's ids are kept.
 
-class WordIds:
-    """Ids of texts by a word-level BPE tokenizer: white space always ends a word, so each word's ids are kept."""
+    Keys are runs of characters without white space and the words in them, normalised; a word has the same ids
+    in both roles. Values are ids as bytes of ``dtype``.
+    """
 
     def __init__(self, path: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -128,36 +124,41 @@ class WordIds:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model  # taken once: every reading of the attribute wraps it anew
         self.dtype, self.code = (np.uint16, "H") if self.tok.get_vocab_size() <= 1 << 16 else (np.uint32, "I")
         # the tokenizer's own word pattern (a fixed value of its file)
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.table = projection(max(self.tok.get_vocab_size(), 1 << 16))
-        self.units, self.parts = _Kept(self._unit), _Kept(self._part)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def _unit(self, u: str) -> bytes:
-        """Ids of one run of characters without white space: normalised and cut by the tokenizer's pattern."""
-        # character by character, as the tokenizer's file has it: no form of a letter depends on its place
-        ps = self.pattern.findall(u.lower() if u.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", u)]))
-        return self.parts[ps[0]] if len(ps) == 1 else b"".join([self.parts[p] for p in ps])
+    def __missing__(self, u: str) -> bytes:
+        head = u[:-1]
+        if u.isalpha() if u.isascii() else _LATIN.fullmatch(u):
+            got = self._word(u)
+        elif u[-1].isascii() and (head.isalpha() if head.isascii() else _LATIN.fullmatch(head)):
+            got = self[head] + self[u[-1]]  # letters and what is none
+        else:
+            ps = self.pattern.findall(u)
+            got = self._word(ps[0]) if len(ps) == 1 else b"".join([self[p] for p in ps])
+        self[u] = got
+        return got
 
-    def _part(self, p: str) -> bytes:
+    def _word(self, p: str) -> bytes:
         """Ids of one word by the tokenizer's model alone; its alphabet has a printable character for every byte."""
         if not (p.isascii() and p.isprintable()):
-            p = "".join([_BYTE_CHARS[b] for b in p.encode()])
-        return array(self.code, [t.id for t in self.tok.model.tokenize(p)]).tobytes()
+            p = p.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return array(self.code, [t.id for t in self.model.tokenize(p)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as bytes of ``dtype``."""
-        whole = [i for i, t in enumerate(texts) if "<|" in t or (any(c in t for c in _ODD_ASCII) if t.isascii() else _ODD_SPACE.search(t))]
-        get = self.units.__getitem__
-        out = [b"".join(map(get, t.split())) for t in texts]
+        whole = {i for i, t in enumerate(texts) if "<|" in t or (any(c in t for c in _ODD_ASCII) if t.isascii() else _ODD_SPACE.search(t))}
+        out = [b"" if i in whole else b"".join(map(self.__getitem__, normalised(t).split())) for i, t in enumerate(texts)]
         for i, b in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
             out[i] = b
-        self.units.age()
-        self.parts.age()
+        if len(self) > _CACHE:
+            self.clear()
         return out
 
 

@@ -240,6 +240,33 @@ def test_word_ids_equal_the_tokenizer():
     assert [list(np.frombuffer(b, np.uint16)) for b in got] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_plain_words_take_no_pattern(monkeypatch):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = packing.WordIds()
+
+    def same(texts):
+        return [list(np.frombuffer(b, np.uint16)) for b in ids.encode(texts)] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+    assert same([". , ;"])  # marks alone go by the pattern, once
+    cut, ids.pattern = ids.pattern, None
+    assert same(["Abc, ABC abc. élève; ÉLÈVE, Ŝanĝo Über"])  # a word, and a word with one mark, don't
+    ids.pattern = cut
+    monkeypatch.setattr(packing, "_CACHE", 50)  # any mixture, with a cache that is emptied again and again
+    rng = random.Random(3)
+    some = "aabbccstremdlv''''ABÉéßſªºµ×÷ƻǅɏɐΣσςİIı5²Ⅷ١.,-_$\"\u0301\u0327\u00ad\u200ddЖ日本א😀 \n\t   "
+    assert same(["".join(rng.choice(some) for _ in range(rng.randrange(60))) for _ in range(2000)])
+
+
+def test_latin_range_has_letters_only():
+    import regex
+
+    low = "".join(map(chr, range(0x250)))
+    assert "".join(packing._LATIN.findall(low)) == "".join(c for c in regex.findall(r"\p{L}", low) if not ("A" <= c <= "Z" or "À" <= c <= "Þ"))
+
+
 def test_hilbert_curve_is_a_path():
     g = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     k = packing.hilbert(g, 3)
