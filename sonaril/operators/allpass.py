@@ -8,6 +8,7 @@ State and result don't depend on how a stream is cut in pieces.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -95,25 +96,32 @@ class Raiser:
 
 
 def _along(df: DataFrame, start, push, piece: int) -> DataFrame:
-    """(stream_id, n, s) through a state per stream, piece after piece: (stream_id, n, s). Streams are dealt to tasks; a piece is all that a task holds."""
+    """(stream_id, n, s) through a state per stream, piece after piece: (stream_id, n, s). Streams are dealt to tasks; a task holds a piece and the one after it.
+
+    Streams are dealt by a struct of their id: Spark leaves out a repartition by a column that the rows come dealt by
+    already, and may then read that earlier shuffle piecemeal, which cuts a stream over tasks.
+    """
     sid = df.schema["stream_id"].dataType.simpleString()
-    listed = df.groupBy("stream_id", F.floor(F.col("n") / piece).alias("at")).agg(F.array_sort(F.collect_list(F.struct("n", F.col("s").cast("int").alias("s")))).alias("x"), F.max("n").alias("end"))
-    ends = df.groupBy("stream_id").agg(F.max("n").alias("last"))
-    ready = listed.join(ends, "stream_id").select("stream_id", "at", F.transform("x", lambda v: v["s"]).alias("x"), (F.col("end") == F.col("last")).alias("final"))
+    listed = df.groupBy("stream_id", F.floor(F.col("n") / piece).alias("at")).agg(F.array_sort(F.collect_list(F.struct("n", F.col("s").cast("int").alias("s")))).alias("x"))
+    ready = listed.select("stream_id", "at", F.transform("x", lambda v: v["s"]).alias("x"))
 
-    def run(rows) -> Iterator[pa.RecordBatch]:
-        key, state, done = (), None, 0
+    def pieces(rows) -> Iterator[tuple]:
         for b in rows:
             for i in range(b.num_rows):
-                own = (b.column(0)[i].as_py(),)
-                if own != key:
-                    key, state, done = own, start(), 0
-                y = push(state, b.column(2)[i].as_py(), b.column(3)[i].as_py())
-                take = pa.array(np.full(len(y), i))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(np.arange(done, done + len(y))), pa.array(y.astype(np.int32))], names=["stream_id", "n", "s"])
-                done += len(y)
+                yield b.column(0).slice(i, 1), b.column(2)[i].as_py()
+        yield None, None
 
-    return ready.repartition("stream_id").sortWithinPartitions("stream_id", "at").mapInArrow(run, f"stream_id {sid}, n long, s int")
+    def run(rows) -> Iterator[pa.RecordBatch]:
+        key, state, done = (), None, 0
+        for (sid, x), (after, _) in pairwise(pieces(rows)):
+            own = (sid[0].as_py(),)
+            if own != key:
+                key, state, done = own, start(), 0
+            y = push(state, x, after is None or (after[0].as_py(),) != own)
+            yield pa.RecordBatch.from_arrays([sid.take(pa.array(np.zeros(len(y), np.int64))), pa.array(np.arange(done, done + len(y))), pa.array(y.astype(np.int32))], names=["stream_id", "n", "s"])
+            done += len(y)
+
+    return ready.repartition(F.struct("stream_id")).sortWithinPartitions("stream_id", "at").mapInArrow(run, f"stream_id {sid}, n long, s int")
 
 
 def double_rate(df: DataFrame, piece: int = 1 << 12) -> DataFrame:

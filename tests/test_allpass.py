@@ -76,6 +76,27 @@ def test_voice(spark, rate):
     assert len(plain_raise(x["long"][: 4 * frame], rate, frame)) >= 4 * 960
 
 
+def test_a_stream_is_one_walk_however_its_pieces_lie(spark):
+    """Only small sides are broadcast, once their size is known, and partitions are not merged: pieces of a stream leave their grouping in several tasks."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "8k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rng = random.Random(3)
+        x = {k: [rng.randrange(-32768, 32768) for _ in range(900)] for k in "abc"}
+        df = frames(spark, x)
+        up = allpass.double_rate(df, piece=32).toPandas()
+        got = allpass.raise_rate(df, 8000, piece=32).toPandas()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    for k, v in x.items():
+        at = up[up.stream_id == k].sort_values("n")
+        assert at.n.tolist() == list(range(2 * len(v)))
+        assert at.s.tolist() == plain_double(v)
+        assert got[got.stream_id == k].sort_values("n").s.tolist() == plain_raise(v, 8000, 160)
+
+
 def test_a_lost_piece_fails(monkeypatch):
     monkeypatch.setattr(stateful, "WAITING", 3)
 
