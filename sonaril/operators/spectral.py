@@ -313,8 +313,8 @@ def polyphase_matrix(df: DataFrame) -> DataFrame:
 
 
 def render_line(df: DataFrame) -> DataFrame:
-    """(x0, y0, x1, y1) segments to integer points (x, y), x0 <= x < x1, truncating towards the start."""
-    pts = df.withColumn("x", F.explode(F.expr("sequence(x0, x1 - 1)")))
+    """(x0, y0, x1, y1) segments to integer points (x, y), x0 <= x < x1, truncating towards the start; none where x1 isn't beyond x0."""
+    pts = df.filter("x1 > x0").withColumn("x", F.explode(F.expr("sequence(x0, x1 - 1)")))
     return pts.withColumn("y", F.expr("y0 + ((y1 - y0) * (x - x0)) div (x1 - x0)"))
 
 

@@ -383,7 +383,7 @@ def bark_bands(spark, sf):
 @query("WITH s AS (SELECT vec_id, CAST(round_even(embedding[1] * 200, 0) AS INTEGER) AS y0, CAST(round_even(embedding[2] * 200, 0) AS INTEGER) AS y1, CAST(8 + vec_id % 24 AS INTEGER) AS w FROM embeddings), t AS (SELECT *, unnest(range(w)) AS dx FROM s) SELECT vec_id, CAST(vec_id + dx AS BIGINT) AS x, CAST(y0 + CAST(trunc(((y1 - y0) * dx) / CAST(w AS DOUBLE)) AS BIGINT) AS BIGINT) AS y FROM t")
 def floor_render_line(spark, sf):
     e = signals.table(spark, sf, "embeddings")
-    y = lambda i: F.rint(F.get("embedding", F.lit(i)).cast("double") * 200).cast("long")
+    y = lambda i: F.rint(F.get("embedding", F.lit(i)) * F.lit(200).cast("float")).cast("long")  # noqa: E731  # single precision, as in the SQL
     seg = e.select("vec_id", F.col("vec_id").alias("x0"), (F.col("vec_id") + 8 + F.col("vec_id") % 24).alias("x1"), y(0).alias("y0"), y(1).alias("y1"))
     return spectral.render_line(seg).select("vec_id", "x", "y")
 

@@ -38,3 +38,15 @@ def test_query(spark, duck, name):
     want = duck.execute(catalog.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("ids", [[0, 1, 2, 767454], [*range(-25, 0)]])
+def test_lines_of_rounding_ties_and_of_no_length(spark, tmp_path, ids):
+    """-0.0975f * 200 is a tie in single precision only; ids below 0 give lengths of 0 and less."""
+    v = pd.DataFrame({"vec_id": ids, "embedding": [[-0.0975, 0.0875] + [0.0] * 62 if i % 2 else [0.2075, -0.0975] + [0.0] * 62 for i in ids]})
+    spark.createDataFrame(v, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = c.execute(catalog.SQL["floor_render_line"]).df()
+    got = catalog.QUERIES["floor_render_line"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(want)
